@@ -69,17 +69,19 @@ def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, sets in shingle_sets(batch, width):
-                seen: dict[bytes, np.ndarray] = {}
-                digests, keys = [], []
+                seen: dict[bytes, tuple[np.ndarray, bytes]] = {}
+                digests, keys, short = [], [], []
                 for s in sets:
                     d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                     digests.append(d)
                     if d is not None and d not in seen:
-                        seen[d] = band_keys(similarity_sketch(s)).astype(np.int64)
-                    keys.append(seen.get(d))
+                        sketch = similarity_sketch(s)
+                        seen[d] = band_keys(sketch).astype(np.int64), mix(sketch).astype(np.uint16).tobytes()
+                    keys.append(seen[d][0] if d is not None else None)
+                    short.append(seen[d][1] if d is not None else None)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "n_shingles", "node", "bands"],
+                    [rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())],
+                    ["doc_id", "text_key", "n_shingles", "node", "bands", "sketch"],
                 )
 
     return run
@@ -117,27 +119,127 @@ class _Verifier:
     def __init__(self, docs: DataFrame, owners: DataFrame, width: int, percent: int):
         self.docs, self.owners, self.width, self.percent = docs, owners, width, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)`` that reach the similarity. Only texts of candidates are shuffled."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = self.owners.join(nodes, "node").select(F.col("owner.doc_key").alias("k"), F.col("owner.text_key").alias("t"), "node")
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, items) of ``nodes(node)``. Only texts are shuffled, once."""
+        wanted = self.owners.join(nodes, "node").select(F.col("owner.doc_key").alias("k"), F.col("owner.text_key").alias("t"))
         texts = self.docs.join(wanted.hint("shuffle_hash"), (_doc_key() == F.col("k")) & (F.col("text_key") == F.col("t"))).select("text")
-        sets = materialize(texts.mapInArrow(_sets_of(self.width), "node binary, items array<bigint>").dropDuplicates(["node"]), "sets")
+        return materialize(texts.mapInArrow(_sets_of(self.width), "node binary, items array<bigint>").dropDuplicates(["node"]), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(a, b)`` that reach the similarity."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         a, b = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(self.percent), "a binary, b binary")
 
+    def rest(self, open_members: DataFrame, own: DataFrame) -> DataFrame | None:
+        """Links that join components within the buckets of ``open_members(band, key, node, root)``; None if there can be none."""
+        payload = open_members.join(own.select("node", "sketch", "n_shingles"), "node")
+        blocks = _block_pairs(payload, ["band", "key"], SKETCH_BLOCK).select("band", "key", "i", "j", "block", "node", "root", "n_shingles", "sketch")
+        forest = blocks.groupBy("band", "key", "i", "j").applyInArrow(_possible(self.percent), "a binary, b binary").distinct()
+        clusters = materialize(connected_components(forest), "clusters")
+        if clusters.isEmpty():
+            return None
+        sets = self.sets(clusters.select("node"))
+        rooted = clusters.select("node", F.col("root").alias("cluster")).join(open_members.select("node", "root").distinct(), "node").join(own.select("node", "sketch", "n_shingles"), "node").join(sets, "node")
+        blocks = _block_pairs(rooted, ["cluster"], SET_BLOCK).select("cluster", "i", "j", "block", "node", "root", "n_shingles", "sketch", "items")
+        return materialize(blocks.groupBy("cluster", "i", "j").applyInArrow(_joining(self.percent), "a binary, b binary"), "verified")
+
+
+#: Members in a block, where sketches and where full sets are compared.
+SKETCH_BLOCK, SET_BLOCK = 384, 128
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+
+def _block_pairs(rows: DataFrame, group: list[str], size: int) -> DataFrame:
+    """Rows dealt to the pairs (i <= j) of their group's blocks: each to as many as the group has blocks."""
+    blocks = rows.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return paired.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
+def _may_link(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sketch agreements, whether two rows of different roots and fitting blocks may be linked).
+
+    A pair at the similarity has at least so many equal coordinates but for four standard deviations.
+    """
+    p = percent / 100
+    least = COORDINATES * (p - 4 * (p * (1 - p) / COORDINATES) ** 0.5)
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, COORDINATES)
+    agree = np.zeros((len(sketch), len(sketch)), np.uint8)
+    for c in sketch.T:
+        agree += c[:, None] == c[None, :]
+    n = table["n_shingles"].to_numpy()
+    root, block = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1], table["block"].to_numpy()
+    may = (agree >= least) & (root[:, None] != root[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    if table["i"][0].as_py() != table["j"][0].as_py():
+        may &= block[:, None] != block[None, :]
+    return agree, may
+
+
+def _edges(a: list[bytes], b: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _possible(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, may = _may_link(table, percent)
+        nodes, seen, a, b = table["node"].to_pylist(), np.zeros(table.num_rows, bool), [], []
+        for start in np.flatnonzero(may.any(axis=1)):
+            stack = [] if seen[start] else [start]
+            seen[start] = True
+            while stack:  # a spanning tree of what may be linked
+                x = stack.pop()
+                new = np.flatnonzero(may[x] & ~seen)
+                seen[new] = True
+                stack.extend(new)
+                a.extend([nodes[x]] * len(new))
+                b.extend(nodes[y] for y in new)
+        return _edges(a, b)
+
+    return run
+
+
+def _joining(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        agree, may = _may_link(table, percent)
+        nodes, roots, items = table["node"].to_pylist(), table["root"].to_pylist(), table["items"]
+        sets = [items[i].values.to_numpy(zero_copy_only=False) for i in range(len(nodes))]
+        parent = {r: r for r in roots}
+
+        def find(r: bytes) -> bytes:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        x, y = np.nonzero(np.triu(may))
+        a, b = [], []
+        for k in np.argsort(-agree[x, y].astype(int), kind="stable"):
+            i, j = int(x[k]), int(y[k])
+            if (ri := find(roots[i])) == (rj := find(roots[j])):
+                continue
+            both = len(sets[i]) + len(sets[j]) - len(np.unique(np.concatenate((sets[i], sets[j]))))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[ri] = rj
+                a.append(nodes[i])
+                b.append(nodes[j])
+        return _edges(a, b)
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, text_key, n_shingles, component_id, kept.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; the set is the distinct ``width``-word
     shingles, or the whole sequence if there are fewer words. Rows whose sets have
     100 * intersection >= percent * union are linked. Steps: equal sets become one node (grouped by a
     128-bit digest, so copies never meet as pairs); nodes get sketches and 24 band keys; in each
-    bucket of a band the members are compared with one centre, drawn afresh in each band and round,
-    and links are confirmed on full sets; components follow; buckets that still hold several
-    components then get all their remaining cross-component pairs, so no link between components
-    is lost to the stars.
+    bucket of a band the members are compared with one centre, drawn afresh in each band, and links
+    are confirmed on full sets; components follow. For buckets that still hold several components
+    the rest is exact: blocks of members compare sketches and keep a spanning forest of those pairs
+    that may reach the similarity; in each cluster of that forest, blocks of full sets are compared
+    and a link is emitted wherever it joins two components. No pair is emitted for its own sake, and
+    a group of any size is spread over blocks of bounded size.
 
     Null or empty text: an empty set (n_shingles 0), linked with nothing, component_id its own doc_id
     and kept. A null doc_id takes part with its text; component_id is the least non-null doc_id of
@@ -146,48 +248,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, star_rou
     Extra columns are left out. An empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    sketched = materialize(docs.mapInArrow(_sketches(width), "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>"), "sketches")
+    sketched = materialize(docs.mapInArrow(_sketches(width), "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>, sketch binary"), "sketches")
     owners = sketched.where("node is not null").groupBy("node").agg(F.min(F.struct(_doc_key().alias("doc_key"), "text_key")).alias("owner"), F.min("doc_id").alias("least"))
     # bands of one node are equal: the owner's row carries them
-    own = sketched.where("node is not null").select("node", "bands").groupBy("node").agg(F.first("bands").alias("bands"))
+    own = sketched.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     members = materialize(own.select("node", F.posexplode("bands").alias("band", "key")), "members")
     verifier = _Verifier(docs, owners, width, percent)
 
-    found: DataFrame | None = None
-    roots: DataFrame | None = None
-    tried: DataFrame | None = None
-    for r in range(star_rounds):
-        open_members = members
-        if roots is not None:
-            open_members = _unresolved(members, roots)
-        order = F.struct(F.xxhash64("node", "band", F.lit(r)).alias("o"), F.col("node").alias("n"))
-        centre = open_members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("c.n").alias("centre"))
-        pairs = open_members.join(centre, ["band", "key"]).where("node <> centre")
-        if roots is not None:
-            pairs = pairs.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root")), "centre", "left").where("root <> coalesce(centre_root, centre)")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        links = materialize(verifier.links(pairs), "verified")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = links if found is None else found.union(links)
-        roots = materialize(connected_components(found), "roots")
-    if roots is not None:
-        rest = _unresolved(members, roots)
-        x = rest.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"))
-        y = rest.select("band", "key", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = materialize(x.join(y, ["band", "key"]).where("a < b and ra <> rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            found = found.union(materialize(verifier.links(pairs), "verified"))
-            roots = materialize(connected_components(found), "roots")
-    if roots is None:
-        labels = owners.select("node", F.col("least").alias("label"))
-    else:
-        joined = owners.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-        labels = joined.join(joined.groupBy("root").agg(F.min("least").alias("label")), "root").select("node", "label")
+    order = F.struct(F.xxhash64("node", "band").alias("o"), F.col("node").alias("n"))
+    centre = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("c.n").alias("centre"))
+    pairs = members.join(centre, ["band", "key"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    found = materialize(verifier.links(materialize(pairs, "pairs")), "verified")
+    roots = materialize(connected_components(found), "roots")
+    rest = verifier.rest(_unresolved(members, roots), own)
+    if rest is not None:
+        roots = materialize(connected_components(found.union(rest)), "roots")
+    joined = owners.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    labels = joined.join(joined.groupBy("root").agg(F.min("least").alias("label")), "root").select("node", "label")
     out = sketched.select("doc_id", "text_key", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("label"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("node").isNull().alias("blank"))
