@@ -72,10 +72,10 @@ def jn12_around(v: Views) -> DataFrame:
     return historian.around(v.telemetry, moments, 86_400, 43_200).select("episode_id", "tag_id", "ts", "value")
 
 
-@_query("SELECT tag_id, ts, value, CASE WHEN gap > 0 THEN round((value - v0) / gap, 6) END AS rate FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap, lag(value) OVER w AS v0 FROM telemetry WINDOW w AS (PARTITION BY tag_id ORDER BY ts, value))", "telemetry")
+@_query("SELECT tag_id, ts, value, CASE WHEN gap > 0 THEN round((value - v0) / gap, 4) + 0.0 END AS rate FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap, lag(value) OVER w AS v0 FROM telemetry WINDOW w AS (PARTITION BY tag_id ORDER BY ts, value))", "telemetry")
 def jn13_rate_of_change(v: Views) -> DataFrame:
     """JN-13, WIN-3."""
-    return historian.rate_of_change(v.telemetry).select("tag_id", "ts", "value", F.round("rate", 6).alias("rate"))
+    return historian.rate_of_change(v.telemetry).select("tag_id", "ts", "value", (F.round("rate", 4) + 0.0).alias("rate"))
 
 
 @_query(f"SELECT tag_id, CAST(count(*) AS BIGINT) AS n FROM telemetry WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY GROUP BY tag_id", "telemetry")
@@ -262,9 +262,9 @@ def agg19_stall(v: Views) -> DataFrame:
 # --- graph -----------------------------------------------------------------------------------
 
 
-@_query("SELECT id, label, surface_form FROM nodes WHERE (lower(surface_form) = 'supplier#7' OR id IN ('equip:Supplier#7', 'inst:Supplier#7', 'Supplier#7')) AND label NOT IN ('Chunk', 'Section', 'Document') ORDER BY id LIMIT 1", "nodes")
+@_query("SELECT id, label, surface_form FROM nodes WHERE (lower(surface_form) = 'supplier#000000007' OR id IN ('equip:Supplier#000000007', 'inst:Supplier#000000007', 'Supplier#000000007')) AND label NOT IN ('Chunk', 'Section', 'Document') ORDER BY id LIMIT 1", "nodes")
 def flt01_exact(v: Views) -> DataFrame:
-    return graph.entity_by_surface(v.nodes, "Supplier#7").select("id", "label", "surface_form")
+    return graph.entity_by_surface(v.nodes, "Supplier#000000007").select("id", "label", "surface_form")
 
 
 @_query("SELECT id, surface_form FROM nodes WHERE contains(lower(surface_form), 'mode 1') ORDER BY id LIMIT 5", "nodes")
@@ -346,11 +346,11 @@ def agg08_edge_types(v: Views) -> DataFrame:
     return v.edges.groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-@_query(", x AS (SELECT DISTINCT 'T-' || (CAST(substr(src, 7) AS INT) % 50 + 100) || CASE WHEN CAST(substr(src, 7) AS INT) % 2 = 0 THEN 'A' ELSE 'B' END AS tag, dst AS mode FROM edges WHERE type = 'HAS_FAILURE') SELECT a.tag, a.mode, b.tag AS sibling FROM x a JOIN x b ON a.mode = b.mode AND a.tag <> b.tag AND regexp_replace(a.tag, '[A-Z]+$', '') = regexp_replace(b.tag, '[A-Z]+$', '')", "edges")
+@_query(", x AS (SELECT DISTINCT 'T-' || (CAST(substr(src, 7) AS INT) % 50 + 100) || CASE WHEN CAST(substr(src, 7) AS INT) % 100 < 50 THEN 'A' ELSE 'B' END AS tag, dst AS mode FROM edges WHERE type = 'HAS_FAILURE') SELECT a.tag, a.mode, b.tag AS sibling FROM x a JOIN x b ON a.mode = b.mode AND a.tag <> b.tag AND regexp_replace(a.tag, '[A-Z]+$', '') = regexp_replace(b.tag, '[A-Z]+$', '')", "edges")
 def jn06_siblings(v: Views) -> DataFrame:
     """JN-6, AGG-4, ETL-27, STR-19: other tags of the family with the same failure."""
     n = F.substring("src", 7, 20).cast("int")
-    tag = F.concat(F.lit("T-"), n % 50 + 100, F.when(n % 2 == 0, "A").otherwise("B"))
+    tag = F.concat(F.lit("T-"), n % 50 + 100, F.when(n % 100 < 50, "A").otherwise("B"))
     found = graph.of_types(v.edges, ["HAS_FAILURE"]).select(tag.alias("tag"), F.col("dst").alias("mode")).distinct()
     return graph.siblings(found, found.select("tag", tags.family_of(F.col("tag")).alias("family")).distinct())
 
