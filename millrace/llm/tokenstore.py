@@ -2,7 +2,7 @@
 
 A store is a folder of Parquet tables:
 
-* ``chunks(digest, n, payload)``: each distinct chunk once; payload is zlib-compressed ids, 16 bits
+* ``chunks(digest, n, payload)``: each distinct chunk once; payload is zstd-compressed ids, 16 bits
   wide where all ids fit, else 32 bits (first byte of the payload: 2 or 4);
 * ``recipes(part, doc_id, copy, start, n_tokens, root, digests)``: documents in ascending doc_id
   order over the parts; ``digests`` are the chunks of a document in order, ``root`` its Merkle root;
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,25 +31,35 @@ WINDOW, MASK, LONGEST = 16, 1023, 16_384
 _SEEN = 50_000
 
 
-def chunk_ends(ids: np.ndarray) -> np.ndarray:
-    """Ends of the content-defined chunks of one id stream. They depend on the last ids only, so an
-    insertion moves the cuts near it and no others."""
-    gear = mix(ids.astype(np.uint64) + np.uint64(1))
-    h, span = gear, 1
-    while span < WINDOW:  # h[i] = sum of gear[i - j] << j over the last ``span`` ids
-        h = h.copy()
-        h[span:] += h[:-span].copy() << np.uint64(span) if len(h) > span else np.uint64(0)
+def chunk_ends(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """Ends of the content-defined chunks of each id stream; ``bounds`` are where streams begin (and the end).
+
+    A cut depends on the WINDOW ids before it in its own stream only, so an insertion moves the cuts
+    near it and no others.
+    """
+    h, span = mix(ids.astype(np.uint64) + np.uint64(1)), 1
+    while span < WINDOW:  # h[i] = sum of hash(id i - j) << j over ``span`` ids
+        step = np.zeros_like(h)
+        step[span:] = h[:-span] << np.uint64(span)
+        h += step
         span *= 2
-    ends = np.flatnonzero((h >> np.uint64(12)) & np.uint64(MASK) == 0) + 1
-    out, last = [], 0
-    for end in [*ends.tolist(), len(ids)]:
-        while end - last > LONGEST:
-            last += LONGEST
-            out.append(last)
-        if end > last:
-            out.append(end)
-            last = end
-    return np.array(out, np.int64)
+    found = np.flatnonzero((h >> np.uint64(12)) & np.uint64(MASK) == 0) + 1
+    own = np.searchsorted(bounds, found, side="left") - 1
+    keep = found - bounds[own] >= WINDOW  # no window across streams
+    found, own = found[keep], own[keep]
+    at = np.searchsorted(own, np.arange(len(bounds)))
+    out = []
+    for k, (last, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        ends = []
+        for e in [*found[at[k] : at[k + 1]].tolist(), end]:
+            while e - last > LONGEST:
+                last += LONGEST
+                ends.append(last)
+            if e > last:
+                ends.append(e)
+                last = e
+        out.append(ends)
+    return out
 
 
 def merkle_root(digests: list[bytes]) -> bytes:
@@ -66,11 +77,11 @@ def _digest(raw: bytes) -> bytes:
 
 def pack(ids: np.ndarray) -> bytes:
     narrow = not len(ids) or int(ids.max()) < 1 << 16
-    return (b"\2" if narrow else b"\4") + zlib.compress(ids.astype("<u2" if narrow else "<u4").tobytes(), 1)
+    return (b"\2" if narrow else b"\4") + zstandard.compress(ids.astype("<u2" if narrow else "<u4").tobytes(), 1)
 
 
 def unpack(payload: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(payload[1:]), "<u2" if payload[0] == 2 else "<u4").astype("<u4")
+    return np.frombuffer(zstandard.decompress(payload[1:]), "<u2" if payload[0] == 2 else "<u4").astype("<u4")
 
 
 _STAGED = "doc_id bigint, n_tokens bigint, root binary, digests array<binary>, new array<struct<digest: binary, n: int, payload: binary>>"
@@ -85,25 +96,25 @@ def _stage(path: str, end_id: int):
         for batch in batches:
             for rows, data, offsets in text_blocks(batch, "text"):
                 ids, bounds = encoder.encode(data, offsets)
-                sizes, roots, recipes, new = [], [], [], []
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                    recipe, fresh, begin = [], [], 0
-                    for end in chunk_ends(own):
-                        part = own[begin:end]
-                        recipe.append(digest := _digest(part.tobytes()))
+                ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+                bounds = bounds + np.arange(len(bounds))
+                roots, recipes, new, begin = [], [], [], 0
+                for ends in chunk_ends(ids, bounds):
+                    recipe, fresh = [], []
+                    for end in ends:
+                        part = ids[begin:end]
+                        recipe.append(digest := _digest(part))
                         if digest not in seen:
                             fresh.append({"digest": digest, "n": len(part), "payload": pack(part)})
                             if len(seen) >= _SEEN:
                                 seen.clear()
                             seen.add(digest)
                         begin = end
-                    sizes.append(len(own))
                     roots.append(merkle_root(recipe))
                     recipes.append(recipe)
                     new.append(fresh)
                 kind = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(roots, pa.binary()), pa.array(recipes, pa.list_(pa.binary())), pa.array(new, kind)], ["doc_id", "n_tokens", "root", "digests", "new"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(roots, pa.binary()), pa.array(recipes, pa.list_(pa.binary())), pa.array(new, kind)], ["doc_id", "n_tokens", "root", "digests", "new"])
 
     return run
 
