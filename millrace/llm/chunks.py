@@ -74,6 +74,8 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in text_blocks(batch, "text"):
             ends, row = cut_points(data, offsets)
+            if not len(ends):
+                continue
             begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
             raw = data.tobytes()
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)), "<i8").reshape(-1, 2)
