@@ -1,7 +1,7 @@
 """Byte-pair encoding of whole texts by the tiktoken and tokenizers libraries, and decoding.
 
 Both vocabularies split a text before merging, and no piece spans the start of ASCII white space
-after a visible character, or the step from an ASCII letter to an ASCII mark; so a text may be cut
+after a visible character, or the step from a letter to an ASCII mark; so a text may be cut
 there without changing its ids. Each distinct
 segment is encoded once by the library and its ids are gathered for all its occurrences.
 """
@@ -27,6 +27,9 @@ _SPACE = byte_table([(0x09, 0x0D), (0x20, 0x20)])
 _VISIBLE = byte_table([(0x21, 0x7E), (0x80, 0xFF)])
 _LETTER = byte_table([(0x41, 0x5A), (0x61, 0x7A)])
 _MARKS = byte_table([(0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)])
+#: First bytes of two-byte characters that are all letters, and 0xC3, whose two signs are not.
+_LETTER_LEAD = byte_table([(0xC3, 0xC5), (0xD0, 0xD1)])
+_SIGN_TAIL = byte_table([(0x97, 0x97), (0xB7, 0xB7)])
 #: Second last bytes of characters that Unicode counts as white space (and of some others): no cut after these.
 _MAYBE_SPACE = byte_table([(0xC2, 0xC2), (0x9A, 0x9A), (0x80, 0x81)])
 
@@ -39,20 +42,23 @@ def safe_segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     cut = np.zeros(len(data), bool)
     cut[1:] = _SPACE[data[1:]] & _VISIBLE[data[:-1]]
     cut[2:] &= ~((data[1:-1] >= 0x80) & _MAYBE_SPACE[data[:-2]])
-    cut[1:] |= _MARKS[data[1:]] & _LETTER[data[:-1]]
+    marks = _MARKS[data]
+    cut[1:] |= marks[1:] & _LETTER[data[:-1]]
+    cut[2:] |= marks[2:] & _LETTER_LEAD[data[:-2]] & ~_SIGN_TAIL[data[1:-1]]
     cut[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(cut)
     return starts, np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, side="right") - 1
 
 
 class SegmentEncoder:
-    """Encodes blocks of texts; ``encode_all`` is the library's call on a list of strings.
+    """Encodes blocks of texts; ``encode_all`` is the library's call on a list of strings: how many
+    ids each has, and all ids.
 
     ``fold``: the vocabulary ignores the case of A-Z and white space before a segment, so segments
     that differ in these only are one.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[list[int]]], fold: bool = False):
+    def __init__(self, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False):
         self.encode_all, self.fold = encode_all, fold
         self._reset()
 
@@ -61,9 +67,7 @@ class SegmentEncoder:
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _add(self, keys: list[int], segments: list[str]) -> None:
-        coded = self.encode_all(segments)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
+        sizes, flat = self.encode_all(segments)
         k = len(self.place)
         self.place.update(zip(keys, range(k, k + len(keys)), strict=True))
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
@@ -92,6 +96,11 @@ class SegmentEncoder:
         return self.ids[gather], total[row_bounds(rows, len(offsets) - 1)]
 
 
+def _flat(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    return sizes, np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
+
+
 _encoders: dict[tuple[str, str], SegmentEncoder] = {}
 _libraries: dict[str, tiktoken.Encoding] = {}
 
@@ -108,39 +117,35 @@ def rank_file_encoding(path: str, pattern: str) -> tiktoken.Encoding:
 def rank_file_encoder(path: str, pattern: str) -> SegmentEncoder:
     if (key := (path, pattern)) not in _encoders:
         encoding = rank_file_encoding(path, pattern)
-        _encoders[key] = SegmentEncoder(lambda texts: [encoding.encode_ordinary(x) for x in texts])
+        _encoders[key] = SegmentEncoder(lambda texts: _flat([encoding.encode_ordinary(x) for x in texts]))
     return _encoders[key]
 
 
 #: A character put between segments, as a piece of its own, when many go through the library in one call.
-MARK = "\u241f"
+MARK, JOINED = "\x01", 4096
 
 
-def _encode_joined(tokenizer: Tokenizer, texts: list[str]) -> list[list[int]]:
-    """Ids of each text. One call for many short texts, as a call for each costs more than its merges.
+def _encode_joined(tokenizer: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and ids of all texts. One call for many short texts, as a call for each costs more than its merges.
 
-    The mark's ids can only come from the mark's own bytes, so they show where texts end; texts that
-    hold the mark go alone, and so do all, should the counts not agree.
+    The mark is one id that can only come from the mark's own byte, so it shows where texts end; if
+    the counts do not agree, as a text holds the mark, each text goes through the library alone.
     """
     alone = lambda some: [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-    out: list = [None] * len(texts)
-    joined = [i for i, x in enumerate(texts) if MARK not in x and len(x) < 1000]
     mark = alone([MARK])[0]
-    for at in range(0, len(joined), 4096):
-        part = joined[at : at + 4096]
-        ids = np.array(alone([f" {MARK} ".join([texts[i] for i in part] + [""])])[0], np.int64)
-        hit = np.ones(max(0, len(ids) - len(mark) + 1), bool)
-        for k, x in enumerate(mark):
-            hit &= ids[k : k + len(hit)] == x
-        ends = np.flatnonzero(hit)
-        if len(ends) == len(part):
-            begin = 0
-            for i, end in zip(part, ends.tolist(), strict=True):
-                out[i], begin = ids[begin:end].tolist(), end + len(mark)
-    rest = [i for i, x in enumerate(out) if x is None]
-    for i, ids in zip(rest, alone([texts[i] for i in rest]), strict=True):
-        out[i] = ids
-    return out
+    sizes, ids = [], []
+    for at in range(0, len(texts), JOINED):
+        part = texts[at : at + JOINED]
+        found = np.array(alone([f" {MARK} ".join([*part, ""])])[0], np.uint32)
+        ends = np.flatnonzero(found == mark[0])
+        if len(mark) == 1 and len(ends) == len(part):
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            ids.append(np.delete(found, ends))
+        else:
+            size, found = _flat(alone(part))
+            sizes.append(size)
+            ids.append(found)
+    return np.concatenate(sizes), np.concatenate(ids)
 
 
 def tokenizer_file_encoder(path: str) -> SegmentEncoder:
