@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from millrace.llm.textblocks import LOWER, byte_table, row_bounds, span_hashes, text_blocks
+from millrace.llm.textblocks import LOWER, byte_table, span_hashes, text_blocks
 
 #: Segments whose ids a Python worker keeps; beyond, it starts anew.
 CACHE_SEGMENTS = 800_000
@@ -35,10 +35,11 @@ _MAYBE_SPACE = byte_table([(0xC2, 0xC2), (0x9A, 0x9A), (0x80, 0x81)])
 
 
 def safe_segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, rows) of segments that cover all bytes: cut where white space follows a visible character, or an ASCII mark a letter."""
+    """(starts, ends, bounds) of segments that cover all bytes: cut where white space follows a visible
+    character, or an ASCII mark a letter; ``bounds`` are where rows begin among them (rows + 1 positions)."""
     if not len(data):
         z = np.zeros(0, np.int64)
-        return z, z, z
+        return z, z, np.zeros(len(offsets), np.int64)
     cut = np.zeros(len(data), bool)
     cut[1:] = _SPACE[data[1:]] & _VISIBLE[data[:-1]]
     cut[2:] &= ~((data[1:-1] >= 0x80) & _MAYBE_SPACE[data[:-2]])
@@ -47,7 +48,7 @@ def safe_segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     cut[2:] |= marks[2:] & _LETTER_LEAD[data[:-2]] & ~_SIGN_TAIL[data[1:-1]]
     cut[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(cut)
-    return starts, np.append(starts[1:], len(data)), np.searchsorted(offsets, starts, side="right") - 1
+    return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
 
 class SegmentEncoder:
@@ -64,36 +65,50 @@ class SegmentEncoder:
 
     def _reset(self) -> None:
         self.place: dict[int, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+        self.ids, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def _add(self, keys: list[int], segments: list[str]) -> None:
+    def _add(self, keys: list[int], segments: list[str]) -> np.ndarray:
+        """Places of new segments."""
         sizes, flat = self.encode_all(segments)
-        k = len(self.place)
-        self.place.update(zip(keys, range(k, k + len(keys)), strict=True))
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.size, self.ids = np.concatenate((self.size, sizes)), np.concatenate((self.ids, flat))
+        k, n = len(self.place), len(self.place) + len(keys)
+        self.place.update(zip(keys, range(k, n), strict=True))
+        self.ids, self.start, self.size = _room(self.ids, self.used + len(flat)), _room(self.start, n), _room(self.size, n)
+        self.start[k:n], self.size[k:n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return np.arange(k, n)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where each row's begin (rows + 1 positions)."""
-        starts, ends, rows = safe_segments(data, offsets)
-        if self.fold and len(starts):
+        starts, ends, bounds = safe_segments(data, offsets)
+        if not len(starts):
+            return self.ids[:0], bounds
+        if self.fold:
             data = LOWER[data]
             starts = starts + (_SPACE[data[starts]] & (ends - starts > 1))
         codes, unique = pd.factorize(span_hashes(data, starts, ends))
         if len(self.place) + len(unique) > CACHE_SEGMENTS:
             self._reset()
         keys = unique.tolist()
-        new = [i for i, key in enumerate(keys) if key not in self.place]
-        if new:
-            first = np.full(len(unique), -1)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
+        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            # codes count up in order of first occurrence
+            first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))[new]
             raw = data.tobytes()
-            self._add([keys[i] for i in new], [raw[starts[j] : ends[j]].decode() for j in first[new]])
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[codes] if len(keys) else codes
-        sizes = self.size[at]
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        gather = np.repeat(self.start[at] - total[:-1], sizes) + np.arange(total[-1])
-        return self.ids[gather], total[row_bounds(rows, len(offsets) - 1)]
+            at[new] = self._add(unique[new].tolist(), [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        sizes, begin = self.size[at][codes], self.start[at][codes]
+        total = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=total[1:])
+        gather = np.repeat(begin - total[:-1], sizes)
+        gather += np.arange(total[-1])
+        return self.ids[gather], total[bounds]
+
+
+def _room(held: np.ndarray, n: int) -> np.ndarray:
+    """``held``, or a copy with more room if it has less than ``n``."""
+    return held if n <= len(held) else np.concatenate((held, np.zeros(max(n, len(held) * 3 // 2) - len(held), held.dtype)))
 
 
 def _flat(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
