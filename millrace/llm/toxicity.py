@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import materialize
+
 #: Bounds of what is learned from: labelled rows (the least hashes of their ids), and lexicon entries.
 TRAIN_ROWS, LEXICON = 20_000, 4000
 #: Word starts of these lengths, besides whole words, are entries.
@@ -62,15 +64,19 @@ def _entries(text: str) -> set[str]:
     return out
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            by = Counter(), Counter()
-            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                by[toxic].update(_entries(text or ""))
-            entries = list(by[0].keys() | by[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array([by[1][e] for e in entries], pa.int64()), pa.array([by[0][e] for e in entries], pa.int64())], ["entry", "toxic", "clean"])
+def _counts(known=None):
+    """How many texts have each entry, in parts; with ``known`` (a broadcast set), of those entries only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found = Counter()
+                for text in batch.column(0).slice(at, 500).to_pylist():
+                    own = _entries(text or "")
+                    found.update(own if known is None else own & known.value)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["entry", "n"])
+
+    return run
 
 
 class Model:
@@ -137,17 +143,23 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexi
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates(["text"])
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates(["text"]), "labelled")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model({}, coefficients=(-20.0, 0.0, 0.0, 0.0))
-    weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    summed = rows.mapInArrow(_counts, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    chosen = summed.where(F.col("toxic") >= max(4, math.ceil(0.004 * n1))).withColumn("weight", weight).where(F.col("weight") > 2.3)
-    top = chosen.orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "entry").limit(lexicon).collect()
-    model = Model({r.entry: r.weight for r in top})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+
+    def counted(toxic: int, known=None) -> DataFrame:
+        return rows.where(F.col("toxic") == toxic).select("text").mapInArrow(_counts(known), "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
+
+    # Only entries of enough toxic texts can be chosen; clean texts count these alone. The sample's bound holds for both.
+    toxic_n = {r.entry: r.n for r in counted(1).where(F.col("n") >= max(4, math.ceil(0.004 * n1))).collect()}
+    clean_n = {r.entry: r.n for r in counted(0, spark.sparkContext.broadcast(set(toxic_n))).collect()}
+    weights = {e: math.log((k + 0.5) / (n1 + 1)) - math.log((clean_n.get(e, 0) + 0.5) / (n0 + 1)) for e, k in toxic_n.items()}
+    top = sorted((-w * math.log1p(toxic_n[e]), e) for e, w in weights.items() if w > 2.3)[:lexicon]
+    model = Model({e: weights[e] for _, e in top})
+    shared = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
