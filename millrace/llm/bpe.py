@@ -21,8 +21,9 @@ from tokenizers import Tokenizer
 
 from millrace.llm.textblocks import LOWER, byte_table, span_hashes, text_blocks
 
-#: Segments whose ids a Python worker keeps; beyond, it starts anew.
-CACHE_SEGMENTS = 800_000
+#: Segments whose ids are kept; beyond, the cache starts anew. A tokenizer file's cache lives as long
+#: as the Python worker; a rank file's, whose library is fast, as long as a task.
+CACHE_SEGMENTS, TASK_SEGMENTS = 800_000, 200_000
 _SPACE = byte_table([(0x09, 0x0D), (0x20, 0x20)])
 _VISIBLE = byte_table([(0x21, 0x7E), (0x80, 0xFF)])
 _LETTER = byte_table([(0x41, 0x5A), (0x61, 0x7A)])
@@ -59,8 +60,8 @@ class SegmentEncoder:
     that differ in these only are one.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False):
-        self.encode_all, self.fold = encode_all, fold
+    def __init__(self, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False, limit: int = CACHE_SEGMENTS):
+        self.encode_all, self.fold, self.limit = encode_all, fold, limit
         self._reset()
 
     def _reset(self) -> None:
@@ -88,7 +89,7 @@ class SegmentEncoder:
             data = LOWER[data]
             starts = starts + (_SPACE[data[starts]] & (ends - starts > 1))
         codes, unique = pd.factorize(span_hashes(data, starts, ends))
-        if len(self.place) + len(unique) > CACHE_SEGMENTS:
+        if len(self.place) + len(unique) > self.limit:
             self._reset()
         keys = unique.tolist()
         at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
@@ -116,7 +117,7 @@ def _flat(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return sizes, np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
 
 
-_encoders: dict[tuple[str, str], SegmentEncoder] = {}
+_encoders: dict[str, SegmentEncoder] = {}
 _libraries: dict[str, tiktoken.Encoding] = {}
 
 
@@ -130,10 +131,8 @@ def rank_file_encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def rank_file_encoder(path: str, pattern: str) -> SegmentEncoder:
-    if (key := (path, pattern)) not in _encoders:
-        encoding = rank_file_encoding(path, pattern)
-        _encoders[key] = SegmentEncoder(lambda texts: _flat([encoding.encode_ordinary(x) for x in texts]))
-    return _encoders[key]
+    encoding = rank_file_encoding(path, pattern)
+    return SegmentEncoder(lambda texts: _flat([encoding.encode_ordinary(x) for x in texts]), limit=TASK_SEGMENTS)
 
 
 #: A character put between segments, as a piece of its own, when many go through the library in one call.
@@ -164,18 +163,19 @@ def _encode_joined(tokenizer: Tokenizer, texts: list[str]) -> tuple[np.ndarray,
 
 
 def tokenizer_file_encoder(path: str) -> SegmentEncoder:
-    if (key := (path, "")) not in _encoders:
+    if path not in _encoders:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _encoders[key] = SegmentEncoder(lambda texts: _encode_joined(tokenizer, texts), fold=True)
-    return _encoders[key]
+        _encoders[path] = SegmentEncoder(lambda texts: _encode_joined(tokenizer, texts), fold=True)
+    return _encoders[path]
 
 
 def _coded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = rank_file_encoder(path, pattern)
         for batch in batches:
             for rows, data, offsets in text_blocks(batch, "text"):
-                ids, bounds = rank_file_encoder(path, pattern).encode(data, offsets)
+                ids, bounds = encoder.encode(data, offsets)
                 raw = ids.astype("<u4").tobytes()
                 blobs = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
