@@ -114,6 +114,8 @@ def fit_detector(wide: DataFrame, tags: list[str], variance: float = VARIANCE, a
     """
     rows = wide.dropna(subset=tags)
     centre = rows.agg(F.count("*").alias("n"), *(F.avg(F.col(t)).alias(f"m{i}") for i, t in enumerate(tags)), *(F.stddev_samp(F.col(t)).alias(f"s{i}") for i, t in enumerate(tags))).first()
+    if centre["n"] < 2:
+        raise ValueError("a detector needs two rows or more with all tags")
     n, mean = centre["n"], np.array([centre[f"m{i}"] for i in range(len(tags))], float)
     std = np.array([centre[f"s{i}"] or 0.0 for i in range(len(tags))], float)
     std[std < 1e-6] = 1.0

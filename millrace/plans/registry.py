@@ -235,13 +235,13 @@ def jn11_match(v: Views) -> DataFrame:
 
 def _wide(v: Views) -> tuple[DataFrame, list[str]]:
     kinds = ["click", "error", "purchase", "signup", "view"]
-    hour = F.date_trunc("hour", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
-    return v.table("events").select(hour.alias("ts"), "event_type", "value").groupBy("ts").pivot("event_type", kinds).agg(F.avg("value")), kinds
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    return v.table("events").select(day.alias("ts"), "event_type", "value").groupBy("ts").pivot("event_type", kinds).agg(F.avg("value")), kinds
 
 
 @_query()
 def mth02_detector(v: Views) -> DataFrame:
-    """AGG-13, MTH-2: a PCA control chart over aligned hours, fitted and applied."""
+    """AGG-13, MTH-2: a PCA control chart over aligned days, fitted and applied."""
     wide, kinds = _wide(v)
     scored = diagnosis.score_detector(wide, diagnosis.fit_detector(wide, kinds))
     return scored.select("ts", F.round("t2", 6).alias("t2"), F.round("spe", 6).alias("spe"), "anomalous", "lead_tag")
