@@ -222,3 +222,12 @@ def _decoded(path: str, pattern: str):
 def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``encoded(doc_id, n_tokens, ids)`` with decoded: the concatenated raw bytes of the ids (which need not be UTF-8)."""
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decoded(ranks, pattern), "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: a task needs one Python worker, and ids stay in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(ranks, pattern)(_coded(ranks, pattern)(batches))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
