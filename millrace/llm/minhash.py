@@ -263,8 +263,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = verifier.rest(_unresolved(members, roots), own)
     if rest is not None:
         roots = materialize(connected_components(found.union(rest)), "roots")
-    joined = owners.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    labels = joined.join(joined.groupBy("root").agg(F.min("least").alias("label")), "root").select("node", "label")
+    # labels are written before they are joined to their members, so that Spark can split a large group's rows
+    named = materialize(roots.join(owners.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("label")), "labels")
+    of_node = owners.select("node", "least").join(roots.join(named, "root").select("node", "label"), "node", "left")
+    labels = materialize(of_node.select("node", F.coalesce("label", "least").alias("label")), "labels")
     out = sketched.select("doc_id", "text_key", "n_shingles", "node").join(labels, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("label"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("node").isNull().alias("blank"))
