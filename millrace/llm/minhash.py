@@ -227,7 +227,7 @@ def _joining(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, with_root: bool = False) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, text_key, n_shingles, component_id, kept.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; the set is the distinct ``width``-word
@@ -246,6 +246,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     the component, or null. Repeated rows: equal rows of one doc_id are one row's copies; the
     contract's kept (doc_id = component_id) holds for each of them, and ``keep_one`` keeps one.
     Extra columns are left out. An empty table gives an empty result.
+
+    ``with_root`` adds root: the least node of the component (null for an empty set). It tells
+    components apart where doc_ids cannot, as they are null or shared by different texts.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     sketched = materialize(docs.mapInArrow(_sketches(width), "doc_id bigint, text_key bigint, n_shingles bigint, node binary, bands array<bigint>, sketch binary"), "sketches")
@@ -265,11 +268,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         roots = materialize(connected_components(found.union(rest)), "roots")
     # labels are written before they are joined to their members, so that Spark can split a large group's rows
     named = materialize(roots.join(owners.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("label")), "labels")
-    of_node = owners.select("node", "least").join(roots.join(named, "root").select("node", "label"), "node", "left")
-    labels = materialize(of_node.select("node", F.coalesce("label", "least").alias("label")), "labels")
+    root = [F.coalesce("root", "node").alias("root")] if with_root else []
+    of_node = owners.select("node", "least").join(roots.join(named, "root").select("node", "label", "root"), "node", "left")
+    labels = materialize(of_node.select("node", F.coalesce("label", "least").alias("label"), *root), "labels")
     out = sketched.select("doc_id", "text_key", "n_shingles", "node").join(labels, "node", "left")
+    root = ["root"] if with_root else []
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("label"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("node").isNull().alias("blank"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.col("node").isNull().alias("blank"), *root)
 
 
 def _unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -283,13 +288,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one with the least doc_id.
 
     Documents without words stay. All columns are kept as they are. Of repeated rows (same doc_id
-    and text) one stays, and groups whose doc_ids are all null keep their least text key.
+    and text) one stays, and groups whose doc_ids are all null keep their least text key. Groups are
+    told apart by their roots, so different texts with a null or the same doc_id all stay.
     """
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {n: f"c{i}" for i, n in reversed(list(enumerate(names)))}
-    found = near_duplicates(docs.select(F.col("doc_id"), F.col("text")), width, percent)
-    leaders = found.where("not blank and (kept or component_id is null)").groupBy("component_id").agg(F.min(F.struct(_doc_key().alias("k"), "text_key")).alias("m"))
+    found = near_duplicates(docs.select(F.col("doc_id"), F.col("text")), width, percent, with_root=True)
+    leaders = found.where("not blank and (kept or component_id is null)").groupBy("root").agg(F.min(F.struct(_doc_key().alias("k"), "text_key")).alias("m"))
     chosen = leaders.select(F.col("m.k").alias("k"), F.col("m.text_key").alias("t"), F.lit(True).alias("chosen"))
     blanks = found.where("blank").select(_doc_key().alias("k"), F.col("text_key").alias("t"), F.lit(False).alias("chosen")).distinct()
     keyed = inner.withColumns({"k": F.coalesce(F.col(at["doc_id"]), F.lit(-(1 << 63))), "t": F.xxhash64(at["text"])})

@@ -51,6 +51,15 @@ def test_odd_rows(odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.select("doc_id").collect()) == sorted((d is None, d or 0) for d in [1, 3, 4, 5, 6, None, None, 8, 9, 10, 11, 12, 13, 14, -5])
 
 
+def test_one_of_each_group_without_ids_of_its_own(spark, prose):
+    """Different texts with a null id, or one id, are groups of their own; a near copy goes."""
+    a, b, c, d, e = (prose(60, 600 + i) for i in range(5))
+    rows = [(None, a), (None, b), (None, near_copy(b, 60)), (None, c), (4, c), (5, d), (5, e), (5, e), (None, " ")]
+    kept = sorted((r.doc_id or 0, r.text) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 80).collect())
+    assert len(kept) == 6 and {(0, a), (4, c), (5, d), (5, e), (0, " ")} < set(kept)
+    assert len({(0, b), (0, near_copy(b, 60))} & set(kept)) == 1
+
+
 def test_sketch_fills_and_estimates():
     import numpy as np
 
