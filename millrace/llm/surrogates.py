@@ -3,19 +3,21 @@
 E-mail addresses, phone, card and social security numbers, account numbers and IPv4 addresses are
 mapped by keyed Feistel networks over their own digits and letters. Such a map is one-to-one on all
 values of a format, so equal values get equal surrogates in every document and different values
-never collide, at any corpus size, without a shuffle. Person names come from small lists; there,
-a document's names are assigned one after the other, each checked against the surrogates already
-taken and against the names that occur in the document.
+never collide, at any corpus size, without a shuffle. So are the words of person
+names, over vowels and consonants of their scripts; the given names and Cyrillic surnames of the lists
+below change places within their list. Every later or earlier mention of a found name's word in its
+text is replaced too.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Titles and given names that tell a gender, and the names used as surrogates.
+# Titles and given names that tell a gender, and surnames that do.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "господин", "г-н")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "госпожа", "г-жа")
 OPEN_TITLES = ("Dr", "Prof")
@@ -23,7 +25,6 @@ MALE_NAMES = ("James", "John", "Robert", "Michael", "William", "David", "Richard
 FEMALE_NAMES = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Maria", "Anna", "Ursula", "Sabine", "Sophie", "Camille", "Claire", "Carmen", "Lucía", "Isabel")
 MALE_NAMES_CYRILLIC = ("Иван", "Пётр", "Алексей", "Дмитрий", "Сергей", "Николай", "Андрей", "Михаил", "Павел", "Олег")
 FEMALE_NAMES_CYRILLIC = ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана", "Юлия", "Вера")
-SURNAMES = ("Ashford", "Bellamy", "Carver", "Dawson", "Ellison", "Fairbank", "Garner", "Holloway", "Ingram", "Jarvis", "Kendall", "Langley", "Merritt", "Norwood", "Osborne", "Prescott", "Quinlan", "Radcliff", "Sheldon", "Thornton", "Underhill", "Vaughan", "Whitaker", "Yardley")
 MALE_SURNAMES_CYRILLIC = ("Орлов", "Лебедев", "Козлов", "Новиков", "Морозов", "Волков", "Соловьёв", "Зайцев", "Егоров", "Беляев")
 FEMALE_SURNAMES_CYRILLIC = ("Орлова", "Лебедева", "Козлова", "Новикова", "Морозова", "Волкова", "Соловьёва", "Зайцева", "Егорова", "Беляева")
 
@@ -41,6 +42,13 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DEFAULT_KEY = "millrace"
+#: Letters that stand for each other in names, small ones; others are kept.
+_SMALL = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çðñþšžčřłćńśź", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
+_LETTERS = _SMALL + tuple(c.upper() for c in _SMALL)
+#: Endings of Cyrillic surnames, which tell a gender, are kept.
+_ENDING = r"^(.{2,}?)(ова|ева|ёва|ина|ская|цкая|ов|ев|ёв|ин|ский|цкий)$"
+#: What may follow a name's word without being part of it.
+_TAIL = r"(?:['’]s?|-)+$"
 
 
 def _kind(m: Column) -> Column:
@@ -126,58 +134,73 @@ def _titled(m: Column) -> Column:
     return m.rlike(rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)})\.? ")
 
 
-def _name_parts(m: Column) -> Column:
-    """(word, role) of the words of a name match after its title: g (given) or s (surname), with f, m or o (gender) and l or c (script)."""
-    words = F.when(_titled(m), F.slice(_words(m), 2, 2)).otherwise(_words(m))
-    first = F.element_at(words, 1)
-    female = m.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\.? ") | first.isin(*FEMALE_NAMES, *FEMALE_NAMES_CYRILLIC)
-    male = m.rlike(rf"^(?:{'|'.join(MALE_TITLES)})\.? ") | first.isin(*MALE_NAMES, *MALE_NAMES_CYRILLIC)
-    gender = F.when(female, "f").when(male, "m").otherwise("o")
-    script = F.when(m.rlike(r"\p{IsCyrillic}"), "c").otherwise("l")
-    return F.transform(words, lambda w, i: F.struct(w.alias("word"), F.concat(F.when((F.size(words) > 1) & (i == 0), "g").otherwise("s"), gender, script).alias("role")))
+def _core(word: Column) -> Column:
+    return F.regexp_replace(word, _TAIL, "")
 
 
-def _list(role: Column) -> Column:
-    some = lambda names: F.array(*(F.lit(n) for n in names))
-    return (
-        F.when(role == "gfl", some(FEMALE_NAMES))
-        .when(role == "gml", some(MALE_NAMES))
-        .when(role == "gol", some(MALE_NAMES + FEMALE_NAMES))
-        .when(role == "gfc", some(FEMALE_NAMES_CYRILLIC))
-        .when(role.isin("gmc", "goc"), some(MALE_NAMES_CYRILLIC))
-        .when(role == "sfc", some(FEMALE_SURNAMES_CYRILLIC))
-        .when(role.isin("smc", "soc"), some(MALE_SURNAMES_CYRILLIC))
-        .otherwise(some(SURNAMES))
-    )
+def _name_words(m: Column) -> Column:
+    """The words of a name match after its title, without possessive endings."""
+    return F.transform(F.when(_titled(m), F.slice(_words(m), 2, 2)).otherwise(_words(m)), _core)
 
 
-def _assigned(parts: Column, key: str) -> Column:
-    """Words of names to surrogates, one by one: the first free entry of the list from a keyed place on.
+def _turned(text: Column, code: Column, sign: int) -> Column:
+    """Each letter moved within its class of ``_LETTERS`` by the bytes of a hex string, or back."""
+
+    def one(c: Column, i: Column) -> Column:
+        by = F.conv(F.substr(code, (i % 30) * 2 + 1, F.lit(2)), 16, 10).cast("int") * sign
+        out = c
+        for letters in _LETTERS:
+            at = F.position(c, F.lit(letters))
+            out = F.when(at > 0, F.substr(F.lit(letters), F.pmod(at - 1 + by, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
+        return out
+
+    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
-    Free is what neither occurs as a name in the document nor is taken by another word. A document
-    with more names than the list has entries gets permuted letters for the rest (made distinct by
-    appending letters, should they be taken).
-    """
-    originals = F.transform(parts, lambda p: p["word"])
 
-    def step(done: Column, p: Column) -> Column:
-        names = _list(p["role"])
-        shift = F.pmod(F.conv(F.substr(F.sha2(F.concat(F.lit(f"{key}|name|"), p["word"]), 256), F.lit(1), F.lit(7)), 16, 10).cast("int"), F.size(names))
-        turned = F.concat(F.slice(names, shift + 1, F.size(names)), F.slice(names, F.lit(1), shift))
-        taken = F.concat(F.transform(done, lambda d: d["new"]), originals)
-        free = F.array_except(turned, taken)
-        spare = F.concat(permuted(p["word"], "name", key), F.when(F.array_contains(taken, permuted(p["word"], "name", key)), F.concat(F.lit("y"), F.repeat(F.lit("a"), F.size(done)))).otherwise(""))
-        new = F.when(F.size(free) > 0, F.element_at(free, 1)).otherwise(spare)
-        known = F.exists(done, lambda d: d["word"] == p["word"])
-        return F.when(known, done).otherwise(F.concat(done, F.array(F.struct(p["word"].alias("word"), new.alias("new")))))
+def _moved(word: Column, key: str) -> Column:
+    """A keyed one-to-one map on words with the same places of letter classes that keeps no word: Feistel
+    rounds, a step of one on each letter, and the rounds back."""
+    half = F.floor(F.length(word) / 2).cast("int")
+    code = lambda r, b: F.sha2(F.concat(F.lit(f"{key}|name|"), r.cast("string"), F.lit("|"), b), 256)
+    split = lambda w: F.struct(F.substr(w, F.lit(1), half).alias("a"), F.substr(w, half + 1).alias("b"))
+    ahead = lambda s, r: F.struct(s["b"].alias("a"), _turned(s["a"], code(r, s["b"]), 1).alias("b"))
+    back = lambda s, r: F.struct(_turned(s["b"], code(r, s["a"]), -1).alias("a"), s["a"].alias("b"))
+    ones = F.lit("01" * 32)
+    stepped = F.aggregate(F.sequence(F.lit(1), F.lit(4)), split(word), ahead, lambda s: F.struct(_turned(s["a"], ones, 1).alias("a"), _turned(s["b"], ones, 1).alias("b")))
+    return F.aggregate(F.sequence(F.lit(4), F.lit(1), F.lit(-1)), stepped, back, lambda s: F.concat(s["a"], s["b"]))
 
-    return F.aggregate(parts, F.array().cast("array<struct<word:string,new:string>>"), step)
+
+def _listed(key: str) -> dict[str, str]:
+    """Names of the lists to the next one of their list in a keyed order; surnames of both genders alike."""
+    out: dict[str, str] = {}
+    for names, *same in ((MALE_NAMES,), (FEMALE_NAMES,), (MALE_NAMES_CYRILLIC,), (FEMALE_NAMES_CYRILLIC,), (MALE_SURNAMES_CYRILLIC, FEMALE_SURNAMES_CYRILLIC)):
+        order = sorted(range(len(names)), key=lambda i: hashlib.sha256(f"{key}|name|{names[i]}".encode()).digest())
+        for i, j in zip(order, order[1:] + order[:1], strict=True):
+            out |= {some[i]: some[j] for some in (names, *same)}
+    return out
+
+
+def _renamed(word: Column, key: str) -> Column:
+    """A keyed one-to-one map on the words of names, the same in every document.
+
+    A word outside the lists is moved until it is outside them and has its ending again, which keeps the
+    map one-to-one. Words of other scripts get consonants by 64 bits of a keyed hash.
+    """
+    lists = _listed(key)
+    ending = F.regexp_extract(word, _ENDING, 2)
+    stem = F.substr(word, F.lit(1), F.length(word) - F.length(ending))
+    fits = lambda s: ~F.concat(s, ending).isin(*lists) & (F.regexp_extract(F.concat(s, ending), _ENDING, 2) == ending)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), stem, lambda s, i: F.when((i > 1) & fits(s), s).otherwise(_moved(s, key)))
+    other = F.concat(F.lit("X"), F.translate(F.substr(F.sha2(F.concat(F.lit(f"{key}|name|"), word), 256), F.lit(1), F.lit(16)), "0123456789abcdef", "bcdfghklmnprstvz"))
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in lists.items() for x in pair)), word)
+    return F.coalesce(known, F.when(word.rlike(rf"^[{''.join(_LETTERS)}ß'’-]+$"), F.concat(walked, ending)).otherwise(other))
 
 
 def _surrogate(m: Column, names: Column, key: str) -> Column:
     kind = _kind(m)
-    lookup = lambda w: F.element_at(F.filter(names, lambda d: d["word"] == w), 1)["new"]
-    renamed = F.array_join(F.transform(_words(m), lambda w, i: F.when((i == 0) & _titled(m), w).otherwise(lookup(w))), " ")
+    lookup = lambda w: F.element_at(F.filter(names, lambda d: d["word"] == _core(w)), 1)["new"]
+    word = lambda w: F.concat(lookup(w), F.regexp_extract(w, _TAIL, 0))
+    renamed = F.array_join(F.transform(_words(m), lambda w, i: F.when((i == 0) & _titled(m), w).otherwise(word(w))), " ")
     return (
         F.when(kind == "email", _email(m, key))
         .when(kind == "ip", _ip(m, key))
@@ -189,13 +212,23 @@ def _surrogate(m: Column, names: Column, key: str) -> Column:
     )
 
 
+def _with_mentions(words: Column) -> Column:
+    """PATTERN, or the words of found names alone, longer ones first; null without such words."""
+    ordered = F.transform(F.array_sort(F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    mention = F.concat(F.lit(rf"{PATTERN}|(?<!\p{{L}}['’])(?<![\p{{L}}\p{{N}}_])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}_])(?![A-Za-z0-9._%+-]*@)"))
+    return F.when(F.size(ordered) > 0, mention)
+
+
 def _replaced(inner: DataFrame, text: str, key: str) -> DataFrame:
     """``inner`` with columns m_found, m_new, m_text; only texts with a match get past the first test."""
     some = F.col(text).rlike(PATTERN)
-    found = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    step = inner.withColumns({"m_found": found, "m_gaps": F.when(some, F.split(F.col(text), PATTERN, -1))})
-    parts = F.flatten(F.transform(F.filter("m_found", lambda m: _kind(m) == "name"), _name_parts))
-    step = step.withColumn("m_names", _assigned(parts, key))
+    none = F.array().cast("array<string>")
+    step = inner.withColumn("m_first", F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none))
+    step = step.withColumn("m_words", F.array_distinct(F.flatten(F.transform(F.filter("m_first", lambda m: _kind(m) == "name"), _name_words))))
+    step = step.withColumns({"m_names": F.transform("m_words", lambda w: F.struct(w.alias("word"), _renamed(w, key).alias("new"))), "m_wide": _with_mentions(F.col("m_words"))})
+    found = F.when(F.col("m_wide").isNotNull(), F.regexp_extract_all(text, F.col("m_wide"), F.lit(0))).otherwise(F.col("m_first"))
+    gaps = F.when(F.col("m_wide").isNotNull(), F.split(F.col(text), F.col("m_wide"), -1)).when(F.size("m_first") > 0, F.split(F.col(text), PATTERN, -1))
+    step = step.withColumns({"m_found": found, "m_gaps": gaps})
     step = step.withColumn("m_new", F.transform("m_found", lambda m: _surrogate(m, F.col("m_names"), key)))
     joined = F.array_join(F.zip_with("m_gaps", F.concat(F.col("m_new"), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
     return step.withColumn("m_text", F.when(F.size("m_found") > 0, joined).otherwise(F.col(text)))
@@ -206,8 +239,9 @@ def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
     Detected entities are replaced in place: same kind, punctuation, letter case and script, gender
     of names where a title or given name tells it, country prefix of phones, network and validity
-    of card numbers. Equal entities get equal surrogates (names: within a document), different ones
-    different surrogates. Null texts stay null with 0 entities; empty texts and texts without
+    of card numbers. Equal entities get equal surrogates in every document, different ones different
+    surrogates. Names are found by title or listed given name; their words are then replaced wherever
+    they stand in the text, and count as entities of kind name. Null texts stay null with 0 entities; empty texts and texts without
     entities stay as they are; repeated rows give repeated results; extra columns are left out.
     """
     done = _replaced(docs.select("doc_id", "text"), "text", key)
@@ -222,11 +256,10 @@ def mapping(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
 
 def collisions(mapped: DataFrame) -> DataFrame:
-    """The collision check over a corpus: surrogates that stand for several originals (names: within a
-    document), and originals with several surrogates. It is empty if the maps hold what they promise."""
-    scope = F.when(F.col("kind") == "name", F.col("doc_id"))
-    rows = mapped.select("kind", scope.alias("scope"), "original", "surrogate").distinct()
-    count = lambda by, of: rows.groupBy("kind", "scope", by).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit(of).alias("several"), F.col(by).alias("value"), "n")
+    """The collision check over a corpus: surrogates that stand for several originals, and originals with
+    several surrogates, in whatever documents. It is empty if the maps hold what they promise."""
+    rows = mapped.select("kind", "original", "surrogate").distinct()
+    count = lambda by, of: rows.groupBy("kind", by).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit(of).alias("several"), F.col(by).alias("value"), "n")
     return reduce(DataFrame.union, [count("surrogate", "originals"), count("original", "surrogates")])
 
 

@@ -70,6 +70,23 @@ def test_more_names_than_the_list(spark):
     assert len(new) == len(set(new)) == len(names) and not set(new) & {n[4:] for n in names}
 
 
+def test_names_of_a_corpus(spark):
+    """Bare mentions go too; one surrogate for a name in all documents, and one name for a surrogate."""
+    rows = [(1, "Smith's friend, Mr. Smith, left. Then Smith (Mr. Smith's car) met Smithson; write to Smith.j@example.com")]
+    rows += [(100 + i, f"Mrs. {a}{b} and Dr. Smith") for i, (a, b) in enumerate((a, b) for a in ("Bar", "Mor", "Kel", "Tan", "Wes", "Li", "Ро", "Σα") for b in ("ton", "dale", "ova", "n", "в", "ева"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r for r in surrogates.replace_pii(docs).collect()}
+    a, b, c, d = re.fullmatch(r"(\w+)'s friend, Mr\. (\w+), left\. Then (\w+) \(Mr\. (\w+)'s car\) met Smithson; write to \S+@\S+", out[1].text).groups()
+    assert a == b == c == d != "Smith" and out[1].n_entities == 5 and "Smith.j" not in out[1].text
+    others = [re.fullmatch(r"Mrs\. (\S+) and Dr\. (\S+)", out[i].text).groups() for i, _ in rows[1:]]
+    assert {s for _, s in others} == {a} and len({n for n, _ in others} | {a}) == len(rows)
+    assert not [t for i, t in rows[1:] if t.split()[1] in out[i].text]
+    mapped = surrogates.mapping(docs)
+    assert surrogates.collisions(mapped).count() == 0
+    clash = spark.createDataFrame([(1, "name", "Mr. A", "Mr. X"), (2, "name", "Mr. B", "Mr. X")], mapped.schema)
+    assert [(r.several, r.value) for r in surrogates.collisions(clash).collect()] == [("originals", "Mr. X")]
+
+
 def test_odd_rows(odd, odd_rows, empty):
     out = surrogates.pseudonymize(odd)
     assert out.columns == odd.columns and out.count() == len(odd_rows)
