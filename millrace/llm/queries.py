@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: For the synthetic tables only: real texts need a secret, in the session's setting.
+TABLES_KEY = "synthetic tables"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The key of surrogates: spark.millrace.pii.key, or that of the synthetic tables."""
+    return spark.conf.get("spark.millrace.pii.key", TABLES_KEY)
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of web pages by tree scoring."""
     return html.extract_main_text(_table(spark, sf_dir, "pages"))
@@ -34,7 +43,7 @@ def op3_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    return surrogates.replace_pii(_table(spark, sf_dir, "documents"))
+    return surrogates.replace_pii(_table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

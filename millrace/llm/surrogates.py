@@ -6,12 +6,13 @@ values of a format, so equal values get equal surrogates in every document and d
 never collide, at any corpus size, without a shuffle. So are the words of person
 names, over vowels and consonants of their scripts; the given names and Cyrillic surnames of the lists
 below change places within their list. Every later or earlier mention of a found name's word in its
-text is replaced too.
+text is replaced too, in capitals as well. A grouped check over all entities shows that the maps held.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,61 +29,89 @@ FEMALE_NAMES_CYRILLIC = ("Анна", "Мария", "Елена", "Ольга", "
 MALE_SURNAMES_CYRILLIC = ("Орлов", "Лебедев", "Козлов", "Новиков", "Морозов", "Волков", "Соловьёв", "Зайцев", "Егоров", "Беляев")
 FEMALE_SURNAMES_CYRILLIC = ("Орлова", "Лебедева", "Козлова", "Новикова", "Морозова", "Волкова", "Соловьёва", "Зайцева", "Егорова", "Беляева")
 
+#: What comes before a person's own name.
+CUES = ("my name is", "My name is", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут", "signed by", "Signed by", "Full name:", "full name:", "Patient:")
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-#: Kinds in the order of preference where matches begin at the same place.
+_NAME = r"\p{Lu}\p{L}{1,40}(?:['’-]\p{L}{1,40}){0,4}(?!\p{L})"
+_TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)})\.? "
+_GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES + MALE_NAMES_CYRILLIC + FEMALE_NAMES_CYRILLIC)
+#: Kinds in the order of preference where matches begin at the same place. Groups that repeat without
+#: a bound are possessive: Java runs those as loops, and others by recursion.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "name": rf"(?<![\p{{L}}-])(?:(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)})\.? {_NAME}(?: {_NAME})?|(?:{'|'.join(MALE_NAMES + FEMALE_NAMES + MALE_NAMES_CYRILLIC + FEMALE_NAMES_CYRILLIC)}) {_NAME})",
+    "name": rf"(?=[\p{{Lu}}г])(?<![\p{{L}}-])(?:{_TITLE}{_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME}|(?<=(?:{'|'.join(CUES)}) ){_NAME}(?: {_NAME})?)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-DEFAULT_KEY = "millrace"
-#: Letters that stand for each other in names, small ones; others are kept.
+#: With the words that may be mentions of a name found elsewhere in the text.
+MENTIONS = rf"{PATTERN}|(?=\p{{Lu}})(?<!\p{{L}}['’])(?<![\p{{L}}\p{{N}}_]){_NAME}"
+#: All kinds but names hold an @ or so many digits, close by.
+_DIGITS = r"\d[\d .()-]{3}|[A-Z]{2}\d{2}[ A-Z0-9]"
+#: Classes of characters that stand for each other, small letters first; others are kept.
+_PLAIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _SMALL = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çðñþšžčřłćńśź", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
 _LETTERS = _SMALL + tuple(c.upper() for c in _SMALL)
 #: Endings of Cyrillic surnames, which tell a gender, are kept.
 _ENDING = r"^(.{2,}?)(ова|ева|ёва|ина|ская|цкая|ов|ев|ёв|ин|ский|цкий)$"
-#: What may follow a name's word without being part of it.
-_TAIL = r"(?:['’]s?|-)+$"
+_POSSESSIVE = r"['’]s$"
 
 
 def _kind(m: Column) -> Column:
     digits = F.length(F.regexp_replace(m, r"\D", ""))
     return (
         F.when(m.contains("@"), "email")
+        .when(digits == 0, "name")
         .when(m.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip")
         .when(m.rlike(r"^(?:\d{4}[ -]?){3}\d{4}$"), "card")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(m.rlike(r"^[A-Z]{2}\d{2}") & (digits > 1), "iban")
-        .when(m.rlike(r"^[+(\d]"), "phone")
-        .otherwise("name")
+        .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
+        .otherwise("phone")
     )
 
 
-def _shifted(text: Column, code: Column) -> Column:
-    """Each digit and ASCII letter moved within its class by the bytes of a hex string; others as they are."""
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _constants(kind: str, values: list) -> Column:
+    """An array or map of constants, in one expression."""
+    return F.expr(f"{kind}({', '.join(map(repr, values))})")
+
 
-    def one(c: Column, i: Column) -> Column:
-        by = F.conv(F.substr(code, (i % 30) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        point = F.ascii(c)
-        move = lambda first, n: F.char(first + (point - first + by) % n)
-        return F.when(c.rlike("^[0-9]$"), move(48, 10)).when(c.rlike("^[a-z]$"), move(97, 26)).when(c.rlike("^[A-Z]$"), move(65, 26)).otherwise(c)
+def _turned(text: Column, code: Column, sign: int, classes: tuple[str, ...]) -> Column:
+    """Each character moved within its class by the bytes of a hex string, or back (sign -1)."""
+
+    letters = F.lit("".join(classes))
+    begins = _constants("array", [sum(map(len, classes[:k])) + 1 for k, some in enumerate(classes) for _ in some])
+    sizes = _constants("array", [len(some) for some in classes for _ in some])
+
+    def one(code: Column, c: Column, i: Column) -> Column:
+        by = F.conv(F.substr(code, (i % 30) * 2 + 1, F.lit(2)), 16, 10).cast("int") * sign
+        moved = lambda at: F.substr(letters, F.element_at(begins, at) + F.pmod(at - F.element_at(begins, at) + by, F.element_at(sizes, at)), F.lit(1))
+        return _with(F.position(c, letters), lambda at: F.when(at > 0, moved(at)).otherwise(c))
 
-    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+    turned = _with(code, lambda code: F.array_join(F.transform(F.split(text, ""), lambda c, i: one(code, c, i)), ""))
+    return F.when(text == "", text).otherwise(turned)
 
 
-def permuted(text: Column, kind: str, key: str) -> Column:
-    """A keyed one-to-one map on the strings with the same places of digits, small and capital letters:
-    four Feistel rounds over the two halves. Alone, a single character is shifted by the key."""
+def permuted(text: Column, kind: str, key: str, classes: tuple[str, ...] = _PLAIN) -> Column:
+    """A keyed one-to-one map on the strings with the same places of character classes: four Feistel
+    rounds over the two halves, a step of one on each character, and the rounds back. So it leaves no
+    string that has a character of the classes as it was."""
     half = F.floor(F.length(text) / 2).cast("int")
-    start = F.struct(F.substr(text, F.lit(1), half).alias("a"), F.substr(text, half + 1).alias("b"))
-    round_of = lambda s, r: F.struct(s["b"].alias("a"), _shifted(s["a"], F.sha2(F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit("|"), s["b"]), 256)).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, round_of, lambda s: F.concat(s["a"], s["b"]))
+    code = lambda r, b: F.sha2(F.concat(F.lit(f"{key}|{kind}|"), r.cast("string"), F.lit("|"), b), 256)
+    halves = F.struct(F.substr(text, F.lit(1), half).alias("a"), F.substr(text, half + 1).alias("b"))
+    ahead = lambda s, r: F.struct(s["b"].alias("a"), _turned(s["a"], code(r, s["b"]), 1, classes).alias("b"))
+    back = lambda s, r: F.struct(_turned(s["b"], code(r, s["a"]), -1, classes).alias("a"), s["a"].alias("b"))
+    ones = F.lit("01" * 32)
+    stepped = F.aggregate(F.sequence(F.lit(1), F.lit(4)), halves, ahead, lambda s: F.struct(_turned(s["a"], ones, 1, classes).alias("a"), _turned(s["b"], ones, 1, classes).alias("b")))
+    return F.aggregate(F.sequence(F.lit(4), F.lit(1), F.lit(-1)), stepped, back, lambda s: F.concat(s["a"], s["b"]))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -95,12 +124,8 @@ def _ip(m: Column, key: str) -> Column:
 
 def _luhn(fifteen: Column) -> Column:
     """The check digit of 15 digits."""
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.lit(15)),
-        F.lit(0),
-        lambda s, i: s + F.when(i % 2 == 0, F.substr(fifteen, i, F.lit(1)).cast("int")).otherwise((F.substr(fifteen, i, F.lit(1)).cast("int") * 2) % 10 + F.floor(F.substr(fifteen, i, F.lit(1)).cast("int") / 5).cast("int")),
-    )
-    return (10 - total % 10) % 10
+    digit = F.transform(F.filter(F.split(fifteen, ""), lambda c: c != ""), lambda c, i: F.when(i % 2 == 1, c.cast("int")).otherwise(c.cast("int") * 2 % 10 + F.floor(c.cast("int") / 5).cast("int")))
+    return (10 - F.aggregate(digit, F.lit(0), lambda s, d: s + d) % 10) % 10
 
 
 def _card(m: Column, key: str) -> Column:
@@ -108,10 +133,10 @@ def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, r"\D", "")
     inner = F.concat(F.substr(digits, F.lit(1), F.lit(1)), permuted(F.substr(digits, F.lit(2), F.lit(14)), "card", key))
     offset = F.pmod(F.substr(digits, F.lit(16), F.lit(1)).cast("int") - _luhn(F.substr(digits, F.lit(1), F.lit(15))), F.lit(10))
-    new = F.concat(inner, ((_luhn(inner) + offset) % 10).cast("string"))
     separator = lambda k: F.regexp_extract(m, r"^\d{4}([ -]?)\d{4}([ -]?)\d{4}([ -]?)", k)
-    part = lambda k: F.substr(new, F.lit(4 * k + 1), F.lit(4))
-    return F.concat(part(0), separator(1), part(1), separator(2), part(2), separator(3), part(3))
+    part = lambda new, k: F.substr(new, F.lit(4 * k + 1), F.lit(4))
+    whole = _with(inner, lambda x: F.concat(x, ((_luhn(x) + offset) % 10).cast("string")))
+    return _with(whole, lambda new: F.concat(part(new, 0), separator(1), part(new, 1), separator(2), part(new, 2), separator(3), part(new, 3)))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -126,48 +151,17 @@ def _phone(m: Column, key: str) -> Column:
     return F.concat(prefix, permuted(F.substr(m, F.length(prefix) + 1), "phone", key))
 
 
-def _words(m: Column) -> Column:
-    return F.split(m, " ")
-
-
 def _titled(m: Column) -> Column:
-    return m.rlike(rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES + OPEN_TITLES)})\.? ")
+    return m.rlike(f"^{_TITLE}")
 
 
 def _core(word: Column) -> Column:
-    return F.regexp_replace(word, _TAIL, "")
+    return F.regexp_replace(word, _POSSESSIVE, "")
 
 
 def _name_words(m: Column) -> Column:
     """The words of a name match after its title, without possessive endings."""
-    return F.transform(F.when(_titled(m), F.slice(_words(m), 2, 2)).otherwise(_words(m)), _core)
-
-
-def _turned(text: Column, code: Column, sign: int) -> Column:
-    """Each letter moved within its class of ``_LETTERS`` by the bytes of a hex string, or back."""
-
-    def one(c: Column, i: Column) -> Column:
-        by = F.conv(F.substr(code, (i % 30) * 2 + 1, F.lit(2)), 16, 10).cast("int") * sign
-        out = c
-        for letters in _LETTERS:
-            at = F.position(c, F.lit(letters))
-            out = F.when(at > 0, F.substr(F.lit(letters), F.pmod(at - 1 + by, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
-        return out
-
-    return F.when(text == "", text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
-
-
-def _moved(word: Column, key: str) -> Column:
-    """A keyed one-to-one map on words with the same places of letter classes that keeps no word: Feistel
-    rounds, a step of one on each letter, and the rounds back."""
-    half = F.floor(F.length(word) / 2).cast("int")
-    code = lambda r, b: F.sha2(F.concat(F.lit(f"{key}|name|"), r.cast("string"), F.lit("|"), b), 256)
-    split = lambda w: F.struct(F.substr(w, F.lit(1), half).alias("a"), F.substr(w, half + 1).alias("b"))
-    ahead = lambda s, r: F.struct(s["b"].alias("a"), _turned(s["a"], code(r, s["b"]), 1).alias("b"))
-    back = lambda s, r: F.struct(_turned(s["b"], code(r, s["a"]), -1).alias("a"), s["a"].alias("b"))
-    ones = F.lit("01" * 32)
-    stepped = F.aggregate(F.sequence(F.lit(1), F.lit(4)), split(word), ahead, lambda s: F.struct(_turned(s["a"], ones, 1).alias("a"), _turned(s["b"], ones, 1).alias("b")))
-    return F.aggregate(F.sequence(F.lit(4), F.lit(1), F.lit(-1)), stepped, back, lambda s: F.concat(s["a"], s["b"]))
+    return F.transform(F.when(_titled(m), F.slice(F.split(m, " "), 2, 2)).otherwise(F.split(m, " ")), _core)
 
 
 def _listed(key: str) -> dict[str, str]:
@@ -187,83 +181,92 @@ def _renamed(word: Column, key: str) -> Column:
     map one-to-one. Words of other scripts get consonants by 64 bits of a keyed hash.
     """
     lists = _listed(key)
+    known, pairs = _constants("array", list(lists)), _constants("map", [x for pair in lists.items() for x in pair])
     ending = F.regexp_extract(word, _ENDING, 2)
     stem = F.substr(word, F.lit(1), F.length(word) - F.length(ending))
-    fits = lambda s: ~F.concat(s, ending).isin(*lists) & (F.regexp_extract(F.concat(s, ending), _ENDING, 2) == ending)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), stem, lambda s, i: F.when((i > 1) & fits(s), s).otherwise(_moved(s, key)))
+    fits = lambda s: ~F.array_contains(known, F.concat(s, ending)) & (F.regexp_extract(F.concat(s, ending), _ENDING, 2) == ending)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), stem, lambda s, i: F.when((i > 1) & fits(s), s).otherwise(permuted(s, "name", key, _LETTERS)))
     other = F.concat(F.lit("X"), F.translate(F.substr(F.sha2(F.concat(F.lit(f"{key}|name|"), word), 256), F.lit(1), F.lit(16)), "0123456789abcdef", "bcdfghklmnprstvz"))
-    known = F.element_at(F.create_map(*(F.lit(x) for pair in lists.items() for x in pair)), word)
-    return F.coalesce(known, F.when(word.rlike(rf"^[{''.join(_LETTERS)}ß'’-]+$"), F.concat(walked, ending)).otherwise(other))
+    return F.coalesce(F.element_at(pairs, word), F.when(word.rlike(rf"^[{''.join(_LETTERS)}ß'’-]+$"), F.concat(walked, ending)).otherwise(other))
+
+
+def _mention(word: Column, names: Column) -> Column:
+    """The new word of a mention of one of ``names`` (a map), as written or in capitals; null for other words."""
+    core = _core(word)
+    new = F.coalesce(F.element_at(names, core), F.when((core == F.upper(core)) & (F.length(core) > 1), F.upper(F.element_at(names, F.initcap(core)))))
+    return F.concat(new, F.regexp_extract(word, _POSSESSIVE, 0))
 
 
-def _surrogate(m: Column, names: Column, key: str) -> Column:
-    kind = _kind(m)
-    lookup = lambda w: F.element_at(F.filter(names, lambda d: d["word"] == _core(w)), 1)["new"]
-    word = lambda w: F.concat(lookup(w), F.regexp_extract(w, _TAIL, 0))
-    renamed = F.array_join(F.transform(_words(m), lambda w, i: F.when((i == 0) & _titled(m), w).otherwise(word(w))), " ")
+def _name_surrogate(m: Column, names: Column) -> Column:
+    word = lambda w, i: F.when((i == 0) & _titled(m), w).otherwise(F.coalesce(_mention(w, names), w))
+    return F.when(m.contains(" "), F.array_join(F.transform(F.split(m, " "), word), " ")).otherwise(_mention(m, names))
+
+
+def _surrogate(kind: Column, m: Column, names: Column, key: str) -> Column:
+    """The surrogate of a match; null if it is a capitalised word that no name holds."""
     return (
-        F.when(kind == "email", _email(m, key))
+        F.when(kind == "name", _name_surrogate(m, names))
+        .when(kind == "email", _email(m, key))
         .when(kind == "ip", _ip(m, key))
         .when(kind == "card", _card(m, key))
         .when(kind == "ssn", permuted(m, "ssn", key))
         .when(kind == "iban", F.concat(F.substr(m, F.lit(1), F.lit(2)), permuted(F.substr(m, F.lit(3)), "iban", key)))
-        .when(kind == "phone", _phone(m, key))
-        .otherwise(renamed)
+        .otherwise(_phone(m, key))
     )
 
 
-def _with_mentions(words: Column) -> Column:
-    """PATTERN, or the words of found names alone, longer ones first; null without such words."""
-    ordered = F.transform(F.array_sort(F.transform(F.filter(words, lambda w: F.length(w) > 1), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-    mention = F.concat(F.lit(rf"{PATTERN}|(?<!\p{{L}}['’])(?<![\p{{L}}\p{{N}}_])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}_])(?![A-Za-z0-9._%+-]*@)"))
-    return F.when(F.size(ordered) > 0, mention)
-
-
 def _replaced(inner: DataFrame, text: str, key: str) -> DataFrame:
-    """``inner`` with columns m_found, m_new, m_text; only texts with a match get past the first test."""
-    some = F.col(text).rlike(PATTERN)
+    """``inner`` with columns m_found (array of kind, original, surrogate) and m_text."""
+    if not key:
+        raise ValueError("surrogates need a key")
+    whole = F.col(text)
+    some = whole.contains("@") | whole.rlike(_DIGITS) | whole.rlike(PATTERNS["name"])
     none = F.array().cast("array<string>")
     step = inner.withColumn("m_first", F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(none))
     step = step.withColumn("m_words", F.array_distinct(F.flatten(F.transform(F.filter("m_first", lambda m: _kind(m) == "name"), _name_words))))
-    step = step.withColumns({"m_names": F.transform("m_words", lambda w: F.struct(w.alias("word"), _renamed(w, key).alias("new"))), "m_wide": _with_mentions(F.col("m_words"))})
-    found = F.when(F.col("m_wide").isNotNull(), F.regexp_extract_all(text, F.col("m_wide"), F.lit(0))).otherwise(F.col("m_first"))
-    gaps = F.when(F.col("m_wide").isNotNull(), F.split(F.col(text), F.col("m_wide"), -1)).when(F.size("m_first") > 0, F.split(F.col(text), PATTERN, -1))
-    step = step.withColumns({"m_found": found, "m_gaps": gaps})
-    step = step.withColumn("m_new", F.transform("m_found", lambda m: _surrogate(m, F.col("m_names"), key)))
-    joined = F.array_join(F.zip_with("m_gaps", F.concat(F.col("m_new"), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
-    return step.withColumn("m_text", F.when(F.size("m_found") > 0, joined).otherwise(F.col(text)))
-
-
-def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+    named, names = F.size("m_words") > 0, F.map_from_arrays("m_words", F.transform("m_words", lambda w: _renamed(w, key)))
+    step = step.withColumns({"m_names": names, "m_all": F.when(named, F.regexp_extract_all(text, F.lit(MENTIONS), F.lit(0))).otherwise(F.col("m_first"))})
+    kinds = F.transform("m_all", lambda m: F.struct(_kind(m).alias("kind"), m.alias("original")))
+    step = step.withColumn("m_each", F.transform(kinds, lambda f: F.struct(f["kind"], f["original"], _surrogate(f["kind"], f["original"], F.col("m_names"), key).alias("surrogate"))))
+    gaps = F.when(named, F.split(whole, MENTIONS, -1)).otherwise(F.split(whole, PATTERN, -1))
+    news = F.concat(F.transform("m_each", lambda f: F.coalesce(f["surrogate"], f["original"])), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(gaps, news, lambda g, s: F.concat(g, s)), "")
+    found = F.filter("m_each", lambda f: f["surrogate"].isNotNull())
+    return step.withColumns({"m_found": found, "m_text": F.when(F.size("m_each") > 0, joined).otherwise(whole)})
+
+
+def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_entities, kinds (in order, comma-joined) and text of each row of ``docs(doc_id, text)``.
 
     Detected entities are replaced in place: same kind, punctuation, letter case and script, gender
     of names where a title or given name tells it, country prefix of phones, network and validity
     of card numbers. Equal entities get equal surrogates in every document, different ones different
-    surrogates. Names are found by title or listed given name; their words are then replaced wherever
-    they stand in the text, and count as entities of kind name. Null texts stay null with 0 entities; empty texts and texts without
-    entities stay as they are; repeated rows give repeated results; extra columns are left out.
+    surrogates. Names are found by title, listed given name or a cue before them; their words are then
+    replaced wherever they stand in the text, in capitals too, and count as entities of kind name. Null
+    texts stay null with 0 entities; empty texts and texts without entities stay as they are; repeated
+    rows give repeated results; extra columns are left out. ``key`` is secret; an empty one is an error.
     """
     done = _replaced(docs.select("doc_id", "text"), "text", key)
-    kinds = F.array_join(F.transform("m_found", _kind), ",")
-    return done.select("doc_id", F.size("m_found").cast("bigint").alias("n_entities"), kinds.alias("kinds"), F.col("m_text").alias("text"))
+    kinds = F.array_join(F.transform("m_found", lambda f: f["kind"]), ",")
+    return done.select("doc_id", F.greatest(F.size("m_found"), F.lit(0)).cast("bigint").alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("kinds"), F.col("m_text").alias("text"))
 
 
-def mapping(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def mapping(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, kind, original, surrogate), once for each entity of a document: for audits, not for release."""
     done = _replaced(docs.select("doc_id", "text"), "text", key)
-    return done.select("doc_id", F.explode(F.arrays_zip("m_found", "m_new")).alias("p")).select("doc_id", _kind(F.col("p.m_found")).alias("kind"), F.col("p.m_found").alias("original"), F.col("p.m_new").alias("surrogate")).distinct()
+    return done.select("doc_id", F.inline("m_found")).distinct()
 
 
 def collisions(mapped: DataFrame) -> DataFrame:
     """The collision check over a corpus: surrogates that stand for several originals, and originals with
-    several surrogates, in whatever documents. It is empty if the maps hold what they promise."""
+    several surrogates, in whatever documents. It is empty if the maps hold what they promise. Entities
+    are reduced to distinct ones before they are grouped, so none is hot."""
     rows = mapped.select("kind", "original", "surrogate").distinct()
     count = lambda by, of: rows.groupBy("kind", by).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit(of).alias("several"), F.col(by).alias("value"), "n")
     return reduce(DataFrame.union, [count("surrogate", "originals"), count("original", "surrogates")])
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` (all columns, any names) with replaced texts; an n_chars column follows them."""
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
