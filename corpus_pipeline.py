@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, minhash, shared, surrogates, toxicity, winnow
+from millrace.llm import bpe, minhash, queries, shared, surrogates, toxicity, winnow
 
 #: A stage on word shingles takes five words and a similarity of 0.8.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -30,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data in their texts."""
-    return surrogates.pseudonymize(docs)
+    return surrogates.pseudonymize(docs, queries.pii_key(spark))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
