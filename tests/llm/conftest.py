@@ -21,8 +21,8 @@ ODD = [
     (10, "x" * 30_000),
     (11, " ".join(f"w{i % 977}" for i in range(60_000))),
     (12, "  leading and   trailing \n\n\n spaces\t\t "),
-    (13, "<|endoftext|> 12345678901 3.14159 --- == !!! ␟ \x01 mark"),
-    (13, "<|endoftext|> 12345678901 3.14159 --- == !!! ␟ \x01 mark"),
+    (13, "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> 12345678901 3.14159 --- == !!! ␟ \x01 mark"),
+    (13, "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> 12345678901 3.14159 --- == !!! ␟ \x01 mark"),
     (14, "ab"),
     (-5, "negative id"),
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterable
@@ -94,3 +95,27 @@ def token_rows(docs: list[tuple[int, str | None]], encode, end_id: int) -> list[
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     return out
+
+
+def entropy_spans(text: str | None) -> list[tuple[int, int]]:
+    """Candidates that stay random once base matches, placeholders and repeats are blanked, by direct counting."""
+    covered = re.compile(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}|(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,})")
+    bare = covered.sub(lambda m: " " * len(m[0]), text or "")
+    allowed = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|(?:sha1|sha256|sha384|sha512|md5)[-=_][A-Za-z0-9+/]+={0,2}|(?:[A-Za-z0-9]{1,12}[-_/]){3,}[A-Za-z0-9]{0,12}")
+    placeholder = re.compile("example|sample|dummy|placeholder|changeme|xxxx|0000000|1234567", re.I)
+    mixed = lambda s: re.search("[0-9]", s) and re.search("[A-Za-z]", s)
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", bare):
+        if not mixed(m[0]) or allowed.fullmatch(m[0]):
+            continue
+        parts = re.findall("[A-Za-z0-9+]+|[/_=-]+", m[0])
+        rest = re.sub(r"(.)\1{7,}", " ", "".join(" " if placeholder.search(p) else p for p in parts))
+        for piece in rest.split(" "):
+            if len(piece) < 20 or not mixed(piece):
+                continue
+            least = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", piece) else 3.5 if piece.isalnum() else 3.6
+            windows = (piece[i : i + 20] for i in range(len(piece) - 19))
+            if any(-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) >= least - 1e-12 for w in windows):
+                out.append(m.span())
+                break
+    return out

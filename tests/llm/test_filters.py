@@ -1,6 +1,7 @@
 """Toxicity by held-out accuracy; secret scans against plain patterns and entropies."""
 
 import math
+import random
 import zlib
 
 import pytest
@@ -82,6 +83,10 @@ def assert_secrets(docs):
     for r in found:
         base = [s for s in r.spans.split(",") if s and not s.startswith("entropy")]
         assert plain.sha(",".join(base)) == r.base_sha256
+    texts = {str(r.doc_id): r.text for r in rows}
+    for r in found:
+        random = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("entropy")]
+        assert str(r.doc_id) == "None" or random == plain.entropy_spans(texts[str(r.doc_id)])
     return {r.doc_id: r.spans for r in found}
 
 
@@ -106,3 +111,24 @@ def test_window_entropy(spark):
 def test_secrets_are_native(odd):
     plan = secrets.find_secrets(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_random_candidates(spark):
+    """Placeholders and repeats silence their part only; what base spans leave of a run counts."""
+    pick = random.Random(7)
+    some = lambda n, letters=secrets.ALPHABET[:62]: "".join(pick.choice(letters) for _ in range(n))
+    rows = [f"sample_key={some(40)}", f"example/path/{some(32)}", "AAAAAAAAA" + some(30), f"{some(30)}AAAAAAAAAAAAAAAA{some(8)}", f"x {some(25)}{'0123456789abcdef' * 2}{some(25, 'GHIJK0123')} y", "/".join(some(5) for _ in range(9)), some(24, "ab01"), some(60, "0123456789-")]
+    rows += [" ".join(some(pick.choice([10, 20, 30, 50]), secrets.ALPHABET[: pick.choice([26, 62, 67])]) for _ in range(12)) for _ in range(60)]
+    rows += [f"api_key = '{some(9)}' password:{some(5)} {some(40)} AKIA{some(16, 'ABC234')}-{some(30)}" for _ in range(20)]
+    spans = assert_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))
+    assert all(spans[i] for i in range(4)) and not spans[5] and not spans[7]
+
+
+def test_long_candidates(spark):
+    """A million characters in one candidate, or of what a pattern repeats: linear time, and the job lives."""
+    pick = random.Random(8)
+    some = "".join(pick.choice(secrets.ALPHABET) for _ in range(1_000_000))
+    texts = [some, "ab-" * 400_000 + "1x", "abcdefghijkl-" * 80_000 + "1x", "a" * 1_000_000 + "1", "token" + " " * 1_000_000, "sha256-" + some.replace("=", "+").replace("-", "+").replace("_", "+"), "0123456789abcdef" * 60_000, " ".join(some[i : i + 33] for i in range(0, 500_000, 33))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    spans = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert spans[0] == "entropy:0:1000000" and spans[6] == "hex:0:960000" and not any(spans[i] for i in (1, 2, 4, 5)) and spans[7].count("entropy") > 10_000
