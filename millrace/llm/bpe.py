@@ -57,11 +57,12 @@ class SegmentEncoder:
     ids each has, and all ids.
 
     ``fold``: the vocabulary ignores the case of A-Z and white space before a segment, so segments
-    that differ in these only are one.
+    that differ in these only are one. Texts that hold one of the strings ``whole`` (the vocabulary's
+    added tokens, which the library finds before all else) go through the library as they are.
     """
 
-    def __init__(self, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False, limit: int = CACHE_SEGMENTS):
-        self.encode_all, self.fold, self.limit = encode_all, fold, limit
+    def __init__(self, encode_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fold: bool = False, limit: int = CACHE_SEGMENTS, whole: tuple[bytes, ...] = ()):
+        self.encode_all, self.fold, self.limit, self.whole = encode_all, fold, limit, whole
         self._reset()
 
     def _reset(self) -> None:
@@ -82,6 +83,20 @@ class SegmentEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where each row's begin (rows + 1 positions)."""
+        raw = data.tobytes() if self.whole else b""
+        if not any(w in raw for w in self.whole):
+            return self._encode(data, offsets)
+        ids, sizes = [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            if any(raw.find(w, a, b) >= 0 for w in self.whole):
+                own = self.encode_all([raw[a:b].decode()])[1]
+            else:
+                own = self._encode(data[a:b], np.array([0, b - a]))[0]
+            ids.append(own)
+            sizes.append(len(own))
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(sizes)))
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, bounds = safe_segments(data, offsets)
         if not len(starts):
             return self.ids[:0], bounds
@@ -152,7 +167,7 @@ def _encode_joined(tokenizer: Tokenizer, texts: list[str]) -> tuple[np.ndarray,
         part = texts[at : at + JOINED]
         found = np.array(alone([f" {MARK} ".join([*part, ""])])[0], np.uint32)
         ends = np.flatnonzero(found == mark[0])
-        if len(mark) == 1 and len(ends) == len(part):
+        if len(part) > 1 and len(mark) == 1 and len(ends) == len(part):
             sizes.append(np.diff(ends, prepend=-1) - 1)
             ids.append(np.delete(found, ends))
         else:
@@ -165,8 +180,10 @@ def _encode_joined(tokenizer: Tokenizer, texts: list[str]) -> tuple[np.ndarray,
 def tokenizer_file_encoder(path: str) -> SegmentEncoder:
     if path not in _encoders:
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _encoders[path] = SegmentEncoder(lambda texts: _encode_joined(tokenizer, texts), fold=True)
+        added = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())
+        # one id for two texts that differ in case and white space: the file's normalizer ignores both
+        fold = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("A  b") == tokenizer.normalizer.normalize_str("a b")
+        _encoders[path] = SegmentEncoder(lambda texts: _encode_joined(tokenizer, texts), fold=fold, whole=added)
     return _encoders[path]
 
 

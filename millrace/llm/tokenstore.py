@@ -4,14 +4,19 @@ A store is a folder of Parquet tables:
 
 * ``chunks(digest, n, payload)``: each distinct chunk once; payload is zstd-compressed ids, 16 bits
   wide where all ids fit, else 32 bits (first byte of the payload: 2 or 4);
-* ``recipes(part, doc_id, copy, start, n_tokens, root, digests)``: documents in ascending doc_id
-  order over the parts; ``digests`` are the chunks of a document in order, ``root`` its Merkle root;
-* ``manifest(part, n_docs, n_tokens, start, root)``: one row a part with the Merkle root of its documents.
+* ``parts(part, doc_id, at, n_tokens, root, digests)``: documents in ascending doc_id order over the
+  parts; ``at`` counts the ids before a document in its part, ``digests`` are its chunks in order,
+  ``root`` its Merkle root;
+* ``manifest(part, n_docs, n_tokens, start, root)``: one row a part with the Merkle root of its documents;
+* ``store(n_parts, n_docs, n_tokens, root)``: one row with the Merkle root of the parts.
+
+Reading checks every level: chunks against digests, documents, parts and the store against their roots.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +34,8 @@ from millrace.llm.textblocks import mix, text_blocks
 #: 1024 ids, and after 16384 ids at the latest.
 WINDOW, MASK, LONGEST = 16, 1023, 16_384
 _SEEN = 50_000
+#: Documents of a part, on average; a part's roots are gathered in one row.
+PART_DOCS = 100_000
 
 
 def chunk_ends(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
@@ -124,42 +131,71 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str | None =
 
     Null and empty texts are documents of the end id alone. Documents are stored in ascending doc_id
     order, null ids first; rows that share a doc_id follow each other in the order of their Merkle
-    roots and are told apart by ``copy``. An empty table gives empty tables.
+    roots and are told apart by their starts. An empty table gives empty tables. Parts hold about
+    PART_DOCS documents at any size of the corpus.
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "tokenstore")
     staged = materialize(docs.select("doc_id", "text").mapInArrow(_stage(tokenizer, end_id), _STAGED), "encoded")
     chunks = staged.select(F.inline("new")).dropDuplicates(["digest"])
     chunks.write.parquet(f"{path}/chunks")
-    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = staged.select("doc_id", "n_tokens", "root", "digests").repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
-    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_positions, "part int, doc_id bigint, copy bigint, at bigint, n_tokens bigint, root binary, digests array<binary>").write.parquet(f"{path}/parts")
-    kept = spark.read.parquet(f"{path}/parts")
+    parts = max(1, spark.sparkContext.defaultParallelism, math.ceil(staged.count() / PART_DOCS))
+    # the last key spreads rows that are equal in the others
+    keys = ["doc_id", "root", "row"]
+    ordered = staged.select("doc_id", "n_tokens", "root", "digests", F.monotonically_increasing_id().alias("row")).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("row")
+    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_positions, "part int, doc_id bigint, at bigint, n_tokens bigint, root binary, digests array<binary>").write.parquet(f"{path}/parts")
+    sums = part_sums(spark.read.parquet(f"{path}/parts"))
     # One row a part reaches the window that turns sizes into starts.
-    sums = kept.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min(F.struct("doc_id", "root")).alias("first"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("root"))
-    sums.withColumn("start", F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "n_docs", "n_tokens", F.coalesce("start", F.lit(0)).alias("start"), "root").write.parquet(f"{path}/manifest")
+    before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums.withColumn("start", F.coalesce(before, F.lit(0))).write.parquet(f"{path}/manifest")
+    _whole(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/store")
     return path
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids before each document within its part, and the number of equal doc_ids before it."""
-    at, last, copy = 0, (), 0
+    """Ids before each document within its part."""
+    at = 0
     for batch in batches:
         sizes = batch.column(1).to_numpy(zero_copy_only=False)
         begin = at + np.cumsum(sizes) - sizes
         at += int(sizes.sum())
-        copies = []
-        for doc in batch.column(0).to_pylist():
-            copy = copy + 1 if (doc,) == last else 0
-            last = (doc,)
-            copies.append(copy)
-        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(0), pa.array(copies, pa.int64()), pa.array(begin, pa.int64()), batch.column(1), batch.column(2), batch.column(3)], ["part", "doc_id", "copy", "at", "n_tokens", "root", "digests"])
+        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(0), pa.array(begin, pa.int64()), batch.column(1), batch.column(2), batch.column(3)], ["part", "doc_id", "at", "n_tokens", "root", "digests"])
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = [merkle_root([x["root"] for x in ordered]) for ordered in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, pa.binary())], ["part", "n_docs", "n_tokens", "root"])
+
+
+def part_sums(parts: DataFrame) -> DataFrame:
+    """(part, n_docs, n_tokens, root) of the documents of each part. A part holds about PART_DOCS documents."""
+    ordered = parts.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("at", "root"))).alias("roots"))
+    return ordered.mapInArrow(_roots, "part int, n_docs bigint, n_tokens bigint, root binary")
+
+
+def _whole(manifest: DataFrame) -> DataFrame:
+    """One row (n_parts, n_docs, n_tokens, root) over the parts, of which there are few."""
+    rows = manifest.agg(F.count("*").alias("n_parts"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.array_sort(F.collect_list(F.struct(F.col("part").alias("at"), "root"))).alias("roots"))
+    return rows.mapInArrow(_roots, "n_parts bigint, n_docs bigint, n_tokens bigint, root binary")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raise ValueError unless documents, parts and store agree with the roots and counts written for them."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    values = ["n_docs", "n_tokens", "root"]
+    seen = part_sums(spark.read.parquet(f"{path}/parts")).select("part", F.struct(*values).alias("seen"))
+    wrong = manifest.select("part", F.struct(*values).alias("written")).join(seen, "part", "full").where(~F.col("written").eqNullSafe(F.col("seen")))
+    if damaged := [r.part for r in wrong.select("part").limit(5).collect()]:
+        raise ValueError(f"parts {damaged} do not agree with the manifest of {path}")
+    if _whole(manifest).exceptAll(spark.read.parquet(f"{path}/store")).count():
+        raise ValueError(f"the manifest of {path} does not agree with its root")
 
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a store with their global start."""
     starts = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("before"))
-    return spark.read.parquet(f"{path}/parts").join(starts, "part").select("part", "doc_id", "copy", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "root", "digests")
+    return spark.read.parquet(f"{path}/parts").join(starts, "part").select("part", "doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "root", "digests")
 
 
 def _chunk_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,40 +246,49 @@ def combine_crc32(first: int, second: int, n_bytes: int) -> int:
 
 def _joined_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for parts, root in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+        sizes, sums = [], []
+        for doc, start, root, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             crc = 0
             for p in parts:
+                if p["crc"] is None:
+                    raise ValueError(f"document {doc} at {start}: chunk {p['digest'].hex()} is missing")
                 crc = combine_crc32(crc, p["crc"], p["n_bytes"])
             if merkle_root([p["digest"] for p in parts]) != root:
-                raise ValueError("a document's chunks do not give its Merkle root")
-            out.append(crc)
-        sizes = [sum(p["n_bytes"] for p in parts) // 4 for parts in batch.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                raise ValueError(f"document {doc} at {start}: its chunks do not give its Merkle root")
+            sizes.append(sum(p["n_bytes"] for p in parts) // 4)
+            sums.append(crc)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files of a store.
 
-    Every stored chunk is read, checked against its digest and summed; a document's CRC-32 follows
-    from its chunks' (CRCs of joined strings combine), so no ids are shuffled: only digests are.
+    Counts and roots of parts and store are verified first. Every stored chunk is read, checked against
+    its digest and summed; a document's CRC-32 follows from its chunks' (CRCs of joined strings combine),
+    so no ids are shuffled: only digests are. A missing or damaged chunk, document or part is an error.
     """
+    verify(spark, path)
     sums = spark.read.parquet(f"{path}/chunks").select("digest", "payload").mapInArrow(_chunk_sums, "digest binary, n_bytes bigint, crc bigint")
-    exploded = recipes(spark, path).select("doc_id", "copy", "start", "root", F.posexplode("digests").alias("pos", "digest"))
-    joined = exploded.join(sums, "digest")
-    per_doc = joined.groupBy("doc_id", "copy", "start", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "n_bytes", "crc"))).alias("parts"))
-    return per_doc.select("doc_id", "copy", "start", F.lit(0).alias("unused"), "parts", "root").mapInArrow(_joined_sums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    exploded = recipes(spark, path).select("doc_id", "start", "root", F.posexplode("digests").alias("pos", "digest"))
+    # a document has at least its end id, so starts are unique
+    per_doc = exploded.join(sums, "digest", "left").groupBy("doc_id", "start", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "n_bytes", "crc"))).alias("parts"))
+    return per_doc.mapInArrow(_joined_sums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, copy, start and ids (little-endian 32-bit) of each document, rebuilt from its chunks."""
+    """doc_id, start and ids (little-endian 32-bit) of each document, rebuilt from its chunks."""
+    verify(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload")
-    exploded = recipes(spark, path).select("doc_id", "copy", "start", F.posexplode("digests").alias("pos", "digest"))
-    grouped = exploded.join(chunks, "digest").groupBy("doc_id", "copy", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("parts"))
+    exploded = recipes(spark, path).select("doc_id", "start", F.posexplode("digests").alias("pos", "digest"))
+    grouped = exploded.join(chunks, "digest", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "payload"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [b"".join(unpack(p["payload"]).tobytes() for p in parts) for parts in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], ["doc_id", "copy", "start", "ids"])
-
-    return grouped.mapInArrow(run, "doc_id bigint, copy bigint, start bigint, ids binary")
+            ids = []
+            for parts in batch.column(2).to_pylist():
+                if missing := [p["digest"].hex() for p in parts if p["payload"] is None]:
+                    raise ValueError(f"chunks {missing[:3]} are missing")
+                ids.append(b"".join(unpack(p["payload"]).tobytes() for p in parts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
+
+    return grouped.mapInArrow(run, "doc_id bigint, start bigint, ids binary")

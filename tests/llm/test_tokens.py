@@ -5,15 +5,13 @@ import pytest
 from tests.llm import plain
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, tokenstore
+from millrace.llm import bpe, shared, tokenstore
 
 WORD, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def word_ids(text):
-    t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +54,23 @@ def test_store_shares_chunks_and_sees_damage(spark, prose):
         list(tokenstore._chunk_sums(iter([spark.read.parquet(f"{path}/chunks").selectExpr("unhex('00') digest", "payload").toArrow().to_batches()[0]])))
 
 
+def rewritten(spark, path, name, change):
+    """A copy of a store with one of its tables changed."""
+    copy = shared.scratch(spark, "copy")
+    for table in ("chunks", "parts", "manifest", "store"):
+        rows = spark.read.parquet(f"{path}/{table}")
+        (change(rows) if table == name else rows).write.parquet(f"{copy}/{table}")
+    return copy
+
+
+@pytest.mark.parametrize("name,change", [("chunks", lambda t: t.exceptAll(t.limit(1))), ("parts", lambda t: t.where("doc_id <> 3")), ("parts", lambda t: t.where("part <> 0")), ("manifest", lambda t: t.where("part <> 0")), ("manifest", lambda t: t.selectExpr("part", "n_docs", "n_tokens + 1 n_tokens", "start", "root"))])
+def test_lost_chunks_documents_and_parts_are_errors(spark, prose, name, change):
+    path = tokenstore.write_store(spark.createDataFrame([(i, prose(40, i)) for i in range(6)], "doc_id bigint, text string"), WORD, 2)
+    assert tokenstore.read_back(spark, rewritten(spark, path, "store", lambda t: t)).count() == 6
+    with pytest.raises(Exception, match="missing|agree"):
+        tokenstore.read_back(spark, rewritten(spark, path, name, change)).collect()
+
+
 def test_empty_tables(spark, empty):
     assert tokenstore.read_back(spark, tokenstore.write_store(empty, WORD, 2)).count() == 0
     assert bpe.decode(bpe.encode(empty, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
