@@ -10,13 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import materialize
 from millrace.llm.textblocks import CODES, text_blocks
 
 #: Bytes under the gear hash; a cut follows the byte whose hash is the least within REACH bytes on
 #: either side (chunks of about 49 bytes); LONGEST bounds a chunk of text without such bytes.
 GEAR, REACH, LONGEST = 32, 24, 1024
-#: Runs of repeated chunks are removed from this many bytes. Shorter repeats (a common line) stay.
-#: A repeat of more than 50 words holds such a run, as at most a chunk at either end differs.
+#: Runs of repeated chunks are removed from this many bytes. Shorter repeats (a common line) stay. The
+#: chunks at either end of a repeat may differ, so one of about 100 to 300 bytes may hold no such run.
 LEAST_RUN = 90
 _TABLE = (CODES >> np.uint64(31)).astype(np.uint32)
 
@@ -88,17 +89,18 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the byte ranges of long enough runs of repeated chunks."""
+    """Remove the byte ranges of long enough runs of repeated chunks; a chunk without an owner repeats its own document."""
     for batch in batches:
         out: list[tuple] = []
-        for doc, text, found in zip(*(batch.column(i) for i in range(3)), strict=True):
+        for text, found in zip(batch.column(1), batch.column(2), strict=True):
             text, found = text.as_py(), found.as_py() or []
             runs: list[dict] = []
             for c in sorted(found, key=lambda c: c["seq"]):
                 if runs and runs[-1]["next"] == c["seq"]:
-                    runs[-1] |= {"stop": c["stop"], "next": c["seq"] + 1, "owners": runs[-1]["owners"] | {c["owner"]}}
+                    runs[-1]["stop"], runs[-1]["next"] = c["stop"], c["seq"] + 1
+                    runs[-1]["owners"].add((c["other"], c["owner"]))
                 else:
-                    runs.append({"start": c["start"], "stop": c["stop"], "next": c["seq"] + 1, "owners": {c["owner"]}})
+                    runs.append({"start": c["start"], "stop": c["stop"], "next": c["seq"] + 1, "owners": {(c["other"], c["owner"])}})
             runs = [r for r in runs if r["stop"] - r["start"] >= LEAST_RUN]
             if runs:
                 raw, parts, at = text.encode(), [], 0
@@ -106,35 +108,39 @@ def _without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     parts.append(raw[at : r["start"]])
                     at = r["stop"]
                 kept = b"".join([*parts, raw[at:]]).decode()
-                owners = sorted({o for r in runs for o in r["owners"] if o is not None})
-                out.append((len(runs), len(text) - len(kept), owners, kept))
+                others = sum(any(other for other, _ in r["owners"]) for r in runs)
+                owners = sorted({o for r in runs for other, o in r["owners"] if other and o is not None})
+                out.append((others, len(runs) - others, len(text) - len(kept), owners, kept))
             else:
-                out.append((0, 0, [], text))
-        n, removed, owners, texts = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(owners, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["doc_id", "n_runs", "n_removed", "first_doc_ids", "text"])
+                out.append((0, 0, 0, [], text))
+        n, own, removed, owners, texts = zip(*out, strict=True) if out else ((), (), (), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, own, removed)), pa.array(owners, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["doc_id", "n_runs", "n_own_runs", "n_removed", "first_doc_ids", "text"])
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text)``, with passages that an earlier document has removed.
+    """One row for each row of ``docs(doc_id, text)``, with passages that stand earlier in the corpus removed.
 
-    Columns: doc_id, n_runs and n_removed (runs and code points removed), first_doc_ids (the
-    documents that keep the passages, sorted), text. Texts are cut into content-defined chunks; of
-    the occurrences of a digest, the one in the document with the least (doc_id, text hash) owns
-    it; runs of consecutive chunks owned by other documents are removed from LEAST_RUN bytes on.
-    Repeats within one document, and short ones, stay.
+    Columns: doc_id, n_runs (runs removed that other documents keep), n_own_runs (runs removed that the
+    document itself has before), n_removed (code points), first_doc_ids (the other documents that keep
+    passages, sorted), text. Texts are cut into content-defined chunks; of the occurrences of a digest
+    the one with the least (doc_id, text hash, place) owns it; runs of consecutive chunks owned elsewhere
+    are removed from LEAST_RUN bytes on. Shorter repeats stay, so short copies of short texts do.
 
     Null texts stay null; empty texts and those without repeats stay as they are. A null doc_id
     comes before all others and is left out of first_doc_ids. Rows with equal doc_id and text are
-    one document. Digests are counted with partial sums before any shuffle, so a passage that
-    a third of all rows share does not meet in one task.
+    one document: each gets that document's result, and none is a repeat of another. Digests are reduced
+    by partial sums before any shuffle, and those that repeat are written before their occurrences are
+    joined to them, so Spark can split the rows of a passage that a third of all documents share.
     """
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t"))
     occurrences = keyed.select("d", "t", "text").mapInArrow(_chunked, _OCCURRENCE)
     key = ["high", "low"]
-    firsts = occurrences.groupBy(*key).agg(F.min(F.struct("d", "t")).alias("first"), F.max(F.struct("d", "t")).alias("last"))
-    shared = firsts.where("first <> last").select(*key, "first")
-    repeats = occurrences.join(shared, key).where((F.col("d") != F.col("first.d")) | (F.col("t") != F.col("first.t")))
+    firsts = occurrences.groupBy(*key).agg(F.min(F.struct("d", "t", "seq")).alias("first"), F.count("*").alias("n"))
+    shared = materialize(firsts.where("n > 1").select(*key, "first"), "shared")
+    repeats = occurrences.join(shared, key).where(F.struct("d", "t", "seq") != F.col("first"))
+    other = (F.col("d") != F.col("first.d")) | (F.col("t") != F.col("first.t"))
     owner = F.when(F.col("first.d") != -(1 << 63), F.col("first.d"))
-    per_doc = repeats.groupBy("d", "t").agg(F.collect_list(F.struct("seq", "start", "stop", owner.alias("owner"))).alias("found"))
+    # equal rows have the same chunks: a set holds each once
+    per_doc = repeats.groupBy("d", "t").agg(F.collect_set(F.struct("seq", "start", "stop", other.alias("other"), owner.alias("owner"))).alias("found"))
     joined = keyed.join(per_doc.hint("shuffle_hash"), ["d", "t"], "left")
-    return joined.select("doc_id", "text", "found").mapInArrow(_without_runs, "doc_id bigint, n_runs bigint, n_removed bigint, first_doc_ids array<bigint>, text string")
+    return joined.select("doc_id", "text", "found").mapInArrow(_without_runs, "doc_id bigint, n_runs bigint, n_own_runs bigint, n_removed bigint, first_doc_ids array<bigint>, text string")
