@@ -1,6 +1,7 @@
 """Projection search against brute force."""
 
 import numpy as np
+import pandas as pd
 from tests.llm import plain
 
 from millrace.llm import neighbours
@@ -48,3 +49,27 @@ def test_odd_vectors(spark):
     got = {q: [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50, 100, 150)}
     assert got == {0: [2, 4, 1, 50], 50: [1, 0, 2, 4], 100: [], 150: []}
     assert neighbours.nearest_neighbours(vectors.limit(0), vectors.limit(0), 5).count() == 0
+
+
+def test_few_candidates_of_clustered_vectors_are_verified(spark):
+    """The index prunes: most leaves and rows are never compared, at a recall of 0.9 and more."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((200, 64))
+    x = np.float32(centres[rng.integers(0, 200, 20_000)] + 0.5 * rng.standard_normal((20_000, 64)))
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id bigint, embedding array<float>")
+    asked = vectors.where("vec_id % 200 = 0")
+    found = neighbours._search(neighbours._usable(vectors), neighbours._usable(asked), 5, neighbours.BLOCK_ROWS).toPandas()
+    share = found.verified.sum() / (100 * len(x))
+    assert share < 0.1
+    unit = x / np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None]
+    scores = unit[::200] @ unit.T
+    scores[np.arange(100), np.arange(100) * 200] = -2
+    best = np.argsort(-scores, axis=1)[:, :5]
+    top = found.sort_values(["query_id", "score"], ascending=[True, False]).groupby("query_id").head(5).groupby("query_id").vec_id.agg(set)
+    assert np.mean([len(top[q * 200] & set(b)) / 5 for q, b in enumerate(best)]) >= 0.9
+
+
+def test_one_id_with_two_vectors(spark):
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [-1.0, 0.1]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest_neighbours(vectors, vectors.where("vec_id = 0"), 5).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [2, 1]
