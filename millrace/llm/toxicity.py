@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import materialize
 
-#: Bounds of what is learned from: labelled rows (the least hashes of their ids), and lexicon entries.
-TRAIN_ROWS, LEXICON = 20_000, 4000
+#: Bound of what is learned from: labelled rows, those with the least hashes of their ids.
+TRAIN_ROWS = 20_000
+#: What an entry needs: so much weight (log of how much likelier it is in toxic texts), and so large a
+#: share of the toxic texts, four of them at least.
+LEAST_WEIGHT, LEAST_SHARE, LEAST_TEXTS = 2.3, 0.004, 4
 #: Word starts of these lengths, besides whole words, are entries.
 STARTS = range(3, 9)
 #: Phrases in which an entry is harmless (folded, as words).
@@ -30,6 +33,8 @@ HOMOGLYPHS = {
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 _SIGN = re.compile(r"(?<=\w)[@$!](?=\w)")
+#: Characters that show nothing: soft hyphen, zero-width space, non-joiner and joiner, word joiner, byte order mark.
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _SIGNS = {"@": "a", "$": "s", "!": "i"}
 
 
@@ -41,7 +46,7 @@ class _Fold(dict):
         if 0xFF01 <= point <= 0xFF5E:  # full-width forms
             c = chr(point - 0xFEE0).lower()
         c = HOMOGLYPHS.get(c, DIGITS.get(c, c))
-        self[point] = out = c if c.isalnum() else "" if c in "​‌‍⁠﻿­" else " "
+        self[point] = out = c if c.isalnum() else "" if c in _INVISIBLE else " "
         return out
 
 
@@ -110,7 +115,16 @@ class Model:
                 elif weight > best.get(start, 0):
                     best[start] = weight  # one weight for each word: its best entry
         if harmless:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in harmless)}
+            # one pass over starts in order: a phrase silences the entries that begin in it
+            reach = {}
+            for a, b in harmless:
+                reach[a] = max(b, reach.get(a, 0))
+            until, kept = -1, {}
+            for s in sorted(best.keys() | reach.keys()):
+                until = max(until, reach.get(s, -1))
+                if s in best and s >= until:
+                    kept[s] = best[s]
+            best = kept
         total = sum(best.values())
         return max(best.values(), default=0.0), math.log1p(total), 100 * total / max(20, len(folded) / 6)
 
@@ -134,16 +148,16 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexicon: int = LEXICON) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn a model from labelled rows that are not held out.
 
     Inputs are texts and labels only. At most ``train_rows`` labelled rows are used, those with the
     least hashes of their ids, which bounds what is broadcast and sent to the driver; equal texts
-    count once. Without labels of both kinds, the model has no entries and scores every text 0.
+    count once, as toxic if one of them is. Without labels of both kinds, the model has no entries and scores every text 0.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates(["text"]), "labelled")
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -154,11 +168,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, lexi
         return rows.where(F.col("toxic") == toxic).select("text").mapInArrow(_counts(known), "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
 
     # Only entries of enough toxic texts can be chosen; clean texts count these alone. The sample's bound holds for both.
-    toxic_n = {r.entry: r.n for r in counted(1).where(F.col("n") >= max(4, math.ceil(0.004 * n1))).collect()}
+    toxic_n = {r.entry: r.n for r in counted(1).where(F.col("n") >= max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n1))).collect()}
     clean_n = {r.entry: r.n for r in counted(0, spark.sparkContext.broadcast(set(toxic_n))).collect()}
     weights = {e: math.log((k + 0.5) / (n1 + 1)) - math.log((clean_n.get(e, 0) + 0.5) / (n0 + 1)) for e, k in toxic_n.items()}
-    top = sorted((-w * math.log1p(toxic_n[e]), e) for e, w in weights.items() if w > 2.3)[:lexicon]
-    model = Model({e: weights[e] for _, e in top})
+    model = Model({e: w for e, w in sorted(weights.items()) if w > LEAST_WEIGHT})
     shared = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
