@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import materialize
 from millrace.llm.textblocks import ALNUM, LOWER, gram_hashes, row_bounds, span_hashes, text_blocks, word_spans
 
 #: Words in a window that counts as shared, and in the k-grams whose hashes are fingerprints. Each
 #: run of WINDOW - GRAM + 1 consecutive k-grams keeps its least hash, so every shared span of WINDOW
 #: words shares a kept fingerprint.
 WINDOW, GRAM = 10, 5
-#: The benchmark goes to the executors as one index up to this many words; beyond it, fingerprints are joined by a shuffle.
-INDEX_WORDS = 4_000_000
+#: The benchmark goes to the executors as one index up to this many bytes of text; beyond it, fingerprints
+#: are joined by a shuffle. Its windows are at most half its bytes, and one takes about 1 kB of the index
+#: (92 MB for 100,000), so an index takes 64 MB of a Python worker at most.
+INDEX_BYTES = 131_072
 RESULT = "n_words bigint, n_hit bigint, item_ids array<string>"
 
 
@@ -124,13 +127,14 @@ def _doc_fingerprints(lengths: list[int]):
     return run
 
 
-def _item_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of an item, as its words between spaces, with its length and fingerprint."""
     for batch in batches:
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            index = WindowIndex([(item, text)])
-            prints = [(n, p) for n, known in index.prints.items() for p in known]
-            n = len(prints)
-            yield pa.RecordBatch.from_arrays([pa.array([item] * n, pa.string()), pa.array([x for x, _ in prints], pa.int32()), pa.array(np.array([p for _, p in prints], np.uint64).astype(np.int64)), pa.array([text] * n, pa.string())], ["item", "length", "print", "item_text"])
+            found = WindowIndex([(item, text)]).prints
+            rows = [(b" ".join(w).decode(), n, p) for n, prints in found.items() for p, windows in prints.items() for w, _ in windows]
+            texts, lengths, prints = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows), pa.string()), pa.array(texts, pa.string()), pa.array(lengths, pa.int32()), pa.array(np.array(prints, np.uint64).astype(np.int64))], ["item", "window", "length", "print"])
 
 
 def _columns(found: tuple[np.ndarray, np.ndarray, list[set[str]]]) -> list[pa.Array]:
@@ -148,17 +152,13 @@ def _scan(index, passed: tuple[str, ...]):
     return run
 
 
-def _scan_own(passed: tuple[str, ...]):
-    """As _scan, each row against the texts of its own candidate items."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in (batch.slice(i, 1) for i in range(batch.num_rows)):
-                index = WindowIndex([(x["item"], x["item_text"]) for x in one.column(len(passed)).to_pylist()[0] or []])
-                for rows, data, offsets in text_blocks(one, "text"):
-                    yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(passed))), *_columns(index.hits(data, offsets, 1))], [*passed, "n_words", "n_hit", "item_ids"])
-
-    return run
+def _scan_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row (doc_id, text, d, t, windows) against its own candidate windows; gives those that occur."""
+    for batch in batches:
+        for one in (batch.slice(i, 1) for i in range(batch.num_rows)):
+            index = WindowIndex([(w, w) for w in one.column(4).to_pylist()[0] or []])
+            for rows, data, offsets in text_blocks(one, "text"):
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(4)), *_columns(index.hits(data, offsets, 1))], ["doc_id", "text", "d", "t", "n_words", "n_hit", "windows"])
 
 
 def _clean_rows(index):
@@ -170,17 +170,17 @@ def _clean_rows(index):
     return run
 
 
-def _index(items: DataFrame, index_words: int):
-    """The broadcast index, or None if the benchmark has more bytes than eight for each of the words."""
+def _index(items: DataFrame, index_bytes: int):
+    """The broadcast index, or None if the benchmark has more bytes than allowed."""
     size = items.agg(F.sum(F.octet_length("item_text")).alias("n")).first().n or 0
-    return items.sparkSession.sparkContext.broadcast(WindowIndex([tuple(r) for r in items.distinct().collect()])) if size <= 8 * index_words else None
+    return items.sparkSession.sparkContext.broadcast(WindowIndex([tuple(r) for r in items.distinct().collect()])) if size <= index_bytes else None
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").alias("item_text"))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` with n_words, n_hit and item_ids (sorted) of occurring benchmark windows.
 
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A window is 10
@@ -188,34 +188,41 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, index_words: int = INDE
     every hit is confirmed word by word. Null texts have no words; items with null ids are named
     by the empty string; repeated items count once per id; an empty benchmark hits nothing.
 
-    The benchmark's words are counted first: up to ``index_words`` its index is broadcast and
-    documents are scanned in place; beyond, kept fingerprints of documents and items are joined by
-    a shuffle and each document is checked against its candidate items only.
+    The benchmark's bytes are counted first: up to ``index_bytes`` its index is broadcast and
+    documents are scanned in place; beyond, kept fingerprints of documents and of the benchmark's distinct
+    windows are joined by a shuffle, each document is checked against its candidate windows only, and
+    windows that occur are joined to their items. Both sides of joins are written or scanned, so that
+    Spark can split a window that many documents share.
     """
     docs, items = docs.select("doc_id", "text"), _items(benchmark)
-    if index := _index(items, index_words):
+    if index := _index(items, index_bytes):
         return docs.mapInArrow(_scan(index, ("doc_id", "text")), f"doc_id bigint, text string, {RESULT}")
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t"))
-    prints_of = items.distinct().mapInArrow(_item_fingerprints, "item string, length int, print bigint, item_text string")
-    lengths = sorted(r.length for r in prints_of.select("length").distinct().collect())  # WINDOW values at most
+    of_items = materialize(items.distinct().mapInArrow(_item_windows, "item string, window string, length int, print bigint").distinct(), "windows")
+    lengths = sorted(r.length for r in of_items.select("length").distinct().collect())  # WINDOW values at most
     prints = keyed.select("d", "t", "text").mapInArrow(_doc_fingerprints(lengths), "d bigint, t bigint, print bigint")
-    near = prints.join(prints_of.drop("length"), "print").select("d", "t", "item", "item_text").distinct()
-    by_row = near.groupBy("d", "t").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
-    return keyed.join(by_row, ["d", "t"], "left").select("doc_id", "text", "items").mapInArrow(_scan_own(("doc_id", "text")), f"doc_id bigint, text string, {RESULT}")
+    windows = materialize(of_items.select("print", "window").distinct(), "prints")
+    near = prints.join(windows, "print").groupBy("d", "t").agg(F.collect_set("window").alias("candidates"))
+    scanned = keyed.join(near.hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "text", "d", "t", "candidates")
+    scanned = materialize(scanned.mapInArrow(_scan_own, "doc_id bigint, text string, d bigint, t bigint, n_words bigint, n_hit bigint, windows array<string>"), "scanned")
+    hit = scanned.where("n_hit > 0").select("d", "t", F.explode("windows").alias("window"))
+    named = hit.join(of_items.select("window", "item"), "window").groupBy("d", "t").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    none = F.array().cast("array<string>")
+    return scanned.join(named.hint("shuffle_hash"), ["d", "t"], "left").select("doc_id", "text", "n_words", "n_hit", F.coalesce("item_ids", none).alias("item_ids"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The contract's columns for each document; see find_overlaps."""
-    found = find_overlaps(docs, benchmark, index_words)
+    found = find_overlaps(docs, benchmark, index_bytes)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, index_words: int = INDEX_WORDS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` (all columns, any names) without the rows that hold a benchmark window."""
     names, at = docs.columns, docs.columns.index("text")
     inner = docs.toDF(*["text" if i == at else f"c{i}" for i in range(len(names))])
-    if index := _index(_items(benchmark), index_words):
+    if index := _index(_items(benchmark), index_bytes):
         return inner.mapInArrow(_clean_rows(index), inner.schema).toDF(*names)
     keyed = inner.withColumn("k", F.xxhash64("text"))
-    bad = find_overlaps(keyed.select(F.col("k").alias("doc_id"), "text"), benchmark, index_words).where("n_hit > 0").select(F.col("doc_id").alias("k")).distinct()
+    bad = find_overlaps(keyed.select(F.col("k").alias("doc_id"), "text"), benchmark, index_bytes).where("n_hit > 0").select(F.col("doc_id").alias("k")).distinct()
     return keyed.join(bad.hint("shuffle_hash"), "k", "left_anti").select(*inner.columns).toDF(*names)
