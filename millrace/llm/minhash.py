@@ -150,10 +150,22 @@ SKETCH_BLOCK, SET_BLOCK = 384, 128
 
 
 def _block_pairs(rows: DataFrame, group: list[str], size: int) -> DataFrame:
-    """Rows dealt to the pairs (i <= j) of their group's blocks: each to as many as the group has blocks."""
-    blocks = rows.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """Rows dealt to pairs (i <= j) of blocks of their group, so that rows of different roots meet.
+
+    Rows of one root need not meet. The root with the most rows of a group has blocks of its own
+    ("mains", numbered after the "others"), which are paired with the others' blocks only: its rows,
+    which are most of a large group, are copied once for each block of the others. Only groups of more
+    than one block have a row in ``large``, which is written, so Spark knows its size before it joins.
+    """
+    counts = rows.groupBy(*group, "root").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(*group).agg(F.sum("n").alias("total"), F.max(F.struct("n", "root")).alias("main")).where(F.col("total") > size)
+    blocks = lambda n: F.greatest(F.ceil(n / size).cast("int"), F.lit(1))
+    large = materialize(sizes.select(*group, F.col("main.root").alias("main"), blocks(F.col("total") - F.col("main.n")).alias("others"), blocks(F.col("main.n")).alias("mains")), "large")
+    dealt = rows.join(large, group, "left").withColumns({"main": F.coalesce(F.col("root") == F.col("main"), F.lit(False)), "others": F.coalesce("others", F.lit(1)), "mains": F.coalesce("mains", F.lit(0))})
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("main"), F.col("others") + place(F.col("mains"))).otherwise(place(F.col("others"))))
+    last = F.when(F.col("main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return paired.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
 
@@ -239,7 +251,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, with_roo
     the rest is exact: blocks of members compare sketches and keep a spanning forest of those pairs
     that may reach the similarity; in each cluster of that forest, blocks of full sets are compared
     and a link is emitted wherever it joins two components. No pair is emitted for its own sake, and
-    a group of any size is spread over blocks of bounded size.
+    a group of any size is spread over blocks of bounded size. Bucket-wise results are written before
+    they are joined to members, so that Spark sees their size and can split a large bucket's rows.
 
     Null or empty text: an empty set (n_shingles 0), linked with nothing, component_id its own doc_id
     and kept. A null doc_id takes part with its text; component_id is the least non-null doc_id of
@@ -259,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, with_roo
     verifier = _Verifier(docs, owners, width, percent)
 
     order = F.struct(F.xxhash64("node", "band").alias("o"), F.col("node").alias("n"))
-    centre = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("c.n").alias("centre"))
+    centre = materialize(members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("c.n").alias("centre")), "centres")
     pairs = members.join(centre, ["band", "key"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     found = materialize(verifier.links(materialize(pairs, "pairs")), "verified")
     roots = materialize(connected_components(found), "roots")
@@ -280,7 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, with_roo
 def _unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members, with roots, of the buckets that hold more than one component."""
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    mixed = materialize(rooted.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key"), "mixed")
     return rooted.join(mixed, ["band", "key"])
 
 

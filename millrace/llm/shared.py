@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); only where unset, a temporary one (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Without it nothing can be written, and that is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
-        root = tempfile.mkdtemp(prefix="millrace-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-millrace-")  # one machine: its folder is shared
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 

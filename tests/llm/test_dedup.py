@@ -76,23 +76,23 @@ BENCH = [("b1", "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda
 TEXTS = [(1, "so ALPHA beta, gamma delta epsilon zeta eta theta iota kappa lambda mu ends"), (2, "beta gamma delta epsilon zeta eta theta iota kappa lambda"), (3, "Only five-words in here and only FIVE words in here"), (4, "beta gamma delta epsilon zeta eta theta iota kappa"), (5, None), (6, ""), (None, "x a b c d e f g h i j a b c d e f g h i j")]
 
 
-@pytest.mark.parametrize("index_words", [winnow.INDEX_WORDS, -1])
-def test_winnowing_equals_all_windows(spark, small, index_words, odd, empty):
+@pytest.mark.parametrize("index_bytes", [winnow.INDEX_BYTES, -1])
+def test_winnowing_equals_all_windows(spark, small, index_bytes, odd, empty):
     """By the broadcast index, and by the shuffled fingerprints."""
     bench = spark.createDataFrame(BENCH, "item_id string, text string")
     tables = [(spark.createDataFrame(TEXTS, "doc_id bigint, text string"), bench), (spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")), (odd, bench)]
     for docs, items in tables:
         known = [(str(r.item_id) if r.item_id is not None else "", r.text) for r in items.collect()]
-        found = winnow.contamination(docs, items, index_words).collect()
+        found = winnow.contamination(docs, items, index_bytes).collect()
         wanted = []
         for r in docs.select("doc_id", "text").collect():
             n, hit, ids = plain.contamination(r.text, known)
             wanted.append((str(r.doc_id), n, hit, len(ids), plain.sha(",".join(ids)), hit > 0))
         assert sorted((str(r[0]), *r[1:]) for r in found) == sorted(wanted)
-        clean = winnow.drop_contaminated(docs, items, index_words)
+        clean = winnow.drop_contaminated(docs, items, index_bytes)
         assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in wanted)
-    assert winnow.contamination(empty, bench, index_words).count() == 0
-    assert not winnow.contamination(tables[0][0], bench.limit(0), index_words).where("contaminated").count()
+    assert winnow.contamination(empty, bench, index_bytes).count() == 0
+    assert not winnow.contamination(tables[0][0], bench.limit(0), index_bytes).where("contaminated").count()
 
 
 def test_chunks_resist_shifts(spark, prose, odd, odd_rows, empty):
