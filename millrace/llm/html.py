@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -17,10 +19,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 PARAGRAPHS = frozenset("p pre td li dd blockquote div section article main h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-NOISE_WORDS = frozenset("ad ads adv adbox adslot nav navbar menu menus crumbs header masthead topbar sidebar rail aside notice notices alert consent gdpr banner popup modal overlay newsletter subscribe subscription signup login share sharing social related widget widgets pagination pager toolbar outbrain taboola disqus replies respond promo skip hidden".split())
-NOISE_STARTS = ("advert", "sponsor", "sidebar", "footer", "cookie", "comment", "breadcrumb", "navigation", "recommend", "promo")
+NOISE_WORDS = frozenset("ad ads adv adbox adslot nav navbar menu menus crumbs header masthead topbar sidebar rail aside notice notices alert consent gdpr banner popup modal overlay newsletter subscribe subscription signup login share sharing social related widget widgets pagination pager toolbar outbrain taboola disqus replies respond promo promos promotion promotions skip hidden".split())
+NOISE_STARTS = ("advert", "sponsor", "sidebar", "footer", "cookie", "comment", "breadcrumb", "navigation", "recommend")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 KEPT_TAGS = frozenset("html body article main".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+HEADS = frozenset("article main h1".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.S)
 _MARK = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -29,34 +33,68 @@ _MARK = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(\"[^\"
 class Node:
     """An element: its children are nodes and strings in page order."""
 
-    __slots__ = ("children", "noise", "parent", "score", "tag")
+    __slots__ = ("children", "named", "noise", "parent", "score", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.score = tag, parent, noise, 0.0
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False):
+        self.tag, self.parent, self.noise, self.named, self.score = tag, parent, noise, named, 0.0
         self.children: list[Node | str] = []
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _names_noise(token: str, tag: str) -> bool:
+    """Whether a class or id names what is not the article. A paragraph's or heading's must be that word alone,
+    as in "ad"; "ad-free" and "lead-share" there tell of the text. What is free of something has none of it."""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    if (tag in TEXT_TAGS and len(words) > 1) or "free" in words:
+        return False
+    return any(w in NOISE_WORDS or w.startswith(NOISE_STARTS) for w in words)
+
+
+def _is_noise(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no part of an article, and whether only its classes or id tell so."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attributes or tag in KEPT_TAGS:
-        return False
+        return False, False
+    named = False
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = re.split(r"[^a-z]+", value)
-            if any(w in NOISE_WORDS or w.startswith(NOISE_STARTS) for w in words if w):
-                return True
+            named = named or any(_names_noise(token, tag) for token in value.split())
         elif (name == "role" and value in NOISE_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return True, False
+    return named, named
+
+
+class _Open:
+    """The open elements, outermost first, with the places of each name, so that no tag walks the whole stack."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def close(self, tags: tuple[str, ...], within: tuple[str, ...]) -> None:
+        """Close the outermost open one of ``tags`` that is inside the innermost of ``within``."""
+        floor = max((self.places[t][-1] for t in within if self.places[t]), default=0)
+        inside = [self.places[t][k] for t in tags if (k := bisect_right(self.places[t], floor)) < len(self.places[t])]
+        if inside:
+            self.cut(min(inside))
 
 
 def parse(html: str) -> Node:
     """The element tree. End tags that are missing or misplaced close what they must; cut pages end open."""
-    root = at = Node("html", None)
-    position = 0
+    root = Node("html", None)
+    held, position = _Open(root), 0
     while m := _TOKEN.search(html, position):
+        at = held.nodes[-1]
         if m.start() > position:
             at.children.append(html[position : m.start()])
         position = m.end()
@@ -64,42 +102,30 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            node = at
-            while node.parent and node.tag != tag:
-                node = node.parent
-            if node.parent:
-                at = node.parent
+            if held.places[tag]:
+                held.cut(held.places[tag][-1])
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P:
-            at = _closed(at, ("p",), ("table", "td", "th", "li", "button"))
+            held.close(("p",), ("table", "td", "th", "li", "button"))
         if tag in CLOSES:
             what, within = CLOSES[tag]
-            at = _closed(at, tuple(what.split()), tuple(within.split()))
+            held.close(tuple(what.split()), tuple(within.split()))
+        at = held.nodes[-1]
         attributes = m[3] or m[6] or ""
-        node = Node(tag, at, _is_noise(tag, attributes))
+        node = Node(tag, at, *_is_noise(tag, attributes))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(html, position)
             position = end.end() if end else len(html)
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            at = node
+            held.push(node)
     if position < len(html):
-        at.children.append(html[position:])
+        held.nodes[-1].children.append(html[position:])
     return root
 
 
-def _closed(at: Node, tags: tuple[str, ...], within: tuple[str, ...]) -> Node:
-    """The node to go on at after the outermost open one of ``tags`` inside ``within`` is closed."""
-    node, out = at, at
-    while node.parent and node.tag not in within:
-        if node.tag in tags:
-            out = node.parent
-        node = node.parent
-    return out
-
-
 def _walk(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:
@@ -163,6 +189,26 @@ def main_text(html: str | None) -> str:
     like text; lists that are mostly links are menus and go.
     """
     root = parse(html or "")
+    return _article(root) or _article(_unwrapped(root))
+
+
+def _unwrapped(root: Node) -> Node:
+    """The tree with elements that classes or ids mark as noise counted where they hold the article's element
+    or headline: a page's outermost element may be named after its sidebar."""
+    stack, seen = [root], set()
+    while stack:
+        n = stack.pop()
+        n.score = 0.0
+        up = n if n.tag in HEADS else None
+        while up is not None and id(up) not in seen:
+            seen.add(id(up))
+            up.noise &= not up.named
+            up = up.parent
+        stack.extend(c for c in n.children if isinstance(c, Node))
+    return root
+
+
+def _article(root: Node) -> str:
     measure = _lengths(root)
     scored: dict[int, Node] = {}
     for n in _walk(root):

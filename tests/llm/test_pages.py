@@ -1,5 +1,8 @@
 """Main text of hand-made pages, whose articles are known, and defined results for odd ones."""
 
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from millrace.llm import html
@@ -15,6 +18,9 @@ PAGES = [
     ("<script>only()</script>", ""),
     ("just text &lt;b&gt; <!-- not this -->end", "just text <b> end"),
     (f"<div><p>{LONG}</p><p>cut off <a href='x", f"{LONG}\ncut off"),
+    (f"<article><p class='lead ad-free'>{LONG}</p><div class='promoted-story-text'><p>Second, one.</p></div><p class='ad'>Buy</p><div class='ad-slot'>now</div></article>", f"{LONG}\nSecond, one."),
+    (f"<div id=page class='has-sidebar'><h1>Head</h1><p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div></div>", f"Head\n{LONG}"),
+    (f"<div class=sidebar><p>{LONG}</p></div><div class='cookie-notice'><p>{LONG}</p></div>", ""),
 ]
 
 
@@ -37,3 +43,58 @@ def test_long_and_deep_pages():
     assert html.main_text("<div>" * 20_000 + f"<p>{LONG}</p>") == LONG
     assert html.main_text("<p>" + "word " * 200_000 + "</p>").count("word") == 200_000
     assert html.main_text("<a " * 20_000) is not None
+
+
+def test_time_is_linear():
+    n = 100_000
+    for page in ("<div>" * n + "x</q>" * n, "<p><table>" + "<div>" * n, "<li>" * n, "</p>" * n, "<td>" * n + "<p>" * n, "<a <b" * n, "<" * n, "&amp;" * n):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 10
+
+
+def plain_text(page):
+    """The driver's pages are made with <article>: its blocks by the standard library's parser, by themselves."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.skip, self.inside, self.blocks = [], 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.VOID:
+                self.blocks[-1] += " " if tag == "br" else ""
+                return
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
+            if self.skip or tag in html.DROPPED or any(html._names_noise(t, tag) for t in names.split()):
+                self.skip.append(tag)
+            elif tag == "article":
+                self.inside += 1
+            if tag not in html.INLINE:
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if self.skip:
+                if tag in self.skip:
+                    while self.skip.pop() != tag:
+                        pass
+            elif tag == "article":
+                self.inside -= 1
+            if tag not in html.INLINE:
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(page)
+    return "\n".join(b for b in (" ".join(x.split()) for x in reader.blocks) if b)
+
+
+def test_articles_of_the_table_equal_a_plain_reader(spark, small):
+    """Pages with one article element and no list of links in it."""
+    pages = spark.read.parquet(f"{small}/pages.parquet").where("html is not null").collect()
+    own = [r.html for r in pages if r.html.count("<article") == 1 == r.html.count("</article>")]
+    same = sum(html.main_text(h) == plain_text(h) for h in own)
+    assert len(own) > len(pages) / 4 and same / len(own) >= 0.9, (len(pages), len(own), same)
