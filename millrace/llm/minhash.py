@@ -272,11 +272,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, with_roo
     verifier = _Verifier(docs, owners, width, percent)
 
     order = F.struct(F.xxhash64("node", "band").alias("o"), F.col("node").alias("n"))
-    centre = materialize(members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("c.n").alias("centre")), "centres")
-    pairs = members.join(centre, ["band", "key"]).where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    centre = members.groupBy("band", "key").agg(F.min(order).alias("c"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("c.n").alias("centre"))
+    # most buckets hold one member, which is then done with
+    crowded = materialize(members.join(centre, ["band", "key"]), "crowded")
+    pairs = crowded.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     found = materialize(verifier.links(materialize(pairs, "pairs")), "verified")
     roots = materialize(connected_components(found), "roots")
-    rest = verifier.rest(_unresolved(members, roots), own)
+    rest = verifier.rest(_unresolved(crowded.select("node", "band", "key"), roots), own)
     if rest is not None:
         roots = materialize(connected_components(found.union(rest)), "roots")
     # labels are written before they are joined to their members, so that Spark can split a large group's rows
