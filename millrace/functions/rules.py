@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The word lists and patterns that the rules of the data model name.
-DOC_REFERENCE = r"(?i)^(IR|WO|INS|SOP|PD|IOM|DWG|PID)-?[0-9]"
+DOC_REFERENCE = r"(?i)^(IR|WO|INS|SOP|PD|IOM|DWG|PID)-?\d"
 MECHANISMS = ("cavitation", "corrosion", "erosion", "fatigue", "fouling", "scaling", "blockage", "wear", "misalignment", "imbalance", "overload", "overheat", "contamination")
 HYPHENATED_MECHANISMS = ("dead-head", "dead-headed")
 CONNECTIVES = ("leading to", "led to", "due to", "caused by", "resulting in", "because of", "from")

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The tag grammar, instrument prefixes and id prefixes of the data model.
-TAG = r"\b([A-Za-z]{1,4})[-\s]?([0-9]{2,5})(?:\s*([A-Za-z])(?![-\s]?[0-9]{2,5}))?\b"
-CLEAN_TAG = r"^([A-Z]{1,4})-?([0-9]{2,5})-?([A-Z]?)$"
+TAG = r"\b([A-Za-z]{1,4})[-\s]?(\d{2,5})(?:\s*([A-Za-z])(?![-\s]?\d{2,5}))?\b"
+CLEAN_TAG = r"^([A-Z]{1,4})-?(\d{2,5})-?([A-Z]?)$"
 INSTRUMENT_PREFIXES = ("PI", "PT", "PIC", "PSV", "PCV", "TI", "TT", "TIC", "TCV", "FI", "FT", "FIC", "FCV", "LI", "LT", "LIC", "LCV", "AI", "AT", "XV", "HS")
 ID_PREFIXES = {"Equipment": "equip", "Instrument": "inst", "Line": "line", "Document": "doc", "Section": "sec", "Chunk": "chunk", "WorkOrder": "wo", "FailureMode": "fm", "FaultMode": "fault", "Procedure": "proc", "RegulationClause": "reg", "Person": "person"}
 
@@ -17,7 +17,7 @@ def _squeezed(raw: Column) -> Column:
 
 
 def normalize(raw: Column) -> Column:
-    """'p 101 a', 'P-101a' and 'P101A' become 'P-101A'; what is no tag is trimmed and upper-cased."""
+    """A tag in its one form, with a hyphen before its number; what is no tag is trimmed and upper-cased."""
     clean = F.regexp_replace(_squeezed(raw), "&", "")
     return F.when(clean.rlike(CLEAN_TAG), F.regexp_replace(clean, CLEAN_TAG, "$1-$2$3")).otherwise(F.upper(F.trim(raw)))
 

@@ -61,9 +61,13 @@ def work_order_edges(rows: DataFrame, doc: Column) -> DataFrame:
     return one("equip", "HAS_FAILURE", "mode", "failure_code <> ''").union(one("equip", "FIXED_BY", "wo")).union(one("wo", "MENTIONED_IN", "doc"))
 
 
+#: Where a quoted tail begins. A line with '>', a reply header, or a forwarded head.
+QUOTED = r"(?m)^(?:[^\S\n]*>|On .{5,80} wrote:[^\S\n]*$|-{3,}[^\S\n]*(?i:Original Message)[^\S\n]*-{3,}|From:)"
+
+
 def strip_quotes(body: Column) -> Column:
     """An e-mail's text before the quoted tail."""
-    return F.trim(F.regexp_replace(body, r"(?ms)^(>|On .* wrote:|-- ?Original Message|From:).*\z", ""))
+    return F.trim(F.element_at(F.split(body, QUOTED, 2), 1), F.lit(" \t\r\n"))
 
 
 def people(header: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Property-graph reads, paths and writes over node and edge tables (JN-*, GR-*, AGG-1..8, SNK-3, SNK-4, ETL-14..18)."""
+"""Property-graph reads, paths and writes over node and edge tables (JN-1, 2, 6, 8, GR-1 to 4, 6, 7, AGG-1 to 8, 24, SNK-3, SNK-4, ETL-14, 16 to 18)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The edge types of the data model.
 EDGE_TYPES = ("CONNECTED_TO", "PART_OF", "MENTIONED_IN", "HAS_FAILURE", "FIXED_BY", "GOVERNED_BY", "PRECEDES", "SUPERSEDES", "CAUSES", "MERGED_INTO", "FAILED_FIX", "CONTRADICTS", "CORRECTED_BY", "SHARES_HEADER", "FEEDS", "EXHIBITS_FAULT", "RESPONDS_WITH")
 DECAY, LEAST_CONFIDENCE, KEPT_PATHS, OVERLAP = 0.8, 0.3, 15, 0.7
 
@@ -158,10 +159,9 @@ def causal_links(pairs: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def delta(nodes: DataFrame, edges: DataFrame, version: int) -> DataFrame:
-    """One row for a commit: version, and the sorted distinct node ids, edge types and documents it touched."""
-    joined = lambda c: F.array_sort(F.collect_set(c))
-    n, e = nodes.agg(joined("id").alias("touched_node_ids")), edges.agg(joined("type").alias("new_edge_types"), joined("doc_id").alias("source_doc_ids"))
-    return n.withColumn("k", F.lit(0)).join(e.withColumn("k", F.lit(0)), "k").select(F.lit(version).cast("bigint").alias("graph_version"), "touched_node_ids", "new_edge_types", "source_doc_ids")
+    """What a commit touched, a row each: (graph_version, kind, value) of node ids, edge types and documents."""
+    of = lambda rows, c, kind: rows.select(F.lit(version).cast("bigint").alias("graph_version"), F.lit(kind).alias("kind"), F.col(c).alias("value")).where("value is not null")
+    return of(nodes, "id", "node").union(of(edges, "type", "edge_type")).union(of(edges, "doc_id", "document")).distinct()
 
 
 def siblings(failures: DataFrame, tags: DataFrame) -> DataFrame:

@@ -60,8 +60,12 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic embedding: each word adds +-1 / (1 + 0.1 i) at the place its MD5 names; unit length.
     An empty text is the first unit vector."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    code = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    signed = F.transform(words, lambda w, i: F.struct((code(w) % dim).cast("int").alias("at"), (F.when(F.floor(code(w) / dim) % 2 == 0, 1.0).otherwise(-1.0) / (1 + 0.1 * i)).alias("x")))
+    number = lambda hexes: F.conv(hexes, 16, 10).cast("bigint")
+    # the whole 128-bit digest modulo dim, 16 bits at a time; the sign is its bit 4
+    place = lambda h: F.aggregate(F.sequence(F.lit(1), F.lit(29), F.lit(4)), F.lit(0).cast("bigint"), lambda r, k: (r * 65536 + number(F.substr(h, k, F.lit(4)))) % dim)
+    sign = lambda h: F.when(F.floor(number(F.substr(h, F.lit(31), F.lit(2))) / 16) % 2 == 1, 1.0).otherwise(-1.0)
+    hashed = F.transform(words, lambda w: F.md5(w.cast("binary")))
+    signed = F.transform(hashed, lambda h, i: F.struct(place(h).cast("int").alias("at"), (sign(h) / (1 + 0.1 * i)).alias("x")))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(signed, lambda s: s["at"] == k), F.lit(0.0), lambda t, s: t + s["x"]))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
     first = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.when(k == 0, 1.0).otherwise(0.0))

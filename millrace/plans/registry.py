@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import rules, tags
-from millrace.operators import diagnosis, etl, graph, historian, retrieval
+from millrace.operators import diagnosis, etl, graph, historian, reads, retrieval
 from millrace.plans.views import NOW, TODAY, Views, with_views
 from millrace.streaming import watchers
 
@@ -118,36 +118,53 @@ def agg22_newest_per_level(v: Views) -> DataFrame:
     return _levels(v).where("level is not null").groupBy("tag_id", "level").agg(F.max("ts").alias("ts"))
 
 
-@_query()
+_ALARMS = f", s AS (SELECT tag_id, epoch_us(ts) / 1e6 AS ts, value, {_LEVEL} AS level FROM telemetry JOIN envelopes USING (tag_id))"
+
+
+def _greedy(rows: str, key: str, gap: int) -> str:
+    """SQL of the times that open a claim on each key: the first, and each first one ``gap`` seconds or more after the last."""
+    return f"""{rows}, n AS (SELECT a.{key}, a.ts, min(b.ts) AS nxt FROM a LEFT JOIN a b ON a.{key} = b.{key} AND b.ts >= a.ts + {gap} GROUP BY 1, 2),
+ r AS (SELECT {key}, min(ts) AS ts FROM a GROUP BY 1 UNION ALL SELECT n.{key}, n.nxt FROM r JOIN n USING ({key}, ts) WHERE n.nxt IS NOT NULL)"""
+
+
+_STM02 = _ALARMS + """, g AS (SELECT *, count(level) OVER (PARTITION BY tag_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS segment FROM s),
+ k AS (SELECT tag_id, segment, max(ts) FILTER (WHERE level IS NOT NULL) AS ts, max(level) AS level, max(value) FILTER (WHERE level IS NOT NULL) AS value, max(ts) FILTER (WHERE level IS NULL) - min(ts) FILTER (WHERE level IS NULL) AS spent FROM g WHERE segment > 0 GROUP BY ALL),
+ f AS (SELECT *, lag(level) OVER w AS last, lag(spent) OVER w AS before FROM k WINDOW w AS (PARTITION BY tag_id ORDER BY segment))
+ SELECT tag_id, ts, level, value FROM f WHERE last IS NULL OR last <> level OR before >= 30"""
+
+
+@_query(_STM02, "telemetry", "envelopes")
 def stm02_alarms(v: Views) -> DataFrame:
-    """STM-2: alarms with levels, debounce and re-arming, from the transition function that the stream uses."""
+    """STM-2: alarms with levels, debounce and re-arming."""
     rows = _levels(v).select("tag_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "level", "value")
     return watchers.batch_alerts(rows)
 
 
-@_query()
+@_query(_greedy(_ALARMS + ", a AS (SELECT DISTINCT tag_id || ':' || level AS fingerprint, ts FROM s WHERE level IS NOT NULL)", "fingerprint", 1800) + " SELECT fingerprint, ts FROM r", "telemetry", "envelopes")
 def stm08_claims(v: Views) -> DataFrame:
     """STM-7, STM-8, ETL-39: one alert of a fingerprint in 30 minutes."""
     rows = _levels(v).where("level is not null").select(F.concat_ws(":", "tag_id", "level").alias("fingerprint"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
     return watchers.once_per(rows, 1800)
 
 
-@_query()
+@_query(_greedy(_ALARMS + ", a AS (SELECT DISTINCT tag_id AS slot, ts FROM s WHERE level IN ('HH', 'LL'))", "slot", 426) + " SELECT slot, ts FROM r", "telemetry", "envelopes")
 def stm11_episodes(v: Views) -> DataFrame:
-    rows = _levels(v).where("level in ('HH', 'LL')").select(F.substring_index("tag_id", "-", 1).alias("slot"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    return watchers.armed_episodes(rows.groupBy("slot", "ts").agg(F.lit(1).alias("one")).drop("one"))
+    """STM-11: alarms that arm an episode; each asset is a slot of its own."""
+    rows = _levels(v).where("level in ('HH', 'LL')").select(F.col("tag_id").alias("slot"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    return watchers.armed_episodes(rows.distinct())
 
 
-@_query()
+@_query(_greedy(", h AS (SELECT event_type || ':' || user_id AS bucket, epoch_us(ts) / 1e6 AS ts FROM events), a AS (SELECT DISTINCT * FROM h)", "bucket", 86400) + " SELECT h.bucket, h.ts, row_number() OVER (PARTITION BY h.bucket, r.ts ORDER BY h.ts) <= 3 AS allowed FROM h JOIN r ON h.bucket = r.bucket AND h.ts >= r.ts AND h.ts - r.ts < 86400", "telemetry")
 def stm17_rate_limit(v: Views) -> DataFrame:
-    rows = v.table("events").select(F.col("event_type").alias("bucket"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
-    return watchers.rate_limited(rows, 3, 3600.0)
+    """STM-17: three hits of a user's kind of event in a day's window, which the first hit after the last window opens."""
+    rows = v.table("events").select(F.concat_ws(":", "event_type", "user_id").alias("bucket"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    return watchers.rate_limited(rows, 3, 86400.0)
 
 
-@_query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS ts, CAST(count(*) AS BIGINT) AS n FROM telemetry GROUP BY 1", "telemetry")
+@_query("SELECT date_trunc('second', ts) AS ts, CAST(count(DISTINCT tag_id) AS BIGINT) AS n FROM telemetry GROUP BY 1", "telemetry")
 def stm09_slices(v: Views) -> DataFrame:
-    rows = watchers.slices(v.telemetry.withColumn("tag_id", F.concat_ws("@", "tag_id", "ts", "value")), "1 day")
-    return rows.select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.size("values").cast("bigint").alias("n"))
+    """STM-9: what tags a second's slice holds."""
+    return watchers.slices(v.telemetry).select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.size("values").cast("bigint").alias("n"))
 
 
 @_query("SELECT CAST(floor(epoch(TIMESTAMP '2024-01-30 00:00:00' - ts) / 3600) AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-30 00:00:00' AND ts > TIMESTAMP '2024-01-29 12:00:00' GROUP BY 1")
@@ -384,10 +401,10 @@ def snk03_upsert_nodes(v: Views) -> DataFrame:
     return out.select("id", "surface_form", props.alias("props"), "created_version", "updated_version")
 
 
-@_query("SELECT CAST(7 AS BIGINT) AS graph_version, CAST((SELECT count(DISTINCT id) FROM nodes) AS BIGINT) AS n_nodes, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM edges", "nodes", "edges")
+@_query("SELECT DISTINCT CAST(7 AS BIGINT) AS graph_version, kind, value FROM (SELECT 'node' AS kind, id AS value FROM nodes UNION ALL SELECT 'edge_type', type FROM edges UNION ALL SELECT 'document', doc_id FROM edges) WHERE value IS NOT NULL", "nodes", "edges")
 def agg24_delta(v: Views) -> DataFrame:
-    d = graph.delta(v.nodes, v.edges, 7)
-    return d.select("graph_version", F.size("touched_node_ids").cast("bigint").alias("n_nodes"), F.array_join("new_edge_types", ",").alias("types"))
+    """AGG-24: what a commit touched."""
+    return graph.delta(v.nodes, v.edges, 7)
 
 
 @_query("SELECT wo_id, line, substr(sha1(wo_id || '|' || line || '|||x'), 1, 16) AS prov_hash FROM work_orders", "work_orders")
@@ -570,3 +587,121 @@ def snk08_good_rows(v: Views) -> DataFrame:
     """SNK-8: JSON rows that fit; the rest goes to a dead-letter table."""
     raw = v.table("events").select("event_id", F.from_json("props", "k bigint, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
     return raw.where("row is not null and row._bad is null").select("event_id", "row.k")
+
+
+# --- reads for questions ------------------------------------------------------------------------
+
+
+@_query("SELECT coalesce(a.id, e.src) AS src, coalesce(b.id, e.dst) AS dst FROM (SELECT s_name AS src, n_name AS dst FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, 'unknown' FROM nation) e LEFT JOIN nodes a ON a.surface_form = e.src LEFT JOIN nodes b ON b.surface_form = e.dst", "nodes")
+def jn07_resolved_edges(v: Views) -> DataFrame:
+    named = v.table("supplier").join(v.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("src"), F.col("n_name").alias("dst"))
+    found = named.union(v.table("nation").select("n_name", F.lit("unknown")))
+    return reads.resolved_edges(found, v.nodes.select(F.col("surface_form").alias("surface"), "id"))
+
+
+@_query("SELECT DISTINCT wo_id, equipment, date, status, surface_form AS name FROM work_orders JOIN nodes ON id = equipment WHERE label = 'Equipment'", "nodes", "work_orders")
+def jn14_equipment_orders(v: Views) -> DataFrame:
+    return reads.equipment_orders(v.work_orders, v.nodes)
+
+
+_LISTED = "coalesce(string_agg(DISTINCT CASE WHEN type = '{}' THEN {} END, ',' ORDER BY CASE WHEN type = '{}' THEN {} END), '')"
+
+
+@_query(f"SELECT src, {_LISTED.format('HAS_FAILURE', 'dst', 'HAS_FAILURE', 'dst')} AS modes, {_LISTED.format('HAS_FAILURE', 'cause', 'HAS_FAILURE', 'cause')} AS causes, {_LISTED.format('PART_OF', 'dst', 'PART_OF', 'dst')} AS places FROM edges WHERE type IN ('HAS_FAILURE', 'PART_OF') GROUP BY 1", "edges")
+def jn17_equipment_context(v: Views) -> DataFrame:
+    return reads.equipment_context(v.edges)
+
+
+@_query("SELECT a.src AS start, b.src AS \"end\", CAST(2 AS BIGINT) AS hops, a.edge_id || '>' || b.edge_id AS path FROM edges a JOIN edges b ON a.type = 'PART_OF' AND b.type = 'PART_OF' AND a.dst = b.dst AND CAST(substr(b.src, 7) AS BIGINT) = CAST(substr(a.src, 7) AS BIGINT) + 1", "edges")
+def gr05_paths_between(v: Views) -> DataFrame:
+    """GR-1, GR-5: paths of up to two edges between each equipment and the next one."""
+    key = F.col("s_suppkey")
+    pairs = v.table("supplier").select(F.concat(F.lit("equip:"), key).alias("start"), F.concat(F.lit("equip:"), key + 1).alias("end"))
+    return reads.paths_between(v.edges, pairs, ["PART_OF"], 2).withColumn("hops", F.col("hops").cast("bigint"))
+
+
+@_query("SELECT node, type, other, confidence FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, type, other) AS nth FROM (SELECT node, type, other, max(confidence) AS confidence FROM (SELECT src AS node, type, dst AS other, confidence FROM edges UNION ALL SELECT dst, type, src, confidence FROM edges WHERE src <> dst) WHERE type IN ('PART_OF', 'CONNECTED_TO', 'HAS_FAILURE') GROUP BY ALL)) WHERE nth <= 12", "edges")
+def gr09_relations(v: Views) -> DataFrame:
+    return reads.relations(v.edges, ["PART_OF", "CONNECTED_TO", "HAS_FAILURE"])
+
+
+@_query("SELECT node, shared, n FROM (SELECT node, shared, CAST(count(*) OVER (PARTITION BY shared) - 1 AS BIGINT) AS n FROM (SELECT DISTINCT src AS node, dst AS shared FROM edges WHERE type = 'PART_OF' UNION SELECT dst, src FROM edges WHERE type = 'PART_OF')) WHERE n > 0", "edges")
+def gr10_shared(v: Views) -> DataFrame:
+    return reads.sharing(v.edges, "PART_OF")
+
+
+@_query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 6")
+def flt03_chunks_containing(v: Views) -> DataFrame:
+    """FLT-3: a search that gives the first six is the feature."""
+    return reads.chunks_containing(v.table("documents").select(F.col("doc_id").alias("id"), "text"), "The")
+
+
+@_query("SELECT id, surface_form FROM nodes WHERE contains(lower(surface_form), 'united') OR contains(lower(surface_form), 'mode 1') OR contains(lower(surface_form), '#000000001')", "nodes")
+def flt10_terms(v: Views) -> DataFrame:
+    return reads.named_by_any(v.nodes, ["United", "mode 1", "#000000001"]).select("id", "surface_form")
+
+
+@_query("SELECT tag_id, (ll <= l AND l <= h AND h <= hh AND l < value AND value < h) AS valid, CAST(count(*) AS BIGINT) AS n FROM telemetry JOIN envelopes USING (tag_id) GROUP BY ALL", "telemetry", "envelopes")
+def flt23_limits(v: Views) -> DataFrame:
+    """FLT-23: how many readings of a tag would do as its setpoint."""
+    valid = reads.valid_limits(*(F.col(c) for c in ("ll", "l", "h", "hh", "value")))
+    return v.telemetry.join(v.envelopes, "tag_id").groupBy("tag_id", valid.alias("valid")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT event_id, ts <= TIMESTAMP '2024-01-30 00:00:00' AND epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(ts) <= 86400000000 AS fresh FROM events")
+def flt16_fresh(v: Views) -> DataFrame:
+    return v.table("events").select("event_id", reads.is_fresh(F.col("ts"), F.lit(NOW).cast("timestamp_ntz"), 86_400).alias("fresh"))
+
+
+@_query("SELECT o_orderkey AS id, coalesce(decision, 'open') AS decision, due FROM orders LEFT JOIN (SELECT l_orderkey, max(l_returnflag) AS decision FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) d ON d.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS due FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) s ON s.l_orderkey = o_orderkey")
+def jn10_drafts(v: Views) -> DataFrame:
+    lines = v.table("lineitem").withColumnRenamed("l_orderkey", "id")
+    decisions = lines.where("l_returnflag <> 'N'").groupBy("id").agg(F.max("l_returnflag").alias("decision"))
+    schedules = lines.where("l_linestatus = 'O'").groupBy("id").agg(F.min("l_shipdate").alias("due"))
+    return reads.decided(v.table("orders").select(F.col("o_orderkey").alias("id")), decisions, schedules)
+
+
+@_query("SELECT doc_id AS member, d.lang, coalesce(b.brief, (SELECT min(doc_id) FROM documents WHERE lang = 'en')) AS brief FROM documents d LEFT JOIN (SELECT lang, min(doc_id) AS brief FROM documents WHERE lang IN ('en', 'de') GROUP BY 1) b ON b.lang = d.lang")
+def jn18_briefs(v: Views) -> DataFrame:
+    docs = v.table("documents")
+    briefs = docs.where("lang in ('en', 'de')").groupBy("lang").agg(F.min("doc_id").alias("brief"))
+    return reads.briefs_for(docs.select(F.col("doc_id").alias("member"), "lang"), briefs)
+
+
+@_query("SELECT dst AS mode, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, min(doc_id) AS first_doc FROM edges WHERE type = 'HAS_FAILURE' AND doc_id IS NOT NULL GROUP BY 1", "edges")
+def agg06_procedures(v: Views) -> DataFrame:
+    return reads.procedures_for(v.edges)
+
+
+@_query("SELECT lang FROM documents WHERE lang IS NOT NULL UNION SELECT 'en'")
+def agg23_languages(v: Views) -> DataFrame:
+    return reads.crew_languages(v.table("documents"))
+
+
+@_query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'P-' || (100 + o_custkey % 900) END AS unsupported, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS n FROM orders")
+def set05_unsupported_tags(v: Views) -> DataFrame:
+    """SET-5, ETL-30: every third answer's evidence names its tag."""
+    tag = F.concat(F.lit("P-"), 100 + F.col("o_custkey") % 900)
+    rows = v.table("orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("pump "), tag, F.lit(" and V-12 leak")).alias("claim"), F.concat(F.lit("seen at V-12 "), F.when(F.col("o_orderkey") % 3 == 0, F.lower(tag)).otherwise("")).alias("evidence"))
+    return reads.unsupported_tags(rows)
+
+
+@_query("SELECT 'UNIT' || (user_id % 5) AS asset, CAST(count(DISTINCT user_id) AS BIGINT) AS n_tags FROM events GROUP BY 1")
+def prj13_assets(v: Views) -> DataFrame:
+    tags_of = v.table("events").select(F.concat(F.lit("UNIT"), F.col("user_id") % 5, F.lit(".T"), "user_id").alias("tag_id")).distinct()
+    return reads.assets(tags_of)
+
+
+@_query("SELECT ts, tag_id, CASE WHEN value > h THEN 'max' WHEN value < l THEN 'min' END AS level FROM telemetry JOIN envelopes USING (tag_id)", "telemetry", "envelopes")
+def mth07_two_level(v: Views) -> DataFrame:
+    return v.telemetry.join(v.envelopes, "tag_id").select("ts", "tag_id", reads.level_two(F.col("value"), F.col("l"), F.col("h")).alias("level"))
+
+
+@_query("SELECT event_id, round(round_even(value / 0.25, 0) * 0.25, 6) AS reading FROM events")
+def mth10_quantised(v: Views) -> DataFrame:
+    return v.table("events").select("event_id", F.round(reads.quantised(F.col("value"), F.lit(0.25)), 6).alias("reading"))
+
+
+@_query("SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_returnflag) AS source FROM lineitem GROUP BY 1, 2")
+def ui16_citations(v: Views) -> DataFrame:
+    return reads.citations(v.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("source")))

@@ -25,7 +25,7 @@ SQL = {
 def with_views(query: str, *names: str) -> str:
     """SQL with the named views before it."""
     wanted = [n for n in SQL if n in names or (n == "telemetry" and "envelopes" in names)]
-    return f"WITH {', '.join(f'{n} AS ({SQL[n]})' for n in wanted)} {query}"
+    return f"WITH RECURSIVE {', '.join(f'{n} AS ({SQL[n]})' for n in wanted)} {query}"
 
 
 class Views:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,12 +40,21 @@ def _alerts(frame: pd.DataFrame, state: tuple[str, float | None] | None) -> tupl
 
 
 def batch_alerts(samples: DataFrame) -> DataFrame:
-    """Alerts of samples(tag_id, ts in seconds, level or null, value), tag by tag."""
+    """Alerts of samples(tag_id, ts in seconds, level or null, value), by windows over each tag.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_alerts(frame, None)[0], columns=["tag_id", "ts", "level", "value"])
-
-    return samples.groupBy("tag_id").applyInPandas(run, ALERTS)
+    A breach and the samples inside the limits that follow it are one segment. A breach fires if it is the
+    tag's first, has another level than the breach before, or if that one's segment spent DEBOUNCE_S
+    inside, from its first sample inside to its last, so that the alarm was re-armed.
+    """
+    order = Window.partitionBy("tag_id").orderBy("ts", "value")
+    segment = F.count("level").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    breach, inside = F.col("level").isNotNull(), F.when(F.col("level").isNull(), F.col("ts"))
+    only = lambda c: F.max(F.when(breach, F.col(c))).alias(c)
+    segments = samples.withColumn("segment", segment).where("segment > 0").groupBy("tag_id", "segment").agg(only("ts"), only("level"), only("value"), (F.max(inside) - F.min(inside)).alias("spent"))
+    before = Window.partitionBy("tag_id").orderBy("segment")
+    last, spent = F.lag("level").over(before), F.lag("spent").over(before)
+    fires = last.isNull() | (last != F.col("level")) | F.coalesce(spent >= DEBOUNCE_S, F.lit(False))
+    return segments.withColumn("fires", fires).where("fires").select("tag_id", "ts", "level", "value")
 
 
 def stream_alerts(samples: DataFrame) -> DataFrame:
@@ -68,6 +77,16 @@ def stream_alerts(samples: DataFrame) -> DataFrame:
     return samples.groupBy("tag_id").applyInPandasWithState(run, ALERTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def _sessions(rows: DataFrame, key: str, gap_s: float) -> DataFrame:
+    """Rows(key, ts) with the number of their session: a gap of ``gap_s`` starts a new one.
+
+    After such a gap the rules below are in their first state, so a session is all they need in one task.
+    """
+    order = Window.partitionBy(key).orderBy("ts")
+    begins = F.coalesce((F.col("ts") - F.lag("ts").over(order) >= gap_s).cast("int"), F.lit(0))
+    return rows.withColumn("begins", begins).withColumn("session", F.sum("begins").over(order)).drop("begins")
+
+
 def once_per(alerts: DataFrame, ttl_s: float) -> DataFrame:
     """Alerts(fingerprint, ts) that open a claim: the first, and those ttl_s or more after the last that did."""
 
@@ -77,9 +96,9 @@ def once_per(alerts: DataFrame, ttl_s: float) -> DataFrame:
             if last is None or ts - last >= ttl_s:
                 kept.append(i)
                 last = ts
-        return frame.loc[kept]
+        return frame.loc[kept].drop(columns="session")
 
-    return alerts.groupBy("fingerprint").applyInPandas(run, alerts.schema)
+    return _sessions(alerts, "fingerprint", ttl_s).groupBy("fingerprint", "session").applyInPandas(run, alerts.schema)
 
 
 def stream_once_per(alerts: DataFrame, ttl: str) -> DataFrame:
@@ -88,9 +107,10 @@ def stream_once_per(alerts: DataFrame, ttl: str) -> DataFrame:
 
 
 def slices(samples: DataFrame, width: str = "1 second", late: str = "10 seconds") -> DataFrame:
-    """One map of tag to value for each window of event time."""
+    """One map of tag to its last value (the least of several at one time) for each window of event time."""
     marked = samples.withWatermark("ts", late) if samples.isStreaming else samples
-    by = marked.groupBy(F.window("ts", width)).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("tag_id", "value")))).alias("values"))
+    newest = F.max_by("value", F.struct("ts", -F.col("value"))).alias("value")
+    by = marked.groupBy(F.window("ts", width), "tag_id").agg(newest).groupBy("window").agg(F.map_from_entries(F.collect_list(F.struct("tag_id", "value"))).alias("values"))
     return by.select(F.col("window.start").alias("ts"), "values")
 
 
@@ -106,9 +126,9 @@ def armed_episodes(alarms: DataFrame, wait_s: float = 126.0, cooldown_s: float =
             if ts >= free:
                 kept.append(i)
                 free = ts + wait_s + cooldown_s
-        return frame.loc[kept]
+        return frame.loc[kept].drop(columns="session")
 
-    return alarms.groupBy("slot").applyInPandas(run, alarms.schema)
+    return _sessions(alarms, "slot", wait_s + cooldown_s).groupBy("slot", "session").applyInPandas(run, alarms.schema)
 
 
 def rate_limited(hits: DataFrame, limit: int, window_s: float = RATE_WINDOW_S) -> DataFrame:
@@ -122,6 +142,6 @@ def rate_limited(hits: DataFrame, limit: int, window_s: float = RATE_WINDOW_S) -
                 start, n = ts, 0
             n += 1
             allowed.append(n <= limit)
-        return frame.assign(allowed=allowed)
+        return frame.drop(columns="session").assign(allowed=allowed)
 
-    return hits.groupBy("bucket").applyInPandas(run, "bucket string, ts double, allowed boolean")
+    return _sessions(hits, "bucket", window_s).groupBy("bucket", "session").applyInPandas(run, "bucket string, ts double, allowed boolean")
