@@ -151,7 +151,7 @@ def rank_file_encoder(path: str, pattern: str) -> SegmentEncoder:
 
 
 #: A character put between segments, as a piece of its own, when many go through the library in one call.
-MARK, JOINED = "\x01", 4096
+MARK, JOINED = "\x01", 64
 
 
 def _encode_joined(tokenizer: Tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
