@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 from tests.llm import plain
 
-from millrace.llm import bpe, surrogates, toxicity
+from millrace.llm import bpe, queries, surrogates, toxicity
 
 
 def test_rows(spark, small):
@@ -14,7 +14,7 @@ def test_rows(spark, small):
     rows = [(r.doc_id, r.text) for r in docs.collect() if model.score(r.text) < 0.5]
     root = plain.components(rows, 5)
     ids = [d for d, t in rows if root[d] == d and not plain.contamination(t, items)[1]]
-    texts = {r.doc_id: r.text for r in surrogates.replace_pii(docs.where(docs.doc_id.isin(ids))).collect()}
+    texts = {r.doc_id: r.text for r in surrogates.replace_pii(docs.where(docs.doc_id.isin(ids)), queries.pii_key(spark)).collect()}
     library = bpe.rank_file_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     found = corpus_pipeline.run(spark, small).collect()
     assert sorted((r.doc_id, r.n_tokens, r.decoded_sha256) for r in found) == sorted((d, len(library.encode_ordinary(t)), plain.sha(t)) for d, t in texts.items())
