@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import rules, tags
-from millrace.operators import diagnosis, etl, graph, historian, reads, retrieval
+from millrace.operators import diagnosis, etl, graph, historian, lanes, reads, retrieval
 from millrace.plans.views import NOW, TODAY, Views, with_views
 from millrace.streaming import watchers
 
@@ -705,3 +705,126 @@ def mth10_quantised(v: Views) -> DataFrame:
 @_query("SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_returnflag) AS source FROM lineitem GROUP BY 1, 2")
 def ui16_citations(v: Views) -> DataFrame:
     return reads.citations(v.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("source")))
+
+
+# --- corrections, outlines, plans -----------------------------------------------------------------
+
+_CORRECTIONS = "SELECT 'doc:' || (c_custkey % 700) AS doc_id, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS author FROM customer"
+
+
+def _corrections(v: Views) -> DataFrame:
+    return v.table("customer").select(F.concat(F.lit("doc:"), F.col("c_custkey") % 700).alias("doc_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).alias("author"))
+
+
+@_query(f"SELECT src, count(DISTINCT edge_id) AS n_failures, count(DISTINCT CASE WHEN author IS NOT NULL THEN edge_id END) AS n_corrected, min(author) AS author FROM edges LEFT JOIN (SELECT doc_id, min(author) AS author FROM ({_CORRECTIONS}) GROUP BY 1) USING (doc_id) WHERE type = 'HAS_FAILURE' GROUP BY 1", "edges")
+def jn03_corrected_failures(v: Views) -> DataFrame:
+    return lanes.failures_with_corrections(v.edges, _corrections(v))
+
+
+@_query("SELECT id, 'proc:' || p_partkey AS procedure FROM nodes LEFT JOIN part ON id = 'fm:' || (p_partkey % 31) WHERE label = 'FailureMode'", "nodes")
+def jn04_procedures(v: Views) -> DataFrame:
+    procedures = v.table("part").select(F.concat(F.lit("fm:"), F.col("p_partkey") % 31).alias("mode"), F.concat(F.lit("proc:"), "p_partkey").alias("procedure"))
+    return lanes.with_procedures(v.nodes.where("label = 'FailureMode'").select("id"), procedures)
+
+
+@_query(f"SELECT doc_id, coalesce(author, 'an engineer') AS author FROM ({_CORRECTIONS}) WHERE doc_id IN (SELECT doc_id FROM edges)", "edges")
+def jn05_corrections_of(v: Views) -> DataFrame:
+    return lanes.corrections_of(_corrections(v), v.edges.select("doc_id"))
+
+
+@_query("SELECT DISTINCT 'fm:' || (l_partkey % 25) AS mode, 'equip:' || (l_suppkey * 2) AS area FROM lineitem WHERE 'equip:' || (l_suppkey * 2) IN (SELECT id FROM nodes)", "nodes")
+def jn19_deviation_areas(v: Views) -> DataFrame:
+    rows = v.table("lineitem").select(F.concat(F.lit("fm:"), F.col("l_partkey") % 25).alias("mode"), F.concat(F.lit("equip:"), F.col("l_suppkey") * 2).alias("area"))
+    return lanes.deviation_edges(rows, v.nodes).select("mode", "area")
+
+
+@_query("SELECT c.cited, d.filename FROM (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'doc:' ELSE '' END || l_suppkey AS cited, CAST(l_suppkey AS VARCHAR) AS k FROM lineitem) c LEFT JOIN (SELECT CAST(s_suppkey * 2 AS VARCHAR) AS k, s_name AS filename FROM supplier) d ON d.k = c.k")
+def prj10_named_citations(v: Views) -> DataFrame:
+    cited = v.table("lineitem").select(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "doc:").otherwise(""), "l_suppkey").alias("cited"))
+    return lanes.named_citations(cited, v.table("supplier").select((F.col("s_suppkey") * 2).cast("string").alias("doc_id"), F.col("s_name").alias("filename")))
+
+
+@_query("SELECT event_id AS id, event_type AS tag_id, CAST(user_id AS INTEGER) AS direction, value AS magnitude FROM events WHERE event_id % 4 > 0")
+def prj12_library(v: Views) -> DataFrame:
+    """PRJ-11, PRJ-12: every fourth signature is no JSON."""
+    good = F.to_json(F.array(F.struct(F.col("event_type").alias("tag_id"), F.col("user_id").cast("int").alias("direction"), F.col("value").alias("magnitude"))))
+    rows = v.table("events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 > 0, good).otherwise("{oops").alias("signature_json"))
+    return lanes.parsed_library(rows).selectExpr("id", "inline(signature)")
+
+
+@_query("SELECT event_id, 'diag:' || CAST(floor(epoch(ts)) AS BIGINT) || ':TAG-' || user_id AS id FROM events")
+def prj15_diagnosis_id(v: Views) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    return v.table("events").select("event_id", lanes.diagnosis_id(at, F.concat(F.lit("TAG-"), "user_id")).alias("id"))
+
+
+_GROUPS = "SELECT 'Mode ' || (l_partkey % 30) AS a, 'mode ' || (l_suppkey % 40) AS b FROM lineitem"
+
+
+def _proposed(v: Views, a: str, b: str) -> DataFrame:
+    return v.table("lineitem").select(F.concat(F.lit("Mode "), F.col("l_partkey") % 30).alias(a), F.concat(F.lit("mode "), F.col("l_suppkey") % 40).alias(b))
+
+
+@_query(f"WITH g AS ({_GROUPS}), k AS (SELECT DISTINCT upper('mode ' || (l_partkey % 25)) AS x FROM lineitem), s AS (SELECT DISTINCT a, b FROM g WHERE upper(a) IN (FROM k) AND upper(b) IN (FROM k) AND upper(a) <> upper(b)) SELECT a AS canonical, b AS variant FROM s UNION ALL SELECT DISTINCT a, NULL FROM g WHERE upper(a) IN (FROM k) AND a NOT IN (SELECT a FROM s)")
+def flt19_valid_groups(v: Views) -> DataFrame:
+    return lanes.valid_groups(_proposed(v, "canonical", "variant"), v.nodes.where("label = 'FailureMode'").select(F.col("surface_form").alias("label")))
+
+
+@_query(f"WITH k AS (SELECT DISTINCT upper('mode ' || (l_partkey % 25)) AS x FROM lineitem) SELECT a AS cause, b AS effect FROM ({_GROUPS}) WHERE upper(a) IN (FROM k) AND upper(b) IN (FROM k) AND upper(a) <> upper(b)")
+def flt19_valid_links(v: Views) -> DataFrame:
+    return lanes.valid_links(_proposed(v, "cause", "effect"), v.nodes.where("label = 'FailureMode'").select(F.col("surface_form").alias("label")))
+
+
+@_query("SELECT l_orderkey AS drawing, l_partkey % 9 AS src, l_suppkey % 9 AS dst FROM lineitem l WHERE l_partkey % 9 <> l_suppkey % 9 AND EXISTS (FROM lineitem c WHERE c.l_orderkey = l.l_orderkey AND c.l_linenumber = l.l_partkey % 9) AND EXISTS (FROM lineitem c WHERE c.l_orderkey = l.l_orderkey AND c.l_linenumber = l.l_suppkey % 9)")
+def flt20_connections(v: Views) -> DataFrame:
+    lines = v.table("lineitem").withColumnRenamed("l_orderkey", "drawing")
+    return lanes.connections(lines.select("drawing", (F.col("l_partkey") % 9).alias("src"), (F.col("l_suppkey") % 9).alias("dst")), lines.select("drawing", F.col("l_linenumber").cast("bigint").alias("tag"))).select("drawing", "src", "dst")
+
+
+@_query("SELECT o_orderkey AS doc_id, o_custkey AS page, CAST(1 AS INTEGER) AS line_no, (o_custkey % 7) || repeat('.2', CAST(o_orderkey % 6 AS INTEGER)) || ' Scope ' || o_orderstatus AS title, CAST(least(o_orderkey % 6 + 1, 4) AS INTEGER) AS level FROM orders")
+def str20_outline(v: Views) -> DataFrame:
+    """STR-20: pages with one heading between lines that are none."""
+    heading = F.concat(F.lit("  "), (F.col("o_custkey") % 7).cast("string"), F.expr("repeat('.2', cast(o_orderkey % 6 as int))"), F.lit(" Scope "), "o_orderstatus")
+    text = F.concat_ws("\n", F.lit("Body of 3 lines"), heading, F.concat(F.lit("4 "), F.repeat(F.lit("x"), 95)), F.lit("12."))
+    return lanes.outline(v.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("page"), text.alias("text")))
+
+
+@_query("WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS nth, l_partkey % 4 + 1 AS level, (l_linenumber + 1) // 2 * 3 AS page FROM lineitem) SELECT doc_id, nth, level, page AS page_start, greatest(coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY nth) - 1, 14), page) AS page_end, coalesce(e.doc_id || '#sec' || (SELECT max(p.nth) FROM e p WHERE p.doc_id = e.doc_id AND p.nth < e.nth AND p.level < e.level), CAST(e.doc_id AS VARCHAR)) AS parent FROM e")
+def win07_sections(v: Views) -> DataFrame:
+    entries = v.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("nth"), (F.col("l_partkey") % 4 + 1).alias("level"), F.expr("(l_linenumber + 1) div 2 * 3").alias("page"))
+    return lanes.sections(entries, v.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(14).alias("n_pages")))
+
+
+@_query("SELECT o_orderkey AS id, CAST(n AS INTEGER) AS nth, CASE WHEN o_orderkey % 3 = 0 THEN 'equipment ' ELSE 'order ' END || n AS step FROM orders, range(2) t(n)")
+def jn15_steps(v: Views) -> DataFrame:
+    """JN-15: every third order has no steps of its own."""
+    of = lambda word: F.transform(F.array(F.lit("0"), F.lit("1")), lambda n: F.concat(F.lit(f"{word} "), n)).alias("steps")
+    orders = v.table("orders").withColumnRenamed("o_orderkey", "id")
+    return lanes.steps(orders.where("id % 3 <> 0").select("id", of("order")), orders.select("id", of("equipment")))
+
+
+@_query("SELECT DISTINCT l_orderkey AS id, doc FROM (SELECT l_orderkey, 'doc:' || (l_partkey % 50) AS doc FROM lineitem UNION ALL SELECT l_orderkey, 'doc:' || (l_suppkey % 9) FROM lineitem WHERE l_returnflag <> 'N')")
+def etl31_trace_documents(v: Views) -> DataFrame:
+    named = lambda c, n: F.concat(F.lit("doc:"), F.col(c) % n)
+    return lanes.trace_documents(v.table("lineitem").select(F.col("l_orderkey").alias("id"), named("l_partkey", 50).alias("doc_id"), F.when(F.col("l_returnflag") != "N", F.array(named("l_suppkey", 9))).alias("docs")))
+
+
+@_query("SELECT id, status, first_ts, latest FROM (SELECT user_id AS id, event_type AS status, min(ts) AS first_ts FROM events GROUP BY 1, 2) JOIN (SELECT user_id AS id, arg_max(event_type, (ts, event_type)) AS latest FROM events GROUP BY 1) USING (id)")
+def etl34_assignments(v: Views) -> DataFrame:
+    return lanes.assignments(v.table("events").select(F.col("user_id").alias("id"), "ts", F.col("event_type").alias("status")))
+
+
+@_query("SELECT o_orderkey AS id, coalesce(m, 0.0) AS coverage, coalesce(d, false) AS all_covered, o_custkey - o_orderkey % 5 AS undigested FROM orders LEFT JOIN (SELECT l_orderkey, avg(l_quantity) AS m, bool_and(l_linestatus = 'F') AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def etl35_coverage(v: Views) -> DataFrame:
+    topics = v.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("coverage"), F.when(F.col("l_linestatus") == "F", "covered").otherwise("open").alias("status"))
+    return lanes.coverage(topics, v.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("n_turns"), (F.col("o_orderkey") % 5).alias("cursor")))
+
+
+@_query("SELECT coalesce(CASE WHEN user_id % 2 = 0 THEN 'a' || user_id END, event_type) AS key, max(ts) AS ts, arg_max(event_type, (ts, event_type)) AS status FROM events GROUP BY 1")
+def ui06_upserted(v: Views) -> DataFrame:
+    return lanes.upserted(v.table("events").select(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("a"), "user_id")).alias("id"), F.col("event_type").alias("fingerprint"), "ts", F.col("event_type").alias("status")))
+
+
+@_query("SELECT c_custkey AS alert_id, min(o_orderkey) AS investigation FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def ui08_investigations(v: Views) -> DataFrame:
+    return lanes.with_investigation(v.table("customer").select(F.col("c_custkey").alias("alert_id")), v.table("orders").select(F.col("o_custkey").alias("alert_ref"), F.col("o_orderkey").alias("id")))
