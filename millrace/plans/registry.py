@@ -789,9 +789,11 @@ def str20_outline(v: Views) -> DataFrame:
     return lanes.outline(v.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("page"), text.alias("text")))
 
 
-@_query("WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS nth, l_partkey % 4 + 1 AS level, (l_linenumber + 1) // 2 * 3 AS page FROM lineitem) SELECT doc_id, nth, level, page AS page_start, greatest(coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY nth) - 1, 14), page) AS page_end, coalesce(e.doc_id || '#sec' || (SELECT max(p.nth) FROM e p WHERE p.doc_id = e.doc_id AND p.nth < e.nth AND p.level < e.level), CAST(e.doc_id AS VARCHAR)) AS parent FROM e")
+@_query("WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS nth, min(l_partkey) % 4 + 1 AS level, (l_linenumber + 1) // 2 * 3 AS page FROM lineitem GROUP BY l_orderkey, l_linenumber) SELECT doc_id, nth, level, page AS page_start, greatest(coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY nth) - 1, 14), page) AS page_end, coalesce(e.doc_id || '#sec' || (SELECT max(p.nth) FROM e p WHERE p.doc_id = e.doc_id AND p.nth < e.nth AND p.level < e.level), CAST(e.doc_id AS VARCHAR)) AS parent FROM e")
 def win07_sections(v: Views) -> DataFrame:
-    entries = v.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("nth"), (F.col("l_partkey") % 4 + 1).alias("level"), F.expr("(l_linenumber + 1) div 2 * 3").alias("page"))
+    """WIN-7: a line number that an order repeats is one entry."""
+    lines = v.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    entries = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("nth"), (F.col("l_partkey") % 4 + 1).alias("level"), F.expr("(l_linenumber + 1) div 2 * 3").alias("page"))
     return lanes.sections(entries, v.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(14).alias("n_pages")))
 
 
