@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import rules, tags
 from millrace.operators import diagnosis, etl, graph, historian, lanes, reads, retrieval
+from millrace.plans import agents  # noqa: F401 its queries are registered too
+from millrace.plans.catalog import oracle_sql, queries  # noqa: F401 the entry module's names
+from millrace.plans.catalog import query as _query
 from millrace.plans.views import NOW, TODAY, Views, with_views
-from millrace.streaming import watchers
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None, *views: str):
-    def add(f: Callable[[Views], DataFrame]):
-        _QUERIES[f.__name__] = lambda spark, folder: f(Views(spark, folder))
-        if sql:
-            _SQL[f.__name__] = with_views(sql, *views) if views else sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from millrace.streaming import units, watchers
 
 _LEVEL = "CASE WHEN value >= hh THEN 'HH' WHEN value >= h THEN 'H' WHEN value <= ll THEN 'LL' WHEN value <= l THEN 'L' END"
 
@@ -147,6 +126,14 @@ def stm08_claims(v: Views) -> DataFrame:
     return watchers.once_per(rows, 1800)
 
 
+@_query(_greedy(", p AS (SELECT tag_id, ts, min(CAST(value >= 40 AS INT)) OVER w AS bad, count(*) OVER w AS n FROM telemetry WINDOW w AS (PARTITION BY tag_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), a AS (SELECT DISTINCT tag_id AS fingerprint, epoch_us(ts) / 1e6 AS ts FROM p WHERE bad = 1 AND n = 3)", "fingerprint", 172800) + " SELECT fingerprint, ts FROM r", "telemetry")
+def stm10_detector_events(v: Views) -> DataFrame:
+    """STM-10: persistent anomalies of a tag that come two days or more after its last event."""
+    bad = diagnosis.persistent_anomalies(v.telemetry.withColumn("anomalous", F.col("value") >= 40), ["tag_id"])
+    rows = bad.select(F.col("tag_id").alias("fingerprint"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    return units.detector_events(rows.distinct(), 172_800.0)
+
+
 @_query(_greedy(_ALARMS + ", a AS (SELECT DISTINCT tag_id AS slot, ts FROM s WHERE level IN ('HH', 'LL'))", "slot", 426) + " SELECT slot, ts FROM r", "telemetry", "envelopes")
 def stm11_episodes(v: Views) -> DataFrame:
     """STM-11: alarms that arm an episode; each asset is a slot of its own."""
