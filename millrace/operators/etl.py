@@ -90,7 +90,7 @@ def email_body(raw: Column) -> Column:
 
 def correction_section(text: Column, heading: str) -> Column:
     """The text under a '## heading' up to the next one."""
-    return F.trim(F.regexp_extract(text, rf"(?ms)^##[ \t]*{re.escape(heading)}[ \t]*\r?\n(.*?)(?=^##|\z)", 1))
+    return F.trim(F.regexp_extract(text, rf"(?ms)^##[ \t]*{re.escape(heading)}[ \t]*\r?\n(.*?)(?=^##|\z)", 1), F.lit(" \t\r\n"))
 
 
 def front_matter(text: Column, key: str) -> Column:
@@ -146,10 +146,12 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def good_and_bad(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """JSON rows(value) that fit the schema, and the rest for the dead-letter table."""
-    parsed = raw.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("row").isNull() | F.col("row._bad").isNotNull()
-    return parsed.where(~bad).select("row.*").drop("_bad"), parsed.where(bad).select("value")
+    """JSON rows(value, ...) that fit the schema, as columns beside the others, and the rest as they are for the dead-letter table."""
+    read = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = raw.withColumn("_row", read)
+    bad = F.col("_row").isNull() | F.col("_row._bad").isNotNull()
+    others = [c for c in raw.columns if c != "value"]
+    return parsed.where(~bad).select(*others, "_row.*").drop("_bad"), parsed.where(bad).select(*raw.columns)
 
 
 def latest_by(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -62,13 +62,12 @@ def snk02_retention(v: Views) -> DataFrame:
     return historian.retained(v.telemetry, NOW, 7).groupBy("tag_id").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT event_id, 'TAG-' || user_id AS tag_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value, ts FROM events WHERE user_id % 7 <> 0")
+@_query(f"SELECT 'TAG-' || user_id AS tag_id, CASE WHEN user_id % 5 = 0 THEN TIMESTAMP '{NOW}' ELSE ts END AS ts, CASE WHEN user_id % 4 > 0 THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS value, CASE WHEN user_id % 3 = 0 THEN 'GOOD' ELSE event_type END AS quality, event_type AS unit FROM events WHERE user_id % 7 <> 0")
 def prj01_from_stream(v: Views) -> DataFrame:
-    """PRJ-1, PRJ-2: string entries to typed samples; rows without a tag go."""
-    tag = F.when(F.col("user_id") % 7 != 0, F.concat(F.lit("TAG-"), "user_id"))
-    raw = v.table("events").select("event_id", tag.alias("tag_id"), F.col("ts").cast("string").alias("timestamp"), F.get_json_object("props", "$.k").alias("value"), "event_type", F.lit(NOW).alias("ingested"))
-    typed = raw.where("tag_id is not null").select("event_id", "tag_id", F.expr("try_cast(value AS double)").alias("value"), F.expr("try_cast(timestamp AS timestamp_ntz)").alias("ts"))
-    return typed
+    """PRJ-1, PRJ-2, MTH-11: string entries to typed samples; rows without a tag go, bad times are the time of arrival."""
+    user = F.col("user_id")
+    raw = v.table("events").select(F.when(user % 7 != 0, F.concat(F.lit("TAG-"), "user_id")).alias("tag_id"), F.when(user % 5 == 0, "soon").otherwise(F.col("ts").cast("string")).alias("timestamp"), F.when(user % 4 == 0, "n/a").otherwise(F.get_json_object("props", "$.k")).alias("value"), F.when(user % 3 > 0, F.col("event_type")).alias("status"), F.col("event_type").alias("unit"), F.lit(NOW).alias("ingested"))
+    return historian.from_stream(raw).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @_query("SELECT tag_id, CAST(count(*) AS BIGINT) AS n, round(sum(round(value, 1)), 3) AS total FROM telemetry GROUP BY tag_id", "telemetry")
@@ -569,11 +568,12 @@ def str21_hash_embedding(v: Views) -> DataFrame:
     return v.table("benchmark").select("item_id", F.transform(vector, lambda x: F.round(x, 6)).alias("vector"))
 
 
-@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
+@_query("SELECT event_id, CASE WHEN user_id % 13 > 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k, user_id % 13 = 0 AS parked FROM events")
 def snk08_good_rows(v: Views) -> DataFrame:
-    """SNK-8: JSON rows that fit; the rest goes to a dead-letter table."""
-    raw = v.table("events").select("event_id", F.from_json("props", "k bigint, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
-    return raw.where("row is not null and row._bad is null").select("event_id", "row.k")
+    """SNK-8: JSON rows that fit, and those that go to a dead-letter table."""
+    value = F.when(F.col("user_id") % 13 == 0, "{").otherwise(F.col("props"))
+    good, bad = etl.good_and_bad(v.table("events").select("event_id", value.alias("value")), "k bigint")
+    return good.select("event_id", "k", F.lit(False).alias("parked")).union(bad.select("event_id", F.lit(-1).cast("bigint"), F.lit(True)))
 
 
 # --- reads for questions ------------------------------------------------------------------------
