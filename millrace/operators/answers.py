@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import rules, tags
 from millrace.operators.graph import both_ways, not_human_touched, of_types, ranked
 
-# Patterns of questions, hazard words and their labels, tools and the field each fills.
+# Patterns of questions, hazard words and their labels, tools and the field each fills, words of personas that are not the engineer.
 TITLE_PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 STANDARD = r"(?i)\b(OISD[-\s]?STD[-\s]?\d+|IS\s?\d{3,5}|IBR)\b"
 HAZARDS = {
@@ -26,6 +26,7 @@ HAZARDS = {
     "gas": "Toxic / flammable gas release hazard",
 }
 TOOL_FIELDS = {"get_connected_equipment": "isolation_points", "get_governing_clauses": "governing_clauses", "get_fix_procedures": "procedures_to_follow"}
+PERSONA_WORDS = ("worker", "field_oper", "technician", "fitter", "mechanic", "electrician", "operator", "control_room", "supervisor", "shift", "instrument", "electrical", "control", "reliability", "asset", "process", "chemical", "plan", "schedul", "inspect", "integrity", "ndt", "hse", "safety", "env", "manager", "director", "admin", "lead")
 HEAVY_PROPERTIES = ("embedding", "text", "context")
 UNNAMED_LABELS = ("Chunk", "Section", "Document")
 MOST_EVIDENCE = 8
@@ -253,3 +254,29 @@ def searched(rows: DataFrame, columns: list[str], text: str, **equal: str) -> Da
     held = [F.exists(c, lambda v: F.contains(F.lower(v), F.lit(low))) if c in arrays else F.contains(F.lower(c), F.lit(low)) for c in columns]
     kept = reduce(lambda a, b: a | b, (F.coalesce(h, F.lit(False)) for h in held), F.lit(False)) if low else F.lit(True)
     return rows.where(reduce(lambda a, k: a & (F.col(k) == equal[k]), equal, kept))
+
+
+def is_cacheable(alert_context: Column, persona: Column) -> Column:
+    """FLT-22: whether an answer may be cached: no alert is asked about and the persona is none or resolves to the engineer."""
+    name = F.translate(F.lower(F.trim(F.coalesce(persona, F.lit("")))), " -", "__")
+    return (F.coalesce(alert_context, F.lit("")) == "") & ~rules.contains_any(name, PERSONA_WORDS)
+
+
+def renamed_citations(alerts: DataFrame, documents: DataFrame) -> DataFrame:
+    """SNK-10: alerts(id, citations of doc_id and filename) with the names that documents(doc_id, filename) give, in their order.
+
+    A citation of an unknown document keeps its name; alerts without citations stay as they are.
+    """
+    cited = alerts.select("id", F.posexplode("citations").alias("nth", "c"))
+    known = documents.groupBy("doc_id").agg(F.min("filename").alias("known"))
+    named_ones = cited.select("id", "nth", "c.doc_id", "c.filename").join(known, "doc_id", "left")
+    one = F.struct("nth", F.struct("doc_id", F.coalesce("known", "filename").alias("filename")).alias("c"))
+    listed = named_ones.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("renamed"))
+    return alerts.join(listed, "id", "left").withColumn("citations", F.coalesce("renamed", "citations")).drop("renamed")
+
+
+def limit_bands(envelopes: DataFrame) -> DataFrame:
+    """UI-11: the bands of envelopes(tag_id, ll, l, setpoint, h, hh) whose two ends are given: (tag_id, band, low, high)."""
+    ends = (("high", "h", "hh"), ("above", "setpoint", "h"), ("below", "l", "setpoint"), ("low", "ll", "l"))
+    bands = F.array(*(F.struct(F.lit(name).alias("band"), F.col(a).alias("low"), F.col(b).alias("high")) for name, a, b in ends))
+    return envelopes.select("tag_id", F.inline(bands)).where("low is not null and high is not null")

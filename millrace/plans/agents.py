@@ -297,3 +297,26 @@ def ui15_searched(v: Views) -> DataFrame:
     rows = v.table("events").select("event_id", F.col("event_type").alias("status"), F.concat(F.lit("U"), "user_id").alias("equipment"), F.array(F.lit("Plant"), F.concat(F.lit("Area "), F.col("user_id") % 8)).alias("unit_areas"))
     one = answers.searched(rows, ["equipment", "unit_areas"], "u1", status="error")
     return one.union(answers.searched(rows, ["equipment", "unit_areas"], "A 5", status="error")).select("event_id").distinct()
+
+
+@query("SELECT event_id, user_id % 3 > 0 AND user_id % 5 IN (0, 1, 4) AS cacheable FROM events")
+def flt22_cacheable(v: Views) -> DataFrame:
+    personas = F.array(*(F.lit(p).cast("string") for p in (None, "Engineer", "Shift-Supervisor", "field operator", "Design Engg")))
+    user = F.col("user_id")
+    return v.table("events").select("event_id", answers.is_cacheable(F.when(user % 3 == 0, "alert"), F.element_at(personas, (user % 5 + 1).cast("int"))).alias("cacheable"))
+
+
+@query("SELECT l_orderkey AS id, string_agg(CASE WHEN l_partkey % 60 < 50 THEN 'file ' || (l_partkey % 60) ELSE 'hash' END, ',' ORDER BY l_linenumber, l_partkey) AS names FROM lineitem GROUP BY 1")
+def snk10_renamed_citations(v: Views) -> DataFrame:
+    """SNK-10: citations in their order; a sixth of the documents have no name."""
+    one = F.struct("l_linenumber", "l_partkey")
+    lists = v.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("lines"))
+    cited = lists.select("id", F.transform("lines", lambda x: F.struct((x["l_partkey"] % 60).alias("doc_id"), F.lit("hash").alias("filename"))).alias("citations"))
+    names = v.table("lineitem").select((F.col("l_partkey") % 60).alias("doc_id")).where("doc_id < 50").distinct().select("doc_id", _key("file ", "doc_id").alias("filename"))
+    return answers.renamed_citations(cited, names).select("id", F.array_join(F.transform("citations", lambda c: c["filename"]), ",").alias("names"))
+
+
+@query("SELECT tag_id, band, low, high FROM (SELECT tag_id, unnest(['high', 'above', 'below', 'low']) AS band, unnest([h, l + 1, l, ll]) AS low, unnest([hh, h, l + 1, l]) AS high FROM envelopes)", "telemetry", "envelopes")
+def ui11_limit_bands(v: Views) -> DataFrame:
+    """UI-11: a setpoint one above the lower limit."""
+    return answers.limit_bands(v.envelopes.withColumn("setpoint", F.col("l") + 1))
