@@ -215,7 +215,7 @@ def agg20_severity(v: Views) -> DataFrame:
     return diagnosis.severity(_signatures(v))
 
 
-@_query()
+@_query(f", {_SIGNATURES} SELECT episode_id, string_agg(area, ',' ORDER BY r) AS unit_areas FROM (SELECT episode_id, split_part(tag_id, '.', 1) AS area, min(first_mover_rank) AS r FROM signatures GROUP BY ALL) GROUP BY 1", "telemetry")
 def agg21_unit_areas(v: Views) -> DataFrame:
     return diagnosis.unit_areas(_signatures(v)).select("episode_id", F.array_join("unit_areas", ",").alias("unit_areas"))
 
