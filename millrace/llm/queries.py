@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chunks, html, minhash, neighbours, secrets, surrogates, tokenstore, toxicity, winnow
+from millrace.llm import bpe, chunks, collocations, exact, html, merkle, minhash, neighbours, secrets, sql, surrogates, tokenstore, toxicity, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,10 +79,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact dedup by a heavy-hitter split."""
+    return exact.find_copies(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest by superblocks; the contract tampers with some texts before they are verified."""
+    tampered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    given = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, tampered).otherwise(F.col("text"))
+    return merkle.build(_table(spark, sf_dir, "documents"), {"text": given}).audit()
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase collocations by generalised suffix automata."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_html_extraction, op2_token_store, op3_projection_search, op4_pii_surrogates, op5_byte_bpe, op6_chunk_dedup, op7_toxicity, op8_winnowing, op9_minhash, op10_secret_scan)
+    own = (op1_html_extraction, op2_token_store, op3_projection_search, op4_pii_surrogates, op5_byte_bpe, op6_chunk_dedup, op7_toxicity, op8_winnowing, op9_minhash, op10_secret_scan, op11_exact_dedup, op12_merkle_manifest, op13_collocations)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_exact_dedup": sql.COPIES, "op12_merkle_manifest": sql.MANIFEST, "op13_collocations": sql.COLLOCATIONS}
