@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import rules, tags
 from millrace.operators.graph import both_ways, not_human_touched, of_types, ranked
+from millrace.operators.reads import is_fresh
 
 # Patterns of questions, hazard words and their labels, tools and the field each fills, words of personas that are not the engineer.
 TITLE_PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
@@ -104,7 +105,7 @@ def asset_context(alarms: DataFrame, diagnoses: DataFrame, now: Column, active_s
 
     Standing: a process limit of the last ``active_s`` seconds, or one without a time; a timed one is newer than one without.
     """
-    fresh = F.col("ts").isNull() | (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) <= active_s * 1_000_000)
+    fresh = is_fresh((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6, active_s)
     standing = alarms.where((F.col("kind") == "process_limit") & fresh).groupBy("tag_id", "level").agg(F.max("ts").alias("ts"), F.max_by("value", F.struct("ts", "value")).alias("value"))
     latest = diagnoses.groupBy("tag_id").agg(F.max_by("diagnosis", F.struct("ts", "diagnosis")).alias("diagnosis"))
     return standing.join(latest, "tag_id", "left").select("tag_id", "level", "ts", "value", "diagnosis")

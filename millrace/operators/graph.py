@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,25 +99,6 @@ def scored_paths(paths: DataFrame, degree: DataFrame) -> DataFrame:
     return keyed.join(maps, "path_id", "left").withColumn("score", flow_score(F.col("steps"), F.coalesce("degree_of", F.create_map().cast("map<string,bigint>")))).drop("degree_of")
 
 
-def pruned(scored: DataFrame, group: str = "start") -> DataFrame:
-    """Per group, up to 15 paths by score whose undirected edges overlap no kept path by more than 0.7
-    of the shorter. The choice is sequential, so each group is one pandas call; groups are questions."""
-    schema = scored.schema
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, rows = [], []
-        for i, steps in frame.sort_values(["score", "path_id"], ascending=[False, True])["steps"].items():
-            own = {(s["type"], frozenset((s["src"], s["dst"]))) for s in steps}
-            if own and all(len(own & k) / min(len(own), len(k)) <= OVERLAP for k in kept):
-                kept.append(own)
-                rows.append(i)
-            if len(rows) == KEPT_PATHS:
-                break
-        return frame.loc[rows]
-
-    return scored.groupBy(group).applyInPandas(choose, schema)
-
-
 def upsert_nodes(nodes: DataFrame, rows: DataFrame, version: int) -> DataFrame:
     """Nodes after a batch: properties overlay key by key (null values never overwrite), new ids are
     stamped with created_version, all in the batch with updated_version."""

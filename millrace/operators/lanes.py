@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.graph import both_ways, ranked
+
 # A numbered heading, the deepest level and the longest heading of an outline.
 HEADING = r"^\s*(\d+(?:\.\d+)*)[.)]?\s+\S"
 DEEPEST, LONGEST_HEADING = 4, 90
 SIGNATURE = "array<struct<tag_id:string,direction:int,magnitude:double>>"
 
 
-def failures_with_corrections(edges: DataFrame, corrections: DataFrame) -> DataFrame:
-    """JN-3: for each node, its distinct failures and those whose document has a correction(doc_id, author).
+def failures_with_corrections(edges: DataFrame, nodes: DataFrame, corrections: DataFrame) -> DataFrame:
+    """JN-3, AGG-2: the failures of each equipment by mode, with what engineers said of their documents.
 
-    Corrections are reduced to one row a document first, so that a much-corrected document does not multiply the failures.
+    Columns: tag, mode, count (distinct edges), causes (not blank), docs, sources, corrected_by, corrections and
+    correction_ids, each list distinct and sorted. corrections(doc_id, id, author, text) meet the distinct documents of a
+    mode and not its edges, so a document that is corrected twice counts its failures once.
     """
-    per_doc = corrections.groupBy("doc_id").agg(F.min("author").alias("author"))
-    failures = edges.where("type = 'HAS_FAILURE'").select("src", "edge_id", "doc_id").distinct()
-    return failures.join(per_doc, "doc_id", "left").groupBy("src").agg(F.countDistinct("edge_id").alias("n_failures"), F.countDistinct(F.when(F.col("author").isNotNull(), F.col("edge_id"))).alias("n_corrected"), F.min("author").alias("author"))
+    of = lambda label, key, name: nodes.where(F.col("label") == label).select(F.col("id").alias(key), F.col("surface_form").alias(name))
+    rows = edges.where("type = 'HAS_FAILURE'").select("src", "dst", "edge_id", "doc_id", "cause", "source").join(of("Equipment", "src", "tag"), "src").join(of("FailureMode", "dst", "mode"), "dst")
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    counted = rows.groupBy("tag", "mode").agg(F.countDistinct("edge_id").alias("count"), listed(F.when(F.col("cause") != "", F.col("cause"))).alias("causes"), listed("doc_id").alias("docs"), listed("source").alias("sources"))
+    said = rows.select("tag", "mode", "doc_id").distinct().join(corrections.select("doc_id", "id", "author", "text"), "doc_id")
+    said = said.groupBy("tag", "mode").agg(listed("author").alias("corrected_by"), listed("text").alias("corrections"), listed("id").alias("correction_ids"))
+    none = F.array().cast("array<string>")
+    return counted.join(said, ["tag", "mode"], "left").select(*counted.columns, *(F.coalesce(c, none).alias(c) for c in ("corrected_by", "corrections", "correction_ids")))
 
 
 def with_procedures(modes: DataFrame, procedures: DataFrame) -> DataFrame:
@@ -27,8 +36,12 @@ def with_procedures(modes: DataFrame, procedures: DataFrame) -> DataFrame:
 
 
 def corrections_of(corrections: DataFrame, documents: DataFrame) -> DataFrame:
-    """JN-5: corrections(doc_id, author) of documents(doc_id); an unnamed author is 'an engineer'."""
-    return corrections.join(documents.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.coalesce("author", F.lit("an engineer")).alias("author"))
+    """JN-5: corrections(doc_id, id, author, corrected_by, text) of documents(doc_id): (doc_id, correction_id, correction, author).
+
+    The author is the correction's, else the one named on the edge, else 'an engineer'.
+    """
+    found = corrections.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    return found.select("doc_id", F.col("id").alias("correction_id"), F.col("text").alias("correction"), F.coalesce("author", "corrected_by", F.lit("an engineer")).alias("author"))
 
 
 def deviation_edges(deviations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,10 +120,25 @@ def sections(entries: DataFrame, lengths: DataFrame) -> DataFrame:
     return rows.select("doc_id", "nth", "level", F.col("page").alias("page_start"), last.alias("page_end"), "parent")
 
 
-def steps(direct: DataFrame, fallback: DataFrame) -> DataFrame:
-    """JN-15: procedure steps(id, steps) as rows: by the direct path or, for an id without one, by the other."""
-    rest = fallback.join(direct.select("id").distinct(), "id", "left_anti")
-    return direct.select("id", "steps").union(rest.select("id", "steps")).select("id", F.posexplode("steps").alias("nth", "step"))
+def steps(orders: DataFrame, edges: DataFrame, nodes: DataFrame, procedures: DataFrame, limit: int = 50) -> DataFrame:
+    """JN-15: the procedure steps of orders(id): (id, step_index, step_text, sop_id, sop_name).
+
+    By FOLLOWS_SOP edges; for an order without steps that way, by the FIXED_BY procedures of equipment one or two hops of
+    MENTIONED_IN or MENTIONS away in either direction, the first ``limit`` steps by index, then procedure. procedures(id,
+    name, steps) hold arrays; one without steps gives none. An order that reaches a procedure twice has its steps once.
+    """
+    arrays = procedures.select(F.col("id").alias("sop_id"), F.col("name").alias("sop_name"), F.posexplode("steps").alias("step_index", "step_text"))
+    columns = ["id", "step_index", "step_text", "sop_id", "sop_name"]
+    follows = edges.where("type = 'FOLLOWS_SOP'").select(F.col("src").alias("id"), F.col("dst").alias("sop_id")).distinct()
+    direct = orders.select("id").distinct().join(follows, "id").join(arrays, "sop_id").select(*columns)
+    rest = orders.select("id").distinct().join(direct.select("id").distinct(), "id", "left_anti")
+    near = both_ways(edges.where(F.col("type").isin("MENTIONED_IN", "MENTIONS")).select("edge_id", "src", "dst")).select("edge_id", "node", "other")
+    one = rest.join(near, F.col("id") == F.col("node")).select("id", F.col("other").alias("at"), F.col("edge_id").alias("first"))
+    two = one.join(near, F.col("at") == F.col("node")).where("edge_id <> first").select("id", F.col("other").alias("at"))
+    equipment = nodes.where("label = 'Equipment'").select(F.col("id").alias("at"))
+    fixed = edges.where("type = 'FIXED_BY'").select(F.col("src").alias("at"), F.col("dst").alias("sop_id"))
+    reached = one.select("id", "at").union(two).distinct().join(equipment, "at", "left_semi").join(fixed, "at").select("id", "sop_id").distinct()
+    return direct.union(ranked(reached.join(arrays, "sop_id"), ["id"], ["step_index", "sop_id"], limit).select(*columns))
 
 
 def trace_documents(trace: DataFrame) -> DataFrame:

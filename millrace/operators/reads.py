@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import tags
-from millrace.operators.graph import both_ways, of_types, ranked, trails
+from millrace.operators.graph import both_ways, of_types, ranked
 
 
 def resolved_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -23,33 +23,44 @@ def equipment_orders(orders: DataFrame, nodes: DataFrame) -> DataFrame:
     return orders.select("wo_id", "equipment", "date", "status").distinct().join(names, "equipment")
 
 
-def equipment_context(edges: DataFrame) -> DataFrame:
-    """JN-17: for each source node, its failure modes, causes and places, distinct and sorted, in one pass over the edges."""
-    of = lambda kind, c: F.array_join(F.array_sort(F.collect_set(F.when(F.col("type") == kind, F.col(c)))), ",")
-    return edges.where(F.col("type").isin("HAS_FAILURE", "PART_OF")).groupBy("src").agg(of("HAS_FAILURE", "dst").alias("modes"), of("HAS_FAILURE", "cause").alias("causes"), of("PART_OF", "dst").alias("places"))
+def equipment_context(tags_: DataFrame, edges: DataFrame, nodes: DataFrame, orders: DataFrame, recent: int = 8) -> DataFrame:
+    """JN-17: for each of tags_(tag) that is an equipment's surface: its failures, newest work orders, procedures and connections.
 
-
-def paths_between(edges: DataFrame, pairs: DataFrame, types: list[str], max_hops: int, limit: int = 10) -> DataFrame:
-    """GR-1, GR-5: up to ``limit`` undirected trails between the ends of each of pairs(start, end), shorter ones first.
-
-    All pairs are searched at once: one equi-join of the frontier with the edges for each hop.
+    failures: (mode, count, causes) by mode, blank causes left out; work_orders: the ``recent`` newest of
+    orders(equipment, wo_id, date), a missing date last; procedures and connected (either direction): names, distinct
+    and sorted. Four grouped lists meet on the equipment, so none multiplies another. Without any of a kind its list is empty.
     """
-    seeds = pairs.select(F.col("start").alias("id")).distinct()
-    found = trails(edges, seeds, types, max_hops).join(pairs.distinct(), ["start", "end"]).withColumn("path", F.array_join("path", ">"))
-    return ranked(found, ["start", "end"], ["hops", "path"], limit).select("start", "end", "hops", "path")
-
-
-def relations(edges: DataFrame, types: list[str], limit: int = 12) -> DataFrame:
-    """GR-9: the surest relations of every node, from either end: (node, type, other, confidence)."""
-    one = both_ways(of_types(edges, types).select("src", "dst", "type", "confidence")).groupBy("node", "type", "other").agg(F.max("confidence").alias("confidence"))
-    return ranked(one, ["node"], [F.desc("confidence"), "type", "other"], limit).select("node", "type", "other", "confidence")
-
-
-def sharing(edges: DataFrame, kind: str) -> DataFrame:
-    """GR-10: how many other nodes share a neighbour of a kind of edge: (node, shared, n)."""
-    ends = both_ways(of_types(edges, [kind]).select("src", "dst", "type")).select("node", F.col("other").alias("shared")).distinct()
-    sizes = ends.groupBy("shared").agg((F.count("*") - 1).alias("n"))
-    return ends.join(sizes, "shared").where("n > 0").select("node", "shared", "n")
+    own = nodes.where("label = 'Equipment'").join(tags_.select(F.col("tag").alias("surface_form")).distinct(), "surface_form").select(F.col("id").alias("node"), F.col("surface_form").alias("tag"))
+    names = nodes.select(F.col("id").alias("other"), F.col("surface_form").alias("name"), "label")
+    ends = both_ways(edges.select("src", "dst", "type", "cause").where(F.col("type") == "CONNECTED_TO")).select("node", "other")
+    to = lambda kind, label: edges.where(F.col("type") == kind).select(F.col("src").alias("node"), F.col("dst").alias("other"), "cause").join(names.where(F.col("label") == label), "other")
+    listed = lambda rows, c: rows.groupBy("node").agg(F.array_sort(F.collect_set("name")).alias(c))
+    cause = F.trim("cause")
+    modes = to("HAS_FAILURE", "FailureMode").join(own.select("node"), "node", "left_semi").groupBy("node", "name").agg(F.count("*").alias("count"), F.array_sort(F.collect_set(F.when(cause != "", cause))).alias("causes"))
+    failures = modes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("name").alias("mode"), "count", "causes"))).alias("failures"))
+    newest = ranked(orders.select(F.col("equipment").alias("node"), "wo_id", "date").distinct().join(own.select("node"), "node", "left_semi"), ["node"], [F.desc_nulls_last("date"), "wo_id"], recent)
+    work = newest.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("nth", "wo_id", "date"))).alias("work_orders"))
+    out = own
+    for part in (failures, work, listed(to("FIXED_BY", "Procedure"), "procedures"), listed(ends.join(names, "other"), "connected")):
+        out = out.join(part, "node", "left")
+    filled = [F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("failures", "work_orders", "procedures", "connected")]
+    return out.select("tag", *filled)
+
+
+def relations(edges: DataFrame, nodes: DataFrame, types: list[str], limit: int = 40) -> DataFrame:
+    """GR-9: up to ``limit`` edges of every node, the surest first: (node, type, src, dst, confidence, other, other_surface, other_label)."""
+    ends = both_ways(of_types(edges, types).withColumns({"a": F.col("src"), "z": F.col("dst")}).select("edge_id", "src", "dst", "a", "z", "type", "confidence"))
+    best = ranked(ends, ["node"], [F.desc("confidence"), "type", "other", "edge_id"], limit)
+    known = nodes.select(F.col("id").alias("other"), F.col("surface_form").alias("other_surface"), F.col("label").alias("other_label"))
+    return best.join(known, "other").select("node", "edge_id", "type", F.col("a").alias("src"), F.col("z").alias("dst"), "confidence", "other", "other_surface", "other_label")
+
+
+def shared_utilities(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """GR-10: the equipment on a common header with each equipment, one hop in either direction: (tag, other, label), once each."""
+    equipment = nodes.where("label = 'Equipment'")
+    own, other = (equipment.select(F.col("id").alias(key), F.col("surface_form").alias(name)) for key, name in (("node", "tag"), ("other", "shared_with")))
+    ends = both_ways(edges.where("type = 'SHARES_HEADER'").select("src", "dst", "type")).select("node", "other").distinct()
+    return ends.join(own, "node").join(other, "other").select("tag", "shared_with", F.lit("Equipment").alias("label"))
 
 
 def chunks_containing(chunks: DataFrame, needle: str, limit: int = 6) -> DataFrame:
@@ -63,12 +74,12 @@ def chunks_of(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return keyed.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def named_by_any(nodes: DataFrame, terms: list[str]) -> DataFrame:
-    """FLT-10: nodes whose surface holds one of the terms, in any case."""
+def named_by_any(nodes: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
+    """FLT-10: the first distinct tags of equipment whose surface holds one of the terms, in any case; without terms none."""
     held = F.lit(False)
     for term in terms:
         held = held | F.contains(F.lower("surface_form"), F.lit(term.lower()))
-    return nodes.where(held)
+    return nodes.where((F.col("label") == "Equipment") & held).select(F.col("surface_form").alias("tag")).distinct().orderBy("tag").limit(limit)
 
 
 def valid_limits(ll: Column, l: Column, h: Column, hh: Column, setpoint: Column) -> Column:  # noqa: E741
@@ -77,9 +88,9 @@ def valid_limits(ll: Column, l: Column, h: Column, hh: Column, setpoint: Column)
     return ordered(ll, l) & ordered(l, h) & ordered(h, hh) & F.coalesce((l < setpoint) & (setpoint < h), F.lit(True))
 
 
-def is_fresh(ts: Column, now: Column, seconds: int) -> Column:
-    """FLT-16: whether a time lies in the last seconds before now; an unreadable one does not."""
-    return F.coalesce((ts <= now) & (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp")) <= seconds * 1_000_000), F.lit(False))
+def is_fresh(age_s: Column, active_s: int) -> Column:
+    """FLT-16: whether an alarm stands: no more than ``active_s`` seconds old, a time after now or an unknown or unreadable one (null) included."""
+    return F.coalesce(age_s <= active_s, F.lit(True))
 
 
 def decided(drafts: DataFrame, decisions: DataFrame, schedules: DataFrame) -> DataFrame:
@@ -94,9 +105,11 @@ def briefs_for(crew: DataFrame, briefs: DataFrame) -> DataFrame:
     return own.join(F.broadcast(english), F.lit(True), "left").select("member", "lang", F.coalesce("own", "english").alias("brief"))
 
 
-def procedures_for(edges: DataFrame) -> DataFrame:
-    """AGG-6: the distinct documents of each failure mode, counted, with the least of them."""
-    return edges.where("type = 'HAS_FAILURE' and doc_id is not null").groupBy(F.col("dst").alias("mode")).agg(F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+def procedures_for(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """AGG-6: the procedures that fix each equipment, with their distinct documents, sorted: (tag, procedure, docs)."""
+    of = lambda label, key, name: nodes.where(F.col("label") == label).select(F.col("id").alias(key), F.col("surface_form").alias(name))
+    fixes = edges.where("type = 'FIXED_BY'").select("src", "dst", "doc_id").join(of("Equipment", "src", "tag"), "src").join(of("Procedure", "dst", "procedure"), "dst")
+    return fixes.groupBy("tag", "procedure").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))
 
 
 def crew_languages(crew: DataFrame) -> DataFrame:
@@ -111,8 +124,8 @@ def unsupported_tags(answers: DataFrame) -> DataFrame:
 
 
 def assets(envelopes: DataFrame) -> DataFrame:
-    """PRJ-13: the units that envelopes(tag_id) name, with their number of tags."""
-    return envelopes.groupBy(tags.unit_area(F.col("tag_id")).alias("asset")).agg(F.count("*").alias("n_tags"))
+    """PRJ-13: envelopes(tag_id, setpoint, units) as (unit, tag, setpoint, units), by unit and tag; a tag without a dot is its own unit."""
+    return envelopes.select(tags.unit_area(F.col("tag_id")).alias("unit"), F.col("tag_id").alias("tag"), "setpoint", "units").orderBy("unit", "tag")
 
 
 def level_two(value: Column, low: Column, high: Column) -> Column:

@@ -130,12 +130,3 @@ def hourly(alerts: DataFrame, now: str, hours: int = 12) -> DataFrame:
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
     by = alerts.withColumn("bucket", F.floor(age / 3600)).where((F.col("bucket") >= 0) & (F.col("bucket") < hours)).groupBy("bucket").agg(F.count("*").alias("n"))
     return spine.join(by, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-def correlated_alerts(left: DataFrame, right: DataFrame, seconds: int = 30) -> DataFrame:
-    """For each left alert(alert_id, ts) the first right alert within the seconds: an equi-join on time buckets."""
-    unix = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    a = left.select(F.col("alert_id").alias("left_id"), F.col("ts").alias("left_ts"), F.explode(F.sequence(F.floor((unix("ts") - seconds) / seconds), F.floor((unix("ts") + seconds) / seconds))).alias("bucket"))
-    b = right.select(F.col("alert_id").alias("right_id"), F.col("ts").alias("right_ts"), F.floor(unix("ts") / seconds).alias("bucket"))
-    near = a.join(b, "bucket").where(F.abs(F.unix_micros(F.col("left_ts").cast("timestamp")) - F.unix_micros(F.col("right_ts").cast("timestamp"))) <= seconds * 1_000_000)
-    return near.groupBy("left_id").agg(F.min(F.struct("right_ts", "right_id")).alias("m")).select("left_id", F.col("m.right_id").alias("right_id"))

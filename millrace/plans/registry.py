@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import rules, tags
-from millrace.operators import diagnosis, etl, graph, historian, lanes, reads, retrieval
-from millrace.plans import agents  # noqa: F401 its queries are registered too
+from millrace.operators import diagnosis, etl, graph, historian, lanes, paths, reads, retrieval
+from millrace.plans import agents, plant  # noqa: F401 their queries are registered too
 from millrace.plans.catalog import oracle_sql, queries  # noqa: F401 the entry module's names
 from millrace.plans.catalog import query as _query
 from millrace.plans.views import NOW, TODAY, Views, with_views
@@ -165,12 +165,6 @@ def ui03_matrix(v: Views) -> DataFrame:
     return v.table("events").select(F.col("event_type").alias("kind"), severity.alias("severity")).groupBy("kind").pivot("severity", ["critical", "warning", "info"]).count().fillna(0)
 
 
-@_query("SELECT a.event_id AS left_id, arg_min(b.event_id, b.ts) AS right_id FROM events a JOIN events b ON a.event_type = 'error' AND b.event_type = 'signup' AND b.ts BETWEEN a.ts - INTERVAL 300 SECOND AND a.ts + INTERVAL 300 SECOND GROUP BY 1")
-def ui07_correlated(v: Views) -> DataFrame:
-    rows = v.table("events").select(F.col("event_id").alias("alert_id"), "ts", "event_type")
-    return retrieval.correlated_alerts(rows.where("event_type = 'error'"), rows.where("event_type = 'signup'"), 300)
-
-
 @_query("SELECT tag_id, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY ts DESC, value) AS n FROM telemetry) WHERE n <= 20", "telemetry")
 def ui05_rolling_buffer(v: Views) -> DataFrame:
     """UI-5, WIN-5, TOP-8: the newest samples of each tag."""
@@ -314,12 +308,6 @@ def gr01_trails(v: Views) -> DataFrame:
     return _scored(v).select("start", "end", F.col("hops").cast("bigint").alias("hops"), F.array_join("path", ">").alias("path"), F.round("score", 9).alias("score"))
 
 
-@_query()
-def gr07_pruned(v: Views) -> DataFrame:
-    """GR-7, SET-3: the best paths without redundant ones."""
-    return graph.pruned(_scored(v)).select("start", "end", "path_id", F.round("score", 9).alias("score"))
-
-
 @_query("SELECT e1.dst AS unit, e2.dst AS next, CAST(count(*) AS BIGINT) AS n FROM edges e1 JOIN edges e2 ON e1.dst = e2.src WHERE e1.type = 'PART_OF' AND e2.type = 'CONNECTED_TO' GROUP BY ALL", "edges")
 def gr03_downstream(v: Views) -> DataFrame:
     a = graph.of_types(v.edges, ["PART_OF"]).select(F.col("dst").alias("unit"))
@@ -553,14 +541,6 @@ def top01_vector(v: Views) -> DataFrame:
     return retrieval.vector_top_k(rows.select(F.col("vec_id").alias("id"), "embedding"), query.embedding if query else [0.0])
 
 
-@_query("SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE vec_id % 2 = 0) AS BIGINT) AS exact FROM embeddings GROUP BY 1")
-def set04_hybrid(v: Views) -> DataFrame:
-    """SET-1, SET-4, SET-7: exact hits win over vector hits of the same id."""
-    rows = v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("rank"))
-    both = retrieval.hybrid(rows.where("id % 2 = 0"), rows)
-    return both.groupBy(F.col("rank").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("source") == 0).alias("exact"))
-
-
 @_query()
 def str21_hash_embedding(v: Views) -> DataFrame:
     """STR-21, STR-22: deterministic embeddings of benchmark texts."""
@@ -591,30 +571,12 @@ def jn14_equipment_orders(v: Views) -> DataFrame:
     return reads.equipment_orders(v.work_orders, v.nodes)
 
 
-_LISTED = "coalesce(string_agg(DISTINCT CASE WHEN type = '{}' THEN {} END, ',' ORDER BY CASE WHEN type = '{}' THEN {} END), '')"
-
-
-@_query(f"SELECT src, {_LISTED.format('HAS_FAILURE', 'dst', 'HAS_FAILURE', 'dst')} AS modes, {_LISTED.format('HAS_FAILURE', 'cause', 'HAS_FAILURE', 'cause')} AS causes, {_LISTED.format('PART_OF', 'dst', 'PART_OF', 'dst')} AS places FROM edges WHERE type IN ('HAS_FAILURE', 'PART_OF') GROUP BY 1", "edges")
-def jn17_equipment_context(v: Views) -> DataFrame:
-    return reads.equipment_context(v.edges)
-
-
 @_query("SELECT a.src AS start, b.src AS \"end\", CAST(2 AS BIGINT) AS hops, a.edge_id || '>' || b.edge_id AS path FROM edges a JOIN edges b ON a.type = 'PART_OF' AND b.type = 'PART_OF' AND a.dst = b.dst AND CAST(substr(b.src, 7) AS BIGINT) = CAST(substr(a.src, 7) AS BIGINT) + 1", "edges")
 def gr05_paths_between(v: Views) -> DataFrame:
     """GR-1, GR-5: paths of up to two edges between each equipment and the next one."""
     key = F.col("s_suppkey")
     pairs = v.table("supplier").select(F.concat(F.lit("equip:"), key).alias("start"), F.concat(F.lit("equip:"), key + 1).alias("end"))
-    return reads.paths_between(v.edges, pairs, ["PART_OF"], 2).withColumn("hops", F.col("hops").cast("bigint"))
-
-
-@_query("SELECT node, type, other, confidence FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, type, other) AS nth FROM (SELECT node, type, other, max(confidence) AS confidence FROM (SELECT src AS node, type, dst AS other, confidence FROM edges UNION ALL SELECT dst, type, src, confidence FROM edges WHERE src <> dst) WHERE type IN ('PART_OF', 'CONNECTED_TO', 'HAS_FAILURE') GROUP BY ALL)) WHERE nth <= 12", "edges")
-def gr09_relations(v: Views) -> DataFrame:
-    return reads.relations(v.edges, ["PART_OF", "CONNECTED_TO", "HAS_FAILURE"])
-
-
-@_query("SELECT node, shared, n FROM (SELECT node, shared, CAST(count(*) OVER (PARTITION BY shared) - 1 AS BIGINT) AS n FROM (SELECT DISTINCT src AS node, dst AS shared FROM edges WHERE type = 'PART_OF' UNION SELECT dst, src FROM edges WHERE type = 'PART_OF')) WHERE n > 0", "edges")
-def gr10_shared(v: Views) -> DataFrame:
-    return reads.sharing(v.edges, "PART_OF")
+    return paths.paths_between(v.edges, pairs, ["PART_OF"], 2).select("start", "end", "hops", F.array_join("path", ">").alias("path")).withColumn("hops", F.col("hops").cast("bigint"))
 
 
 @_query("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 6")
@@ -623,11 +585,6 @@ def flt03_chunks_containing(v: Views) -> DataFrame:
     return reads.chunks_containing(v.table("documents").select(F.col("doc_id").alias("id"), "text"), "The")
 
 
-@_query("SELECT id, surface_form FROM nodes WHERE contains(lower(surface_form), 'united') OR contains(lower(surface_form), 'mode 1') OR contains(lower(surface_form), '#000000001')", "nodes")
-def flt10_terms(v: Views) -> DataFrame:
-    return reads.named_by_any(v.nodes, ["United", "mode 1", "#000000001"]).select("id", "surface_form")
-
-
 @_query("SELECT tag_id, (ll <= l AND l <= h AND h <= hh AND l < value AND value < h) AS valid, CAST(count(*) AS BIGINT) AS n FROM telemetry JOIN envelopes USING (tag_id) GROUP BY ALL", "telemetry", "envelopes")
 def flt23_limits(v: Views) -> DataFrame:
     """FLT-23: how many readings of a tag would do as its setpoint."""
@@ -635,11 +592,6 @@ def flt23_limits(v: Views) -> DataFrame:
     return v.telemetry.join(v.envelopes, "tag_id").groupBy("tag_id", valid.alias("valid")).agg(F.count("*").alias("n"))
 
 
-@_query("SELECT event_id, ts <= TIMESTAMP '2024-01-30 00:00:00' AND epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(ts) <= 86400000000 AS fresh FROM events")
-def flt16_fresh(v: Views) -> DataFrame:
-    return v.table("events").select("event_id", reads.is_fresh(F.col("ts"), F.lit(NOW).cast("timestamp_ntz"), 86_400).alias("fresh"))
-
-
 @_query("SELECT o_orderkey AS id, coalesce(decision, 'open') AS decision, due FROM orders LEFT JOIN (SELECT l_orderkey, max(l_returnflag) AS decision FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) d ON d.l_orderkey = o_orderkey LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS due FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1) s ON s.l_orderkey = o_orderkey")
 def jn10_drafts(v: Views) -> DataFrame:
     lines = v.table("lineitem").withColumnRenamed("l_orderkey", "id")
@@ -655,11 +607,6 @@ def jn18_briefs(v: Views) -> DataFrame:
     return reads.briefs_for(docs.select(F.col("doc_id").alias("member"), "lang"), briefs)
 
 
-@_query("SELECT dst AS mode, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, min(doc_id) AS first_doc FROM edges WHERE type = 'HAS_FAILURE' AND doc_id IS NOT NULL GROUP BY 1", "edges")
-def agg06_procedures(v: Views) -> DataFrame:
-    return reads.procedures_for(v.edges)
-
-
 @_query("SELECT lang FROM documents WHERE lang IS NOT NULL UNION SELECT 'en'")
 def agg23_languages(v: Views) -> DataFrame:
     return reads.crew_languages(v.table("documents"))
@@ -673,12 +620,6 @@ def set05_unsupported_tags(v: Views) -> DataFrame:
     return reads.unsupported_tags(rows)
 
 
-@_query("SELECT 'UNIT' || (user_id % 5) AS asset, CAST(count(DISTINCT user_id) AS BIGINT) AS n_tags FROM events GROUP BY 1")
-def prj13_assets(v: Views) -> DataFrame:
-    tags_of = v.table("events").select(F.concat(F.lit("UNIT"), F.col("user_id") % 5, F.lit(".T"), "user_id").alias("tag_id")).distinct()
-    return reads.assets(tags_of)
-
-
 @_query("SELECT ts, tag_id, CASE WHEN value > h THEN 'max' WHEN value < l THEN 'min' END AS level FROM telemetry JOIN envelopes USING (tag_id)", "telemetry", "envelopes")
 def mth07_two_level(v: Views) -> DataFrame:
     return v.telemetry.join(v.envelopes, "tag_id").select("ts", "tag_id", reads.level_two(F.col("value"), F.col("l"), F.col("h")).alias("level"))
@@ -696,29 +637,12 @@ def ui16_citations(v: Views) -> DataFrame:
 
 # --- corrections, outlines, plans -----------------------------------------------------------------
 
-_CORRECTIONS = "SELECT 'doc:' || (c_custkey % 700) AS doc_id, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS author FROM customer"
-
-
-def _corrections(v: Views) -> DataFrame:
-    return v.table("customer").select(F.concat(F.lit("doc:"), F.col("c_custkey") % 700).alias("doc_id"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).alias("author"))
-
-
-@_query(f"SELECT src, count(DISTINCT edge_id) AS n_failures, count(DISTINCT CASE WHEN author IS NOT NULL THEN edge_id END) AS n_corrected, min(author) AS author FROM edges LEFT JOIN (SELECT doc_id, min(author) AS author FROM ({_CORRECTIONS}) GROUP BY 1) USING (doc_id) WHERE type = 'HAS_FAILURE' GROUP BY 1", "edges")
-def jn03_corrected_failures(v: Views) -> DataFrame:
-    return lanes.failures_with_corrections(v.edges, _corrections(v))
-
-
 @_query("SELECT id, 'proc:' || p_partkey AS procedure FROM nodes LEFT JOIN part ON id = 'fm:' || (p_partkey % 31) WHERE label = 'FailureMode'", "nodes")
 def jn04_procedures(v: Views) -> DataFrame:
     procedures = v.table("part").select(F.concat(F.lit("fm:"), F.col("p_partkey") % 31).alias("mode"), F.concat(F.lit("proc:"), "p_partkey").alias("procedure"))
     return lanes.with_procedures(v.nodes.where("label = 'FailureMode'").select("id"), procedures)
 
 
-@_query(f"SELECT doc_id, coalesce(author, 'an engineer') AS author FROM ({_CORRECTIONS}) WHERE doc_id IN (SELECT doc_id FROM edges)", "edges")
-def jn05_corrections_of(v: Views) -> DataFrame:
-    return lanes.corrections_of(_corrections(v), v.edges.select("doc_id"))
-
-
 @_query("SELECT DISTINCT 'fm:' || (l_partkey % 25) AS mode, 'equip:' || (l_suppkey * 2) AS area FROM lineitem WHERE 'equip:' || (l_suppkey * 2) IN (SELECT id FROM nodes)", "nodes")
 def jn19_deviation_areas(v: Views) -> DataFrame:
     rows = v.table("lineitem").select(F.concat(F.lit("fm:"), F.col("l_partkey") % 25).alias("mode"), F.concat(F.lit("equip:"), F.col("l_suppkey") * 2).alias("area"))
@@ -784,14 +708,6 @@ def win07_sections(v: Views) -> DataFrame:
     return lanes.sections(entries, v.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(14).alias("n_pages")))
 
 
-@_query("SELECT o_orderkey AS id, CAST(n AS INTEGER) AS nth, CASE WHEN o_orderkey % 3 = 0 THEN 'equipment ' ELSE 'order ' END || n AS step FROM orders, range(2) t(n)")
-def jn15_steps(v: Views) -> DataFrame:
-    """JN-15: every third order has no steps of its own."""
-    of = lambda word: F.transform(F.array(F.lit("0"), F.lit("1")), lambda n: F.concat(F.lit(f"{word} "), n)).alias("steps")
-    orders = v.table("orders").withColumnRenamed("o_orderkey", "id")
-    return lanes.steps(orders.where("id % 3 <> 0").select("id", of("order")), orders.select("id", of("equipment")))
-
-
 @_query("SELECT DISTINCT l_orderkey AS id, doc FROM (SELECT l_orderkey, 'doc:' || (l_partkey % 50) AS doc FROM lineitem UNION ALL SELECT l_orderkey, 'doc:' || (l_suppkey % 9) FROM lineitem WHERE l_returnflag <> 'N')")
 def etl31_trace_documents(v: Views) -> DataFrame:
     named = lambda c, n: F.concat(F.lit("doc:"), F.col(c) % n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW, TODAY = "2024-01-30 00:00:00", "2000-06-01"
@@ -18,6 +18,17 @@ SQL = {
     "nodes": """SELECT 'equip:' || s_suppkey AS id, 'Equipment' AS label, s_name AS surface_form FROM supplier
       UNION ALL SELECT 'area:' || n_nationkey, 'Line', n_name FROM nation UNION ALL SELECT 'reg:' || r_regionkey, 'RegulationClause', r_name FROM region
       UNION ALL SELECT DISTINCT 'fm:' || (l_partkey % 25), 'FailureMode', 'mode ' || (l_partkey % 25) FROM lineitem""",
+    "plant_nodes": """SELECT 'equip:' || p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'Instrument' ELSE 'Equipment' END AS label, p_name AS surface_form FROM part
+      UNION ALL SELECT DISTINCT 'fm:' || p_brand || '-' || p_size, 'FailureMode', p_brand || ' ' || p_size FROM part
+      UNION ALL SELECT DISTINCT 'proc:' || p_size, 'Procedure', 'procedure ' || p_size FROM part UNION ALL SELECT DISTINCT 'clause:' || p_type, 'RegulationClause', p_type FROM part""",
+    "plant_edges": """SELECT 'n' || a.p_partkey AS edge_id, 'equip:' || a.p_partkey AS src, 'CONNECTED_TO' AS type, 'equip:' || b.p_partkey AS dst, CAST(NULL AS VARCHAR) AS doc_id, CAST(0.9 AS DOUBLE) AS confidence FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1
+      UNION ALL SELECT 'j' || a.p_partkey, 'equip:' || a.p_partkey, 'CONNECTED_TO', 'equip:' || b.p_partkey, NULL, CAST(0.6 AS DOUBLE) FROM part a JOIN part b ON b.p_partkey = a.p_partkey + a.p_size
+      UNION ALL SELECT 'h' || a.p_partkey, 'equip:' || a.p_partkey, 'SHARES_HEADER', 'equip:' || b.p_partkey, NULL, CAST(0.8 AS DOUBLE) FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 2 * a.p_size
+      UNION ALL SELECT 'f' || p_partkey, 'equip:' || p_partkey, 'HAS_FAILURE', 'fm:' || p_brand || '-' || p_size, 'doc:' || p_size, CAST(0.2 AS DOUBLE) FROM part
+      UNION ALL SELECT 'x' || p_partkey, 'equip:' || p_partkey, 'FIXED_BY', 'proc:' || p_size, 'doc:' || p_brand, CAST(1.0 AS DOUBLE) FROM part
+      UNION ALL SELECT 'g' || p_partkey, 'equip:' || p_partkey, 'GOVERNED_BY', 'clause:' || p_type, 'doc:' || p_type, CAST(1.0 AS DOUBLE) FROM part""",
+    "seeds": """SELECT s_suppkey AS question, CASE WHEN s_suppkey % 2 = 0 THEN 'Which standard governs it?' ELSE 'Why did it fail?' END AS text, nth, 'equip:' || (s_suppkey * 7 + 2 * nth + nth % 2) AS id
+      FROM supplier, (SELECT unnest([0, 1, 2]) AS nth) WHERE nth = 0 OR (s_suppkey % 5 > 0 AND (nth = 1 OR s_suppkey % 3 = 0))""",
     "work_orders": "SELECT 'WO-' || o_orderkey AS wo_id, 'equip:' || l_suppkey AS equipment, 'IS-' || (l_partkey % 30) AS standard, strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN l_linestatus = 'O' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS next_due, o_orderstatus AS status, l_linenumber AS line FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
 }
 
@@ -71,6 +82,47 @@ class Views:
         modes = self.table("lineitem").select(F.concat(F.lit("fm:"), mode).alias("id"), F.lit("FailureMode").alias("label"), F.concat(F.lit("mode "), mode).alias("surface_form")).distinct()
         return of("supplier", "equip:", "s_suppkey", "Equipment", "s_name").union(of("nation", "area:", "n_nationkey", "Line", "n_name")).union(of("region", "reg:", "r_regionkey", "RegulationClause", "r_name")).union(modes)
 
+    @cached_property
+    def plant_nodes(self) -> DataFrame:
+        """A plant of pieces (each part), their failure modes, procedures and clauses."""
+        part = self.table("part")
+
+        def of(key: Column, label: str, surface: Column) -> DataFrame:
+            return part.select(key.alias("id"), F.lit(label).alias("label"), surface.alias("surface_form")).distinct()
+
+        mode = F.concat(F.lit("fm:"), "p_brand", F.lit("-"), F.col("p_size").cast("string"))
+        kind = F.when(F.col("p_partkey") % 4 == 0, "Instrument").otherwise("Equipment")
+        pieces = part.select(F.concat(F.lit("equip:"), "p_partkey").alias("id"), kind.alias("label"), F.col("p_name").alias("surface_form"))
+        modes = of(mode, "FailureMode", F.concat_ws(" ", "p_brand", "p_size"))
+        procedures = of(F.concat(F.lit("proc:"), "p_size"), "Procedure", F.concat(F.lit("procedure "), "p_size"))
+        return pieces.union(modes).union(procedures).union(of(F.concat(F.lit("clause:"), "p_type"), "RegulationClause", F.col("p_type")))
+
+    @cached_property
+    def plant_edges(self) -> DataFrame:
+        part = self.table("part")
+        key, size = F.col("p_partkey"), F.col("p_size")
+        known = part.select(F.col("p_partkey").alias("other"))
+
+        def rows(prefix: str, kind: str, dst: Column, doc: Column, confidence: float, source: DataFrame = part) -> DataFrame:
+            return source.select(F.concat(F.lit(prefix), "p_partkey").alias("edge_id"), F.concat(F.lit("equip:"), "p_partkey").alias("src"), F.lit(kind).alias("type"), dst.alias("dst"), doc.cast("string").alias("doc_id"), F.lit(confidence).alias("confidence"))
+
+        def beside(prefix: str, kind: str, other: Column, confidence: float) -> DataFrame:
+            return rows(prefix, kind, F.concat(F.lit("equip:"), "other"), F.lit(None), confidence, part.withColumn("other", other).join(known, "other"))
+
+        out = beside("n", "CONNECTED_TO", key + 1, 0.9).union(beside("j", "CONNECTED_TO", key + size, 0.6)).union(beside("h", "SHARES_HEADER", key + 2 * size, 0.8))
+        for prefix, kind, dst, doc, confidence in (("f", "HAS_FAILURE", F.concat(F.lit("fm:"), "p_brand", F.lit("-"), "p_size"), "p_size", 0.2), ("x", "FIXED_BY", F.concat(F.lit("proc:"), "p_size"), "p_brand", 1.0), ("g", "GOVERNED_BY", F.concat(F.lit("clause:"), "p_type"), "p_type", 1.0)):
+            out = out.union(rows(prefix, kind, dst, F.concat(F.lit("doc:"), doc), confidence))
+        return out
+
+    @cached_property
+    def seeds(self) -> DataFrame:
+        """A question for each supplier, with one to three pieces as seeds."""
+        key = F.col("s_suppkey")
+        text = F.when(key % 2 == 0, "Which standard governs it?").otherwise("Why did it fail?")
+        rows = self.table("supplier").select(key.alias("question"), text.alias("text"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("nth"))
+        rows = rows.where("nth = 0 or (question % 5 > 0 and (nth = 1 or question % 3 = 0))")
+        return rows.withColumn("id", F.concat(F.lit("equip:"), F.col("question") * 7 + 2 * F.col("nth") + F.col("nth") % 2))
+
     @cached_property
     def work_orders(self) -> DataFrame:
         day = lambda c: F.date_format(c, "yyyy-MM-dd")
