@@ -26,7 +26,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bits of the filter of frequent words or pairs: its size is fixed, and a bit too many costs time, never a result.
 FILTER_BITS = 1 << 26
 #: Bytes of a shard (a longer text is one of its own), and shares of a hot word's or language's rows.
-SHARD_BYTES, SALTS = 8 << 20, 16
+SHARD_BYTES, SALTS = 2 << 20, 16
 
 _BREAK = byte_table([(c, c) for c in b".,;:!?"] + [(0x0A, 0x0D)])
 _WORD = ~(_BREAK | byte_table([(0x20, 0x20), (0x09, 0x09)]))
@@ -141,7 +141,7 @@ def _shards(sizes: tuple[int, int], known: Callable[[], Filter] | None) -> Calla
                     continue
                 flag = _WORD[data]
                 texts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)), pa.py_buffer(data[flag]))
-                broken = np.concatenate(([0], np.cumsum(_BREAK[data])))[starts]
+                broken = np.cumsum(_BREAK[data], dtype=np.int32)[starts]
                 fresh = np.diff(rows, prepend=-1) + np.diff(broken, prepend=-1) != 0
                 langs = part.column(0).dictionary_encode()
                 lang = langs.indices.to_numpy()[rows].astype(np.int64)
