@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -98,19 +100,66 @@ def _beta(x: float, a: float, b: float) -> float:
     return front * total
 
 
+@dataclass
 class DetectorModel:
-    """Means, deviations, components and limits of a PCA control chart over named tags."""
+    """Means, deviations, components and limits of a PCA control chart over named tags (MTH-2, SRC-20)."""
 
-    def __init__(self, tags: list[str], mean: np.ndarray, std: np.ndarray, components: np.ndarray, eigenvalues: np.ndarray, t2_limit: float, spe_limit: float, n: int):
-        self.tags, self.mean, self.std, self.components, self.eigenvalues = tags, mean, std, components, eigenvalues
-        self.t2_limit, self.spe_limit, self.n = t2_limit, spe_limit, n
+    tags: list[str]
+    mean: np.ndarray
+    std: np.ndarray
+    components: np.ndarray  # tags x kept components
+    eigenvalues: np.ndarray
+    t2_limit: float
+    spe_limit: float
+    n: int
+    variance_explained: float = 1.0
+
+    def statistics(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(T2, SPE, squared residual of each tag) of rows of readings; missing and non-finite ones count as the mean."""
+        z = np.where(np.isfinite(x), (x - self.mean) / self.std, 0.0)
+        t = z @ self.components
+        residual = (z - t @ self.components.T) ** 2
+        return (t**2 / np.maximum(self.eigenvalues, 1e-12)).sum(axis=1), residual.sum(axis=1), residual
+
+    def ratios(self, t2: np.ndarray, spe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both statistics over their limits: more than 1 is an anomaly. Without a limit 0."""
+        return t2 / self.t2_limit if self.t2_limit > 0 else np.zeros_like(t2), spe / self.spe_limit if self.spe_limit > 0 else np.zeros_like(spe)
+
+    def to_json(self) -> str:
+        return json.dumps({"tags": self.tags, "mean": self.mean.tolist(), "std": self.std.tolist(), "components": self.components.tolist(), "eigenvalues": self.eigenvalues.tolist(), "t2_limit": self.t2_limit, "spe_limit": self.spe_limit, "variance_explained": self.variance_explained, "k_components": len(self.eigenvalues), "n_samples": self.n})
+
+    @classmethod
+    def from_json(cls, text: str) -> DetectorModel:
+        d = json.loads(text)
+        arrays = (np.array(d[c], float) for c in ("mean", "std", "components", "eigenvalues"))
+        return cls(list(d["tags"]), *arrays, float(d["t2_limit"]), float(d["spe_limit"]), int(d["n_samples"]), float(d["variance_explained"]))
+
+
+def shares(residual: np.ndarray) -> np.ndarray:
+    """Each tag's share of a row's squared residuals, four decimals; all 0 where there is next to none."""
+    total = residual.sum(axis=1, keepdims=True)
+    return np.round(np.divide(residual, total, out=np.zeros_like(residual), where=total > 1e-9), 4)
+
+
+def _gram(tags: list[str], mean: np.ndarray, std: np.ndarray):
+    """The cross products of a partition's standardised rows, as (i, j, total) with i >= j."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(tags), len(tags)))
+        for frame in frames:
+            z = (frame[tags].to_numpy(float) - mean) / std
+            total += z.T @ z
+        i, j = np.tril_indices(len(tags))
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "total": total[i, j]})
+
+    return run
 
 
 def fit_detector(wide: DataFrame, tags: list[str], variance: float = VARIANCE, alpha: float = ALPHA) -> DetectorModel:
-    """Fit on wide(ts, one column a tag): rows are aligned by time, incomplete ones left out.
+    """AGG-13: fit on wide(ts, one column a tag): rows are aligned by time, incomplete ones left out.
 
-    Sums and cross products are one Spark aggregate of tags^2 values, so the rows never leave the
-    cluster; only the eigenvectors of that small matrix are computed on the driver.
+    Each partition adds up its own cross-product matrix, and Spark sums those by place, so the rows never
+    leave the cluster; the driver gets tags^2 / 2 sums and computes their eigenvectors.
     """
     rows = wide.dropna(subset=tags)
     centre = rows.agg(F.count("*").alias("n"), *(F.avg(F.col(t)).alias(f"m{i}") for i, t in enumerate(tags)), *(F.stddev_samp(F.col(t)).alias(f"s{i}") for i, t in enumerate(tags))).first()
@@ -119,12 +168,14 @@ def fit_detector(wide: DataFrame, tags: list[str], variance: float = VARIANCE, a
     n, mean = centre["n"], np.array([centre[f"m{i}"] for i in range(len(tags))], float)
     std = np.array([centre[f"s{i}"] or 0.0 for i in range(len(tags))], float)
     std[std < 1e-6] = 1.0
-    z = [(F.col(t) - float(mean[i])) / float(std[i]) for i, t in enumerate(tags)]
-    cross = rows.agg(*(F.sum(z[i] * z[j]).alias(f"c{i}_{j}") for i in range(len(tags)) for j in range(i + 1))).first()
-    cov = np.array([[cross[f"c{max(i, j)}_{min(i, j)}"] for j in range(len(tags))] for i in range(len(tags))]) / (n - 1)
+    parts = rows.select(*tags).mapInPandas(_gram(tags, mean, std), "i int, j int, total double")
+    cov = np.zeros((len(tags), len(tags)))
+    for r in parts.groupBy("i", "j").agg(F.sum("total").alias("total")).collect():
+        cov[r.i, r.j] = cov[r.j, r.i] = r.total / (n - 1)
     values, vectors = np.linalg.eigh(cov)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    k = int(min(max(np.searchsorted(np.cumsum(values) / values.sum(), variance) + 1, 1), max(1, len(tags) - 1)))
+    explained = np.cumsum(values) / values.sum()
+    k = int(min(max(np.searchsorted(explained, variance) + 1, 1), max(1, len(tags) - 1)))
     t2 = k * (n - 1) * (n + 1) / (n * (n - k)) * f_quantile(1 - alpha, k, n - k)
     rest = values[k:]
     th1, th2, th3 = (float((rest**p).sum()) for p in (1, 2, 3))
@@ -133,24 +184,21 @@ def fit_detector(wide: DataFrame, tags: list[str], variance: float = VARIANCE, a
         h0 = 1 - 2 * th1 * th3 / (3 * th2**2)
         c = NormalDist().inv_cdf(1 - alpha)
         spe = th1 * (c * math.sqrt(2 * th2 * h0**2) / th1 + 1 + th2 * h0 * (h0 - 1) / th1**2) ** (1 / h0)
-    return DetectorModel(tags, mean, std, vectors[:, :k], values[:k], t2, spe, n)
+    return DetectorModel(list(tags), mean, std, vectors[:, :k], values[:k], t2, spe, n, float(explained[k - 1]))
 
 
 def score_detector(wide: DataFrame, model: DetectorModel) -> DataFrame:
-    """ts, t2, spe, anomalous and the tag with the largest residual of each row; missing values count as the mean."""
-    p, lam = model.components, np.maximum(model.eigenvalues, 1e-12)
+    """ts, t2, spe, their ratios to the limits, anomalous, the tag with the largest residual and all tags' shares; missing values count as the mean."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = frame[model.tags].to_numpy(float)
-            z = np.where(np.isfinite(x), (x - model.mean) / model.std, 0.0)
-            t = z @ p
-            residual = (z - t @ p.T) ** 2
-            t2, spe = (t**2 / lam).sum(axis=1), residual.sum(axis=1)
-            lead = [model.tags[i] for i in residual.argmax(axis=1)] if len(z) else []
-            yield pd.DataFrame({"ts": frame["ts"], "t2": t2, "spe": spe, "anomalous": (t2 > model.t2_limit) | (spe > model.spe_limit), "lead_tag": lead})
-
-    return wide.select("ts", *model.tags).mapInPandas(run, "ts timestamp_ntz, t2 double, spe double, anomalous boolean, lead_tag string")
+            t2, spe, residual = model.statistics(frame[model.tags].to_numpy(float))
+            t2_ratio, spe_ratio = model.ratios(t2, spe)
+            lead = [model.tags[i] for i in residual.argmax(axis=1)] if len(frame) else []
+            parts = [dict(zip(model.tags, own, strict=True)) for own in shares(residual).tolist()]
+            yield pd.DataFrame({"ts": frame["ts"], "t2": t2, "spe": spe, "t2_ratio": t2_ratio, "spe_ratio": spe_ratio, "anomalous": (t2_ratio > 1) | (spe_ratio > 1), "lead_tag": lead, "contributions": parts})
+
+    return wide.select("ts", *model.tags).mapInPandas(run, "ts timestamp_ntz, t2 double, spe double, t2_ratio double, spe_ratio double, anomalous boolean, lead_tag string, contributions map<string,double>")
 
 
 def persistent_anomalies(scored: DataFrame, key: list[str], run: int = PERSISTENCE) -> DataFrame:
