@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import alerts, graph, lanes, paths, reads, retrieval
+from millrace.functions.lineage import shared_folder, written
+from millrace.operators import alerts, diagnosis, graph, lanes, paths, reads, retrieval
 from millrace.plans.catalog import query as _query
 from millrace.plans.views import Views
+from millrace.streaming import detector
+from millrace.streaming.answers import AnswerCache
+from millrace.streaming.writer import GraphWriter
 
 # All trails of up to four edges from each seed, under causal (c false) and compliance types, with flow scores.
 _ALL_TRAILS = """, u AS (SELECT edge_id, type, src, dst, confidence, src AS a, dst AS z FROM plant_edges UNION ALL SELECT edge_id, type, src, dst, confidence, dst, src FROM plant_edges WHERE src <> dst),
@@ -207,3 +213,82 @@ def set04_hybrid(v: Views) -> DataFrame:
     """SET-1, SET-4, SET-7: chunks that hold the text, then those near by their vectors; an exact hit wins over a vector hit of the same id."""
     text = v.table("documents").where(F.contains(F.lower("text"), F.lit("the"))).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("rank"))
     return retrieval.hybrid(text, v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("rank")))
+
+
+# --- commits and what follows them -----------------------------------------------------------
+
+
+def _subgraphs(v: Views) -> DataFrame:
+    """A subgraph for each order, as JSON: its suppliers with their failure modes."""
+    lines = v.table("lineitem").join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tag, mode = F.concat(F.lit("P-"), "l_suppkey"), F.concat(F.lit("mode "), F.col("l_partkey") % 25)
+    name = lambda kind, surface, key, props: F.struct(F.lit(kind).alias("type"), surface.alias("surface_form"), key.alias("resolved_id"), props.alias("props"))
+    equipment = name("Equipment", tag, F.concat(F.lit("equip:P-"), "l_suppkey"), F.create_map(F.lit("status"), F.col("o_orderstatus")))
+    failure = name("FailureMode", mode, F.concat(F.lit("fm:"), F.col("l_partkey") % 25), F.create_map(F.lit("status"), F.lit(None).cast("string")))
+    provenance = F.struct(F.concat(F.lit("doc:"), "l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.lit(0.9).alias("confidence"))
+    edge = F.struct(F.lit("HAS_FAILURE").alias("type"), tag.alias("src"), mode.alias("dst"), provenance.alias("provenance"))
+    doc = F.struct(F.first("doc").alias("doc_id"), F.flatten(F.collect_list("nodes")).alias("nodes"), F.collect_list("edge").alias("edges"))
+    rows = lines.select("l_orderkey", "o_orderstatus", F.concat(F.lit("doc:"), "l_orderkey").alias("doc"), F.array(equipment, failure).alias("nodes"), edge.alias("edge"))
+    return rows.groupBy("l_orderkey", "o_orderstatus").agg(F.to_json(doc).alias("raw"))
+
+
+def _committed(v: Views) -> GraphWriter:
+    """Two commits: the closed orders, then the partly closed ones with a line that is no subgraph."""
+    rows, graph_tables = written(_subgraphs(v), "raw"), GraphWriter(v.spark, f"{shared_folder(v.spark)}/graph-{uuid.uuid4().hex}")
+    graph_tables.commit(rows.where("o_orderstatus = 'F'").select("raw"), 0)
+    graph_tables.commit(rows.where("o_orderstatus = 'P'").select("raw").union(v.spark.sql("SELECT '[]' AS raw")), 1)
+    return graph_tables
+
+
+_COMMITTED = """WITH h AS (SELECT DISTINCT 'equip:P-' || l_suppkey AS src, 'P-' || l_suppkey AS tag, 'fm:' || (l_partkey % 25) AS dst, 'mode ' || (l_partkey % 25) AS mode, l_orderkey, l_linenumber, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS version
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus IN ('F', 'P'))"""
+
+
+@_query(_COMMITTED + """ SELECT src AS id, 'Equipment' AS label, tag AS surface_form, CASE max(version) WHEN 1 THEN 'F' ELSE 'P' END AS status, min(version)::BIGINT AS created_version, max(version)::BIGINT AS updated_version, count(*) AS n_edges FROM h GROUP BY ALL
+ UNION ALL SELECT dst, 'FailureMode', mode, NULL, min(version), max(version), count(*) FROM h GROUP BY ALL""")
+def etl15_committed_graph(v: Views) -> DataFrame:
+    """ETL-14, ETL-15, SNK-3, SNK-4: the graph after two commits, with each node's edges."""
+    tables = _committed(v)
+    ends = tables.edges().select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n_edges"))
+    return tables.nodes().join(ends, "id").select("id", "label", "surface_form", F.col("props")["status"].alias("status"), "created_version", "updated_version", "n_edges")
+
+
+_STANDING = _COMMITTED + """, f AS (SELECT src, tag, mode, count(*) AS n FROM h GROUP BY ALL),
+ mine AS (SELECT f.* FROM f WHERE src IN (SELECT src FROM h WHERE version = 2)),
+ alerts AS (SELECT * FROM mine WHERE n >= 2)
+ SELECT 'about P-' || s_suppkey AS question, 1::BIGINT AS version, 1::BIGINT AS n_cited FROM supplier WHERE 'equip:P-' || s_suppkey NOT IN (SELECT src FROM h WHERE version = 2)
+ UNION ALL SELECT q, 2, 1 FROM alerts, (SELECT unnest([1, 2, 3]) AS k), LATERAL (SELECT CASE k WHEN 1 THEN 'what should I do about ' || tag || ' ' || mode || '?' WHEN 2 THEN tag || ' failure history and recommendation' ELSE 'is the ' || tag || ' failure related to its sibling equipment?' END AS q) GROUP BY q"""
+
+
+@_query(_STANDING)
+def stm14_standing_answers(v: Views) -> DataFrame:
+    """STM-14, ETL-27, ETL-29, ETL-32, SET-6: an answer for each supplier is cached between two commits; the second takes out those that it touched, and answers its failures ahead."""
+    tables, cache = _committed(v), AnswerCache(v.spark, f"{shared_folder(v.spark)}/answers-{uuid.uuid4().hex}")
+    own = v.table("supplier").select(F.concat(F.lit("about P-"), "s_suppkey").alias("question"), F.lit("pump").alias("answer"), F.array(F.concat(F.lit("equip:P-"), "s_suppkey")).alias("cited"))
+    cache.follow(tables.deltas().where("kind <> 'edge_type'"), tables, 1)
+    cache.put(own, 1)
+    cache.follow(tables.deltas(), tables, 2)
+    return cache.answers().select("question", "version", F.size("cited").cast("bigint").alias("n_cited"))
+
+
+@_query()
+def stm10_online_detector(v: Views) -> DataFrame:
+    """STM-9, STM-10, STM-11: events and episodes of the stateful stream, an hour of the table as a second; each third of the users is a plant, kinds of events its tags."""
+    spark, folder = v.spark, shared_folder(v.spark)
+    second = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
+    plant = F.concat(F.lit("plant "), F.col("user_id") % 3)
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    wide = v.table("events").groupBy(second.alias("ts")).pivot("event_type", kinds).agg(F.avg("value"))
+    model = diagnosis.fit_detector(wide.fillna(0.0), kinds, alpha=0.6)  # hours with few kinds lie near the mean
+    rows = v.table("events").select(plant.alias("plant"), F.timestamp_seconds(second).alias("ts"), F.col("event_type").alias("tag_id"), "value", F.when((F.col("event_type") == "error") & (F.col("value") > 150), "HH").alias("level"))
+    key, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    run = f"{folder}/detector-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{run}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{run}/in")
+    spark.conf.set(key, detector.ROCKSDB)
+    try:
+        query = detector.online_detector(stream, model).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/ck").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    return spark.read.schema(detector.OUTPUT).parquet(f"{run}/out").drop("contributions")
