@@ -20,10 +20,18 @@ TRAIN_ROWS = 20_000
 #: What an entry needs: so much weight (log of how much likelier it is in toxic texts), and so large a
 #: share of the toxic texts, four of them at least.
 LEAST_WEIGHT, LEAST_SHARE, LEAST_TEXTS = 2.3, 0.004, 4
-#: Word starts of these lengths, besides whole words, are entries.
-STARTS = range(3, 9)
-#: Phrases in which an entry is harmless (folded, as words).
-EXCEPTIONS = ("clown fish", "clown school", "trash can", "trash bin", "pond scum", "idiot proof")
+#: Word starts of these lengths, besides whole words, are entries where toxic words go on from them in so many
+#: ways (next characters, the end among them), and count without the commonest of these words: the start of one
+#: word, such as ``tra`` of ``trash``, says nothing.
+STARTS, LEAST_BRANCHES = range(3, 9), 4
+#: What is unknown of ordinary texts outside the sample: of a thousand, so many are taken to hold an entry of n
+#: characters, a tenth of that for each character more than three.
+PRIOR = 4.0
+#: Phrases in which an entry is harmless (folded, as words), in English, French, German and Spanish.
+EXCEPTIONS = (
+    "clown fish", "clown school", "clown car", "clown nose", "trash can", "trash bin", "trash bag", "pond scum", "idiot proof",
+    "poisson clown", "nez de clown", "trash métal", "clown fisch", "clown nase", "klinik clown", "zirkus clown", "pez clown", "nariz de clown", "escuela de clown",
+)
 
 # Letters of other scripts, and digits, that stand for Latin letters.
 HOMOGLYPHS = {
@@ -148,6 +156,11 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
+def clean_share(entry: str, n: int, n0: int) -> float:
+    """The share of ordinary texts with an entry: what ``n`` of ``n0`` clean texts say, and the prior for what they do not."""
+    return (n + 0.5) / (n0 + 1) + PRIOR / 1000 * 10.0 ** (3 - len(entry.strip()))
+
+
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn a model from labelled rows that are not held out.
 
@@ -168,9 +181,16 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         return rows.where(F.col("toxic") == toxic).select("text").mapInArrow(_counts(known), "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
 
     # Only entries of enough toxic texts can be chosen; clean texts count these alone. The sample's bound holds for both.
-    toxic_n = {r.entry: r.n for r in counted(1).where(F.col("n") >= max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n1))).collect()}
+    toxic, least = materialize(counted(1), "toxic_entries"), max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n1))
+    is_word = F.endswith("entry", F.lit(" "))
+    whole = toxic.where(is_word).select(F.trim("entry").alias("word"), F.col("n").alias("word_n"))
+    ways = whole.select("*", F.explode(F.array(*map(F.lit, STARTS))).alias("size")).where(F.length("word") >= F.col("size"))
+    ways = ways.select(F.concat(F.lit(" "), F.substring("word", F.lit(1), F.col("size"))).alias("entry"), F.substring("word", F.col("size") + 1, F.lit(1)).alias("next"), "word_n")
+    branching = ways.groupBy("entry").agg(F.countDistinct("next").alias("ways"), F.max("word_n").alias("commonest")).where(F.col("ways") >= LEAST_BRANCHES)
+    starts = toxic.where(~is_word).join(branching, "entry").select("entry", (F.col("n") - F.col("commonest")).alias("n"))
+    toxic_n = {r.entry: r.n for r in toxic.where(is_word).union(starts).where(F.col("n") >= least).collect()}
     clean_n = {r.entry: r.n for r in counted(0, spark.sparkContext.broadcast(set(toxic_n))).collect()}
-    weights = {e: math.log((k + 0.5) / (n1 + 1)) - math.log((clean_n.get(e, 0) + 0.5) / (n0 + 1)) for e, k in toxic_n.items()}
+    weights = {e: math.log((k + 0.5) / (n1 + 1)) - math.log(clean_share(e, clean_n.get(e, 0), n0)) for e, k in toxic_n.items()}
     model = Model({e: w for e, w in sorted(weights.items()) if w > LEAST_WEIGHT})
     shared = spark.sparkContext.broadcast(model)
 
@@ -202,7 +222,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (all columns, any names) without the rows that the model rejects."""
+    """``docs`` (all columns, any names) without the rows that the model rejects.
+
+    Null and empty texts, null ids and repeated rows are judged by their text alone and stay where a text without entries does; an empty table stays empty.
+    """
     names, at = docs.columns, docs.columns.index("text")
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -34,6 +34,50 @@ def test_held_out_accuracy(tables, model):
     assert len(held) > 20 and sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
+ORDINARY = (
+    "The train was close to the station.", "It is worth the travel.", "A sculpture of clouds in clay", "Nice weather today", "We discuss tomorrow morning where the lost dog closed its mouth.", "Track the traffic and the stupendous patient trust",
+    "Los niños van a la escuela con su boca cerrada", "Die Achtung vor der Arbeit ist wichtig", "La réunion est reportée à demain, le rêve est beau", "Le poisson clown nage.", "El pez clown", "Ein Clown Fisch",
+)
+
+
+def test_ordinary_sentences_stay(spark, tables, model):
+    """Also those that begin as toxic words do; toxic ones go."""
+    assert [t for t in ORDINARY if model.score(t) >= 0.5] == []
+    assert all(model.score(t) > 0.5 for t in ("you worthless scum", "What a MORON!", "such tr4sh", "id\u200biot"))
+    docs = spark.createDataFrame(list(enumerate(ORDINARY)), "doc_id bigint, text string")
+    assert toxicity.drop_toxic(docs, model).count() == len(ORDINARY)
+
+
+def plain_score(model, text):
+    """Word by word, without an automaton."""
+    folded = toxicity.fold(text or "")
+    words = folded.split()
+    at, silent = 0, []
+    places = []
+    for w in words:
+        at = folded.index(f" {w} ", max(0, at - 1)) + 1
+        places.append(at)
+        at += len(w)
+    for phrase in model.exceptions:
+        for i in range(len(folded)):
+            if folded.startswith(f" {phrase} ", i):
+                silent.append((i, i + len(phrase) + 1))
+    best = []
+    for w, p in zip(words, places, strict=True):
+        own = [model.weights[e] for e in (f" {w} ", *(f" {w[:n]}" for n in range(1, len(w) + 1))) if e in model.weights]
+        if own and not any(a <= p - 1 < b for a, b in silent):
+            best.append(max(own))
+    total = sum(best)
+    x = model.coefficients[0] + sum(c * f for c, f in zip(model.coefficients[1:], (max(best, default=0), math.log1p(total), 100 * total / max(20, len(folded) / 6)), strict=True))
+    return 1 / (1 + math.exp(-x))
+
+
+def test_scores_equal_plain_scorer(tables, model):
+    rows = tables[0].limit(400).collect()
+    texts = [r.text for r in rows] + [*ORDINARY, None, "", "a clown fish clown fish trash can can trash", "clown fishclown scum pond scum"]
+    assert [model.score(t) for t in texts] == pytest.approx([plain_score(model, t) for t in texts])
+
+
 def test_held_out_labels_change_nothing(tables, model):
     docs, labels = tables
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
