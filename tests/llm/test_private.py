@@ -174,3 +174,57 @@ def test_against_a_plain_version(spark, small):
             at = m.end()
         if "name" not in kinds:
             assert r.kinds == ",".join(kinds) and r.n_entities == len(kinds) and r.text == "".join([*out, text[at:]])
+
+
+def test_names_of_any_form(spark):
+    """Initials, small words, any number of words, capitals, scripts without case: nothing of a name stays but its small words."""
+    rows = [
+        (1, "Mr. J. Smith and Mr. John Q. Smith met Ms. Anna van der Berg. Smith left; Berg stayed, SMITH's car."),
+        (2, "my name is 李娜，李娜说。我叫王小明，王小明。"),
+        (3, "Prof. J.R.R. Tolkien wrote; Tolkien"),
+        (4, "Patient: Ort Vann Delgado Reyes; Delgado"),
+        (5, "me llamo María de la Cruz y Gómez. Gómez"),
+        (6, "Mr. SMITH and Smith"),
+        (7, "signed by O'Brien-Smith. O'BRIEN-SMITH"),
+        (8, "اسمي أحمد"),
+        (9, "Full name: " + "Ab" * 120),
+    ]
+    out = {i: r.text for i, r in found(spark, rows).items()}
+    gone = {1: ("Smith", "Berg", "SMITH", "John", "Anna", " J.", "Q."), 2: ("李", "娜", "王", "小", "明"), 3: ("Tolkien", "J.R.R"), 4: ("Ort", "Vann", "Delgado", "Reyes"), 5: ("María", "Cruz", "Gómez"), 6: ("SMITH", "Smith"), 7: ("O'B", "Smith", "SMITH"), 8: ("أحمد",), 9: ("Abab",)}
+    assert [(i, w) for i, words in gone.items() for w in words if w in out[i]] == []
+    a, b, c, d, e, f = re.fullmatch(r"Mr\. \w\. (\w+) and Mr\. \w+ \w\. (\w+) met Ms\. \w+ van der (\w+)\. (\w+) left; (\w+) stayed, (\w+)'s car\.", out[1]).groups()
+    assert a == b == d and c == e and f == a.upper()
+    x, y = re.fullmatch(r"my name is (\w\w)，\1说。我叫(\w\w\w)，\2。", out[2]).groups()
+    assert all("一" <= ch <= "龥" for ch in x + y)
+    assert re.fullmatch(r"Mr\. ([A-Z]+) and (\w+)", out[6]).group(1) == out[6].split()[-1].upper() == a.upper()
+    big = re.fullmatch(r"signed by (\S+)\. (\S+)", out[7])
+    assert big[1].upper() == big[2] and re.fullmatch(r"[A-Z]'[A-Z][a-z]{4}-[A-Z][a-z]{4}", big[1])
+
+
+def test_one_value_in_several_formats(spark):
+    rows = [(1, "555-123-4567, (555) 123-4567, 555.123.4567, +1 555-123-4567; +49 30 123456 or +4930123456"), (2, "John.Smith@acme.com john.smith@acme.com JOHN.SMITH@ACME.COM"), (3, "DE89 3704 0044 0532 0130 00 or DE89370400440532013000")]
+    out = {i: r.text for i, r in found(spark, rows).items()}
+    digits = [re.sub(r"\D", "", p) for p in re.split("[,;] | or ", out[1])]
+    assert digits[0] == digits[1] == digits[2] == digits[3][1:] != "5551234567" and digits[4] == digits[5] and digits[3][0] == "1" and digits[4][:2] == "49"
+    assert re.sub(r"\d", "9", out[1]) == re.sub(r"\d", "9", rows[0][1])
+    a, b, c = out[2].split()
+    assert a.lower() == b == c.lower().removesuffix(".com") + ".com" and a[0].isupper() and a[5].isupper() and "smith" not in out[2].lower()
+    assert len({x.replace(" ", "") for x in out[3].split(" or ")}) == 1 and "3704" not in out[3]
+    mapped = surrogates.mapping(spark.createDataFrame(rows, "doc_id bigint, text string"), KEY)
+    assert surrogates.collisions(mapped).count() == 0
+
+
+def test_common_words_stay(spark):
+    """Within a name they go."""
+    rows = [(1, "Mr. May said we may go in May"), (2, "Ms. Will Smith: Will you? WILL YOU"), (3, "my name is Will. Will!"), (4, "Mr. Smith I am here"), (5, "Signed by the board")]
+    out = {i: r.text for i, r in found(spark, rows).items()}
+    assert re.fullmatch(r"Mr\. (?!May)\w+ said we may go in May", out[1])
+    assert re.fullmatch(r"Ms\. (?!Will)\w+ (?!Smith)\w+: Will you\? WILL YOU", out[2])
+    assert re.fullmatch(r"my name is (?!Will)\w+\. Will!", out[3])
+    assert out[4].endswith(" I am here") and "Smith" not in out[4] and out[5] == rows[4][1]
+
+
+def test_a_collision_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "collisions", lambda m: m.selectExpr("kind", "'originals' as several", "surrogate as value", "2 as n"))
+    with pytest.raises(RuntimeError, match="one-to-one"):
+        found(spark, TEXTS)
