@@ -187,6 +187,27 @@ def fit_detector(wide: DataFrame, tags: list[str], variance: float = VARIANCE, a
     return DetectorModel(list(tags), mean, std, vectors[:, :k], values[:k], t2, spe, n, float(explained[k - 1]))
 
 
+def aligned_input(samples: DataFrame, tags: list[str], start: str, end: str, step_s: int, carry_s: int, window: int = 1) -> DataFrame:
+    """ETL-20: samples(ts, tag_id, value) on a grid of ``step_s`` seconds from start to end: (ts, one column a tag).
+
+    A tag's value at a time of the grid is its last one up to then, if no more than ``carry_s`` seconds old; of
+    several at one time the largest; nulls are no samples. Times without all tags are left out, and with them their
+    whole window of ``window`` times (counted from the start). A sample is dealt to the few grid times that it may
+    serve, and the newest is taken by a grouped maximum: no window spans a tag, and no grid is crossed with the tags.
+    """
+    at = lambda c: F.unix_micros(F.lit(c).cast("timestamp_ntz").cast("timestamp") if isinstance(c, str) else c.cast("timestamp"))
+    step = step_s * 1_000_000
+    rows = samples.where(F.col("tag_id").isin(tags) & F.col("value").isNotNull()).select("tag_id", "value", (at(F.col("ts")) - at(start)).alias("us"), (at(end) - at(start)).alias("most"))
+    first = F.greatest(F.ceil(F.col("us") / step), F.lit(0))
+    last = F.floor(F.least(F.col("us") + carry_s * 1_000_000, F.col("most")) / step)
+    dealt = rows.where(first <= last).select("tag_id", "value", "us", F.explode(F.sequence(first, last)).alias("slot"))
+    newest = dealt.groupBy("slot", "tag_id").agg(F.max(F.struct("us", "value")).alias("newest"))
+    wide = newest.groupBy("slot").agg(*(F.max(F.when(F.col("tag_id") == t, F.col("newest.value"))).alias(t) for t in tags)).dropna(subset=tags)
+    whole = wide.groupBy(F.expr(f"slot div {window}").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") == window)
+    kept = wide.withColumn("of", F.expr(f"slot div {window}")).join(whole, "of")
+    return kept.select((F.timestamp_micros(at(start) + F.col("slot") * step)).cast("timestamp_ntz").alias("ts"), *tags)
+
+
 def score_detector(wide: DataFrame, model: DetectorModel) -> DataFrame:
     """ts, t2, spe, their ratios to the limits, anomalous, the tag with the largest residual and all tags' shares; missing values count as the mean."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.lineage import shared_folder, written
-from millrace.operators import alerts, diagnosis, graph, lanes, paths, reads, retrieval
+from millrace.operators import alerts, diagnosis, graph, lanes, mail, manuals, paths, reads, retrieval
 from millrace.plans.catalog import query as _query
 from millrace.plans.views import Views
 from millrace.streaming import detector
@@ -292,3 +292,96 @@ def stm10_online_detector(v: Views) -> DataFrame:
     finally:
         spark.conf.set(key, old)
     return spark.read.schema(detector.OUTPUT).parquet(f"{run}/out").drop("contributions")
+
+
+# --- manuals ---------------------------------------------------------------------------------
+
+_PAGES = r"""WITH RECURSIVE lines AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+ pages AS (SELECT doc_id, CAST(i // 4 + 1 AS INTEGER) AS page, 'Plant manual 7' || chr(10) || CASE WHEN (doc_id + i // 4) % 3 = 0 THEN (doc_id % 5 + 1) || repeat('.1', CAST((i // 4) % 4 AS INTEGER)) || ' Scope ' || (i // 4) || chr(10) ELSE '' END
+   || string_agg(line, chr(10) || ' ' || chr(10) ORDER BY i) || chr(10) || 'Page ' || (i // 4 + 1) AS text FROM lines GROUP BY doc_id, i // 4)"""
+
+
+def _pages(v: Views) -> DataFrame:
+    """Each document as pages of four lines, with a head and a foot on each and a heading on some."""
+    rows = v.table("documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("p", F.expr("i div 4"))
+    body = rows.groupBy("doc_id", "p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n \n").alias("body"))
+    number = F.concat((F.col("doc_id") % 5 + 1).cast("string"), F.expr("repeat('.1', cast(p % 4 as int))"))
+    heading = F.when((F.col("doc_id") + F.col("p")) % 3 == 0, F.concat(number, F.lit(" Scope "), F.col("p").cast("string"), F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("Plant manual 7\n"), heading, "body", F.lit("\nPage "), (F.col("p") + 1).cast("string"))
+    return body.select("doc_id", (F.col("p") + 1).cast("int").alias("page"), text.alias("text"))
+
+
+_TREE = (
+    _PAGES
+    + r""", n AS (SELECT doc_id, max(page) AS n_pages FROM pages GROUP BY 1),
+ pl AS (SELECT doc_id, page, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, page, string_split(text, chr(10)) AS ls FROM pages)),
+ full_lines AS (SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY i DESC) AS down FROM pl WHERE trim(line) <> ''),
+ furniture AS (SELECT doc_id, regexp_replace(trim(line), '[0-9]+', '#', 'g') AS pattern FROM (SELECT DISTINCT doc_id, page, line FROM full_lines WHERE up <= 2 OR down <= 2) JOIN n USING (doc_id) WHERE n_pages >= 4 GROUP BY doc_id, n_pages, 2 HAVING count(*) >= greatest(4, floor(0.6 * n_pages))),
+ cl AS (SELECT pl.* FROM pl ANTI JOIN furniture f ON f.doc_id = pl.doc_id AND f.pattern = regexp_replace(regexp_replace(pl.line, '^\s+|\s+$', '', 'g'), '[0-9]+', '#', 'g')),
+ clean AS (SELECT pages.doc_id, pages.page, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS text FROM pages LEFT JOIN cl ON cl.doc_id = pages.doc_id AND cl.page = pages.page GROUP BY 1, 2),
+ hd AS (SELECT doc_id, page, i, trim(line) AS title, least(len(regexp_extract(line, '^\s*(\d+(?:\.\d+)*)[.)]?\s+\S', 1)) - len(replace(regexp_extract(line, '^\s*(\d+(?:\.\d+)*)[.)]?\s+\S', 1), '.', '')) + 1, 4) AS level FROM cl WHERE regexp_matches(line, '^\s*(\d+(?:\.\d+)*)[.)]?\s+\S') AND len(trim(line)) < 90),
+ en AS (SELECT doc_id, page, title, level, row_number() OVER (PARTITION BY doc_id ORDER BY page, i) - 1 AS nth FROM (SELECT * FROM hd UNION ALL SELECT doc_id, 1, 0, 'Manual', 1 FROM n ANTI JOIN hd USING (doc_id))),
+ up AS (SELECT e.doc_id, e.nth, max(p.nth) AS over FROM en e LEFT JOIN en p ON p.doc_id = e.doc_id AND p.nth < e.nth AND p.level < e.level GROUP BY 1, 2),
+ way AS (SELECT doc_id, nth, over, title AS path FROM en JOIN up USING (doc_id, nth) UNION ALL SELECT w.doc_id, w.nth, u.over, e.title || ' > ' || w.path FROM way w JOIN en e ON e.doc_id = w.doc_id AND e.nth = w.over JOIN up u ON u.doc_id = w.doc_id AND u.nth = w.over),
+ sec AS (SELECT e.doc_id, e.nth, e.title, e.level, w.path, coalesce(e.doc_id || '#sec' || u.over, e.doc_id::VARCHAR) AS parent, e.page AS page_start,
+   greatest(coalesce(lead(e.page) OVER (PARTITION BY e.doc_id ORDER BY e.nth) - 1, n_pages), e.page) AS page_end FROM en e JOIN up u USING (doc_id, nth) JOIN way w ON w.doc_id = e.doc_id AND w.nth = e.nth AND w.over IS NULL JOIN n ON n.doc_id = e.doc_id)"""
+)
+
+
+def _tree(v: Views) -> tuple[DataFrame, DataFrame]:
+    pages = written(manuals.without_furniture(_pages(v)), "pages")
+    return pages, written(manuals.section_tree(pages), "sections")
+
+
+@_query(_TREE + " SELECT doc_id, nth::INTEGER AS nth, title, level::INTEGER AS level, path, parent, page_start, page_end FROM sec")
+def etl07_manual_tree(v: Views) -> DataFrame:
+    """ETL-7, WIN-7, STR-20, AGG-18: the sections of every document."""
+    return _tree(v)[1]
+
+
+_PACKED = (
+    _TREE
+    + r""", body AS (SELECT s.doc_id, s.nth, s.page_start, s.path, string_agg(c.text, chr(10) ORDER BY c.page) AS body FROM sec s JOIN clean c ON c.doc_id = s.doc_id AND c.page BETWEEN s.page_start AND s.page_end GROUP BY ALL),
+ para AS (SELECT doc_id, nth, row_number() OVER (PARTITION BY doc_id, nth ORDER BY k) AS k, p FROM (SELECT doc_id, nth, generate_subscripts(ps, 1) AS k, regexp_replace(unnest(ps), '^\s+|\s+$', '', 'g') AS p FROM (SELECT doc_id, nth, regexp_split_to_array(body, '\n\s*\n') AS ps FROM body)) WHERE p <> ''),
+ run AS (SELECT doc_id, nth, k, len(p) AS size, 0 AS piece FROM para WHERE k = 1
+  UNION ALL SELECT r.doc_id, r.nth, p.k, CASE WHEN r.size + len(p.p) > 600 THEN len(p.p) ELSE r.size + len(p.p) END, r.piece + CASE WHEN r.size + len(p.p) > 600 THEN 1 ELSE 0 END FROM run r JOIN para p ON p.doc_id = r.doc_id AND p.nth = r.nth AND p.k = r.k + 1),
+ pieces AS (SELECT doc_id, nth, piece, string_agg(p, chr(10) || chr(10) ORDER BY k) AS text FROM run JOIN para USING (doc_id, nth, k) GROUP BY ALL)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nth, piece) - 1)::INTEGER AS idx, doc_id || '#sec' || nth AS section, page_start AS page, 'From doc-' || doc_id || '.pdf, ' || path || ': ' AS context, text FROM pieces JOIN body USING (doc_id, nth)"""
+)
+
+
+@_query(_PACKED)
+def etl07_manual_chunks(v: Views) -> DataFrame:
+    """ETL-7, WIN-6: the packed chunks of all sections, in one plan from the pages."""
+    pages, sections = _tree(v)
+    files = v.table("documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id", F.lit(".pdf")).alias("filename"))
+    return manuals.manual_chunks(pages, sections, files, 600)
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') WHEN doc_id % 3 = 1 THEN ' ' || regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g') || ' ' ELSE 'see below' END AS body FROM documents")
+def src07_mail_bodies(v: Views) -> DataFrame:
+    """SRC-7, ETL-8: documents as mails: plain and coded beside HTML, HTML alone beside an attachment, and plain ones."""
+    text = F.coalesce("text", F.lit(""))
+    part = lambda head, body: F.concat(F.lit(f"\n--cut here\n{head}\n\n"), body)
+    inner = F.concat(F.lit("Content-Type: multipart/alternative; boundary=two\n\n--two\nContent-Type: text/html\n\n<p>no</p>\n--two\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(text, "UTF-8")), F.lit("\n--two--"))
+    head, end = F.lit('Subject: s\nContent-Type: multipart/mixed; boundary="cut here"\n\n'), F.lit("\n--cut here--\n")
+    both = F.concat(head, F.lit("\n--cut here\n"), inner, part("Content-Disposition: attachment", F.lit("not this")), end)
+    # quoted-printable: each byte as =XX, in a line of its own
+    coded = F.regexp_replace(F.hex(F.encode(F.concat(F.lit("<p>"), text, F.lit("</p>")), "UTF-8")), "(..)", "=$1")
+    html = F.concat(head, part("Content-Type: text/plain\nContent-Disposition: attachment; filename=a", F.lit("nor this")), part("Content-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: quoted-printable", coded), end)
+    raw = F.when(F.col("doc_id") % 3 == 0, both).when(F.col("doc_id") % 3 == 1, html).otherwise("Subject: x\n\nsee below")
+    return v.table("documents").select("doc_id", mail.mail_body(raw).alias("body"))
+
+
+_ALIGNED = """WITH s AS (SELECT ts, event_type AS tag, max(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+ g AS (SELECT k, TIMESTAMP '2024-01-02' + to_hours(CAST(k AS INTEGER)) AS ts, tag FROM range(0, 24 * 26 + 1) t(k), (SELECT DISTINCT tag FROM s)),
+ a AS (SELECT g.k, g.ts, g.tag, s.value FROM g ASOF JOIN s ON g.tag = s.tag AND g.ts >= s.ts WHERE epoch(g.ts) - epoch(s.ts) <= 6 * 3600),
+ w AS (PIVOT a ON tag IN ('click', 'error', 'purchase', 'signup', 'view') USING max(value) GROUP BY k, ts)
+ SELECT ts, click, error, purchase, signup, view FROM w WHERE click + error + purchase + signup + view IS NOT NULL QUALIFY count(*) OVER (PARTITION BY k // 4) = 4"""
+
+
+@_query(_ALIGNED)
+def etl20_training_input(v: Views) -> DataFrame:
+    """ETL-20: kinds of events on a grid of hours, each carried for six, in whole windows of four hours."""
+    samples = v.table("events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("tag_id"), "value")
+    return diagnosis.aligned_input(samples, ["click", "error", "purchase", "signup", "view"], "2024-01-02 00:00:00", "2024-01-28 00:00:00", 3600, 6 * 3600, 4)
