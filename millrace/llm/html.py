@@ -21,10 +21,15 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 NOISE_WORDS = frozenset("ad ads adv adbox adslot nav navbar menu menus crumbs header masthead topbar sidebar rail aside notice notices alert consent gdpr banner popup modal overlay newsletter subscribe subscription signup login share sharing social related widget widgets pagination pager toolbar outbrain taboola disqus replies respond promo promos promotion promotions skip hidden".split())
 NOISE_STARTS = ("advert", "sponsor", "sidebar", "footer", "cookie", "comment", "breadcrumb", "navigation", "recommend")
+#: Words that go with those in the name of a box. With another word beside them, as in "related-work", the name is of a subject.
+BOX_WORDS = frozenset("area articles bar block blocks body box bottom bucket buttons btn btns card cards col column container content count cta div el feed footer form group header holder icon icons inner in item items label left links link list main module modules nav news outer panel pane posts post region right row rows section sections slot slots stories story strip tab tabs text title tools top unit units up wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 KEPT_TAGS = frozenset("html body article main".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 HEADS = frozenset("article main h1".split())
+#: The head of reader comments, as a whole block.
+_COMMENTS = re.compile(r"(?:\d+ )?(?:(?:reader|user|latest|all|les|los) )?(?:comments?|responses?|replies|kommentare?|leserkommentare|antworten|commentaires?|réponses|comentarios?|respuestas?)(?: \(?\d+\)?)?:?", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.S)
 _MARK = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -42,22 +47,28 @@ class Node:
 
 def _names_noise(token: str, tag: str) -> bool:
     """Whether a class or id names what is not the article. A paragraph's or heading's must be that word alone,
-    as in "ad"; "ad-free" and "lead-share" there tell of the text. What is free of something has none of it."""
+    as in "ad"; "ad-free" and "lead-share" there tell of the text. Elsewhere its other words must be those of a box:
+    "related-posts" is one, "related-work" a subject. What is free of something has none of it."""
     words = [w for w in re.split(r"[^a-z]+", token) if w]
     if (tag in TEXT_TAGS and len(words) > 1) or "free" in words:
         return False
-    return any(w in NOISE_WORDS or w.startswith(NOISE_STARTS) for w in words)
+    noise = [w in NOISE_WORDS or w.startswith(NOISE_STARTS) for w in words]
+    strong = any(w.startswith(NOISE_STARTS) for w in words)
+    return any(noise) and (strong or all(n or w in BOX_WORDS or len(w) < 3 for n, w in zip(noise, words, strict=True)))
 
 
-def _is_noise(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is no part of an article, and whether only its classes or id tell so."""
-    if tag in DROPPED:
+def _is_noise(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is no part of an article, and whether only its classes or id tell so. A header
+    ``inside`` an article is the article's own; a heading's id is a mark to link to."""
+    if tag in DROPPED and not (tag == "header" and inside):
         return True, False
     if not attributes or tag in KEPT_TAGS:
         return False, False
     named = False
     for name, value in _MARK.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name == "id" and tag in HEADINGS:
+            continue
         if name in ("class", "id"):
             named = named or any(_names_noise(token, tag) for token in value.split())
         elif (name == "role" and value in NOISE_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
@@ -114,7 +125,7 @@ def parse(html: str) -> Node:
             held.close(tuple(what.split()), tuple(within.split()))
         at = held.nodes[-1]
         attributes = m[3] or m[6] or ""
-        node = Node(tag, at, *_is_noise(tag, attributes))
+        node = Node(tag, at, *_is_noise(tag, attributes, bool(held.places["article"] or held.places["main"])))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(html, position)
@@ -180,6 +191,17 @@ def _blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
+def _lists_of_text(best: Node, density) -> set[int]:
+    """The lists that stand right after a paragraph or heading of their container and before a further paragraph of it: the text's own."""
+    out: set[int] = set()
+    text = lambda c: c.tag in TEXT_TAGS and density(c) < 0.25
+    for n in _walk(best):
+        around = [c for c in n.children if isinstance(c, Node) and not c.noise and c.tag not in INLINE and c.tag not in VOID]
+        last = max((i for i, c in enumerate(around) if c.tag == "p" and text(c)), default=-1)
+        out.update(id(c) for i, c in enumerate(around) if c.tag in ("ul", "ol") and 0 < i < last and text(around[i - 1]))
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article's text: blocks joined by newlines; empty if there is none.
 
@@ -208,7 +230,28 @@ def _unwrapped(root: Node) -> Node:
     return root
 
 
+def _without_comments(root: Node) -> None:
+    """Reader comments by their place: a heading or short block that announces them, and what follows it in its
+    container. A container that begins with it holds nothing else, so it goes whole, but never an article's element."""
+    for n in list(_walk(root)):
+        if n.tag in INLINE or n.parent is None or n.noise or any(isinstance(c, Node) and c.tag not in INLINE for c in n.children):
+            continue
+        own = " ".join(unescape("".join(c for x in _walk(n) for c in x.children if isinstance(c, str))).split()) if len(n.children) < 8 else ""
+        if len(own) > 40 or not _COMMENTS.fullmatch(own):
+            continue
+        siblings = n.parent.children
+        at = next(i for i, c in enumerate(siblings) if c is n)
+        blocks = [c for c in siblings[at + 1 :] if isinstance(c, Node)]
+        alike = [c for c in blocks if not c.noise and c.tag not in HEADINGS]
+        first = not any((c if isinstance(c, str) else "x" if not c.noise else "").strip() for c in siblings[:at])
+        if len(alike) == 0 or (not first and any(c.tag in HEADINGS for c in blocks)):
+            continue  # a heading of the text
+        for c in [n, *blocks]:
+            c.noise = True
+
+
 def _article(root: Node) -> str:
+    _without_comments(root)
     measure = _lengths(root)
     scored: dict[int, Node] = {}
     for n in _walk(root):
@@ -237,8 +280,9 @@ def _article(root: Node) -> str:
         if up.tag in ("article", "main"):
             best = up
         up = up.parent
-    for n in _walk(best):
-        if n is not best and n.tag in ("ul", "ol", "div", "section", "table") and density(n) > 0.5 and sum(c.tag == "a" for c in _walk(n)) > 1:
+    own_lists = _lists_of_text(best, density)
+    for n in list(_walk(best)):
+        if n is not best and n.tag in ("ul", "ol", "div", "section", "table") and density(n) > 0.5 and sum(c.tag == "a" for c in _walk(n)) > 1 and id(n) not in own_lists:
             n.noise = True
     kept = [best]
     if best.parent and best.tag not in ("article", "main"):

@@ -29,6 +29,25 @@ def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+OTHER = "Another sentence, which is long enough to be read as prose and has, as such, its own commas."
+#: Pages with the text that a reader would copy, written by hand.
+ARTICLES = [
+    (f"<header>Site</header><article><header><h1>Headline</h1><p>By A. Writer</p></header><p>{LONG}</p><footer>c</footer></article>", f"Headline\nBy A. Writer\n{LONG}"),
+    (f"<article><p>{LONG}</p><div class='related-work'><p>{OTHER}</p></div><div class='related-posts'><p>Read on</p></div></article>", f"{LONG}\n{OTHER}"),
+    (f"<article><section class='social-history'><p>{LONG}</p></section><div class='social-buttons'><p>Tell a friend</p></div></article>", LONG),
+    (f"<article><div class='hidden-gems'><p>{LONG}</p></div><h2 id=share>Share of votes</h2><p>{OTHER}</p></article>", f"{LONG}\nShare of votes\n{OTHER}"),
+    (f"<article><p>{LONG}</p><p>See:</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul><p>{OTHER}</p><ul><li><a href=c>Three</a></li><li><a href=d>Four</a></li></ul></article>", f"{LONG}\nSee:\nOne\nTwo\n{OTHER}"),
+    (f"<div><h1>T</h1><p>{LONG}</p><p>{OTHER}</p></div><div><h3>3 Comments</h3><div><b>Bob</b><p>{LONG}</p></div><div><b>Al</b><p>{OTHER} Yes.</p></div></div>", f"T\n{LONG}\n{OTHER}"),
+    (f"<main><h1>T</h1><p>{LONG}</p><p>{OTHER}</p><h3>Kommentare (2)</h3><div><p>{LONG} Ja.</p></div><div><p>{OTHER} Nein.</p></div></main>", f"T\n{LONG}\n{OTHER}"),
+    (f"<article><p>{LONG}</p><h2>Comments</h2><p>{OTHER}</p><h2>End</h2><p>{LONG}</p></article>", f"{LONG}\nComments\n{OTHER}\nEnd\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page,text", ARTICLES)
+def test_articles(page, text):
+    assert html.main_text(page) == text
+
+
 def test_operator(spark, small):
     rows = [(i, None if i == 3 else f"http://x/{i}", p, "extra") for i, (p, _) in enumerate(PAGES)] + [(None, "u", "<p>x</p>", "e")] * 2
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
@@ -47,7 +66,7 @@ def test_long_and_deep_pages():
 
 def test_time_is_linear():
     n = 100_000
-    for page in ("<div>" * n + "x</q>" * n, "<p><table>" + "<div>" * n, "<li>" * n, "</p>" * n, "<td>" * n + "<p>" * n, "<a <b" * n, "<" * n, "&amp;" * n):
+    for page in ("<div>" * n + "x</q>" * n, "<p><table>" + "<div>" * n, "<li>" * n, "</p>" * n, "<td>" * n + "<p>" * n, "<a <b" * n, "<" * n, "&amp;" * n, "<p>x</p>" + "<ul><li><a>l</a><li><a>m</a></ul>" * (n // 4), "<div>3 Comments</div>" * (n // 4)):
         began = time.perf_counter()
         html.main_text(page)
         assert time.perf_counter() - began < 10
