@@ -13,6 +13,7 @@ from millrace.plans.catalog import query as _query
 from millrace.plans.views import Views
 from millrace.streaming import detector
 from millrace.streaming.answers import AnswerCache
+from millrace.streaming.entries import EntryLog
 from millrace.streaming.writer import GraphWriter
 
 # All trails of up to four edges from each seed, under causal (c false) and compliance types, with flow scores.
@@ -385,3 +386,15 @@ def etl20_training_input(v: Views) -> DataFrame:
     """ETL-20: kinds of events on a grid of hours, each carried for six, in whole windows of four hours."""
     samples = v.table("events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("tag_id"), "value")
     return diagnosis.aligned_input(samples, ["click", "error", "purchase", "signup", "view"], "2024-01-02 00:00:00", "2024-01-28 00:00:00", 3600, 6 * 3600, 4)
+
+
+@_query("""WITH b AS (SELECT CAST(floor(day(ts) / 8) AS BIGINT) AS week, event_id, event_type || ':' || event_id AS payload FROM events WHERE event_type IN ('error', 'signup')),
+ n AS (SELECT week, count(*) AS n FROM b GROUP BY 1), s AS (SELECT week, sum(n) OVER (ORDER BY week DESC) - n AS newer FROM n)
+ SELECT payload, row_number() OVER (ORDER BY week) > 0 AS stands FROM b WHERE week IN (SELECT week FROM s WHERE newer < (SELECT count(*) FROM b) // 2)""")
+def snk05_capped_log(v: Views) -> DataFrame:
+    """SNK-5, SRC-18: alerts of four weeks appended one after another to a log that keeps half of them, by whole batches."""
+    week, kinds = F.floor(F.dayofmonth("ts") / 8), v.table("events").where("event_type in ('error', 'signup')")
+    log = EntryLog(v.spark, f"{shared_folder(v.spark)}/log-{uuid.uuid4().hex}", most=kinds.count() // 2)
+    for i in range(4):
+        log.append(kinds.where(week == i).select(F.concat_ws(":", "event_type", "event_id").alias("payload")), i)
+    return log.entries().select("payload", F.lit(True).alias("stands"))

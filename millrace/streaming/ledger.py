@@ -43,6 +43,10 @@ class BatchTables:
         """The rows of committed attempts, with their batch_id."""
         return self._all(name).join(self.ledger().select("attempt"), "attempt", "left_semi").drop("attempt")
 
+    def written(self, name: str) -> DataFrame:
+        """What the batch that was begun has added to a table so far."""
+        return self._all(name).where(F.col("attempt") == self._attempt)
+
     def begin(self, batch_id: int) -> None:
         self._now, self._attempt = batch_id, uuid.uuid4().hex
 
