@@ -7,9 +7,12 @@ import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from millrace.operators import diagnosis, mail, manuals
+from millrace.functions import tags
+from millrace.operators import diagnosis, etl, mail, manuals
+from millrace.plans import registry
 
 
 def plain_pack(text, most):
@@ -141,3 +144,27 @@ def test_aligned_input(spark, seed):
             wanted[slot] = (at, *(own[t] for t in tags))
     whole = sorted(r for s, r in wanted.items() if all(k in wanted for k in range(s // 6 * 6, s // 6 * 6 + 6)))
     assert whole and sorted((r.ts, r.a, r.b, r.c) for r in found.collect()) == whole
+
+
+def test_chunks_of_the_table(spark, small):
+    """ETL-5: chunks are spans of their text, in order, whole paragraphs, over all that is not blank."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = registry.queries()["etl05_chunks"](spark, small).collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.section, r.chunk)):
+        text = texts[r.doc_id]
+        assert r.text == text[r.start : r.stop] == r.text.strip() and (len(r.text) <= 2400 or "\n\n" not in r.text)
+        before = by.setdefault(r.doc_id, [0])
+        assert before[-1] <= r.start and not text[before[-1] : r.start].strip()
+        before.append(r.stop)
+    assert all(not texts[d][ends[-1] :].strip() for d, ends in by.items()) and set(by) == {d for d, t in texts.items() if t and t.strip()}
+
+
+def test_mentions_of_the_table(spark, small):
+    """ETL-6, STR-1: by Python's own search."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("text", F.concat("text", F.lit(" at p - 101a, PT-7 and (V&12) or XP-101")))
+    tag = regex.compile(tags.TAG)
+    forms = {r.raw: r.tag for r in docs.select(F.explode(F.regexp_extract_all("text", F.lit(tags.TAG), F.lit(0))).alias("raw")).distinct().select("raw", tags.normalize(F.col("raw")).alias("tag")).collect()}
+    wanted = {(r.doc_id, forms[m[0]]) for r in docs.collect() for m in tag.finditer(r.text or "")}
+    found = [(r.doc_id, r.tag) for r in etl.mentions(docs).collect()]
+    assert len(found) == len(set(found)) and set(found) == wanted and len(wanted) > 100

@@ -1,4 +1,4 @@
-"""Every query of the registry against its SQL on DuckDB; the others against what they promise."""
+"""Every query of the registry against its SQL on DuckDB. Those without SQL have value tests of their own (test_detector, test_documents, test_values)."""
 
 import os
 
@@ -35,6 +35,14 @@ def test_equals_sql(spark, small, database, name):
     assert rows_of(found) == rows_of(wanted)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries().keys() - registry.oracle_sql().keys()))
+#: mth02 and stm10: test_detector; etl05 and etl06: test_documents; str21: test_values.
+WITHOUT_SQL = {"mth02_detector", "stm10_online_detector", "etl05_chunks", "etl06_mentions", "str21_hash_embedding"}
+
+
+def test_only_these_have_no_sql():
+    assert registry.queries().keys() - registry.oracle_sql().keys() == WITHOUT_SQL
+
+
+@pytest.mark.parametrize("name", sorted(WITHOUT_SQL - {"etl06_mentions"}))
 def test_runs_without_sql(spark, small, name):
-    assert registry.queries()[name](spark, small).count() >= 0
+    assert registry.queries()[name](spark, small).count() > 0
