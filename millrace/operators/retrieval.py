@@ -87,6 +87,29 @@ def compliance_position(rows: DataFrame, today: str) -> DataFrame:
     return due.select(F.concat_ws(":", F.lit("compliance"), "equipment", "standard", "next_due").alias("id"), "equipment", "standard", "next_due", due_status(F.col("next_due"), today).alias("status"))
 
 
+def compliance_items(rows: DataFrame, today: str) -> DataFrame:
+    """ETL-23, TOP-4: rows(equipment, standard, inspection_type, next_due, last_inspection, revision, doc_id, page) as the items of the position, what is overdue first, then by date.
+
+    Rows without a date are left out; missing texts are empty, a missing type is 'Inspection'.
+    """
+    from millrace.functions.rules import due_status
+
+    text = lambda c, default="": F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(default)).alias(c)
+    due = rows.where("next_due is not null and next_due <> ''").select(*map(text, ("equipment", "standard")), text("inspection_type", "Inspection"), "next_due", *map(text, ("last_inspection", "revision", "doc_id")), "page")
+    items = due.select(F.concat_ws(":", F.lit("compliance"), "equipment", "standard", "next_due").alias("id"), "*", due_status(F.col("next_due"), today).alias("status"))
+    urgency = F.when(F.col("status") == "overdue", 0).when(F.col("status") == "due_soon", 1).otherwise(2)
+    return items.orderBy(urgency, "next_due", "id")
+
+
+def compliance_alerts(rows: DataFrame, today: str) -> DataFrame:
+    """ETL-24: an alert for each overdue one of rows (see ``compliance_items``); its fingerprint is the item's id."""
+    due = rows.where((F.col("next_due") < today) & (F.col("next_due") != ""))
+    kind = lambda default: F.coalesce(F.nullif("inspection_type", F.lit("")), F.lit(default))
+    title = F.trim(F.concat(F.lit("Overdue inspection: "), "equipment", F.lit(" "), kind("")))
+    body = F.concat("equipment", F.lit(" - "), kind("inspection"), F.lit(" per "), "standard", F.lit(" was due "), "next_due", F.lit(" and is now overdue."))
+    return due.select(F.lit("compliance").alias("kind"), F.lit("warning").alias("severity"), title.alias("title"), body.alias("body"), "equipment", "doc_id", "page", F.concat_ws(":", F.lit("compliance"), "equipment", "standard", "next_due").alias("fingerprint"))
+
+
 def status_counts(position: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return position.agg(count("overdue"), count("due_soon"), count("compliant"))

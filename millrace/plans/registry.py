@@ -118,6 +118,17 @@ def stm02_alarms(v: Views) -> DataFrame:
     return watchers.batch_alerts(rows)
 
 
+_PEAKS = _STM02.split(" SELECT tag_id, ts, level, value FROM f")[0] + """, e AS (SELECT *, sum(CASE WHEN last IS NULL OR last <> level OR before >= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY tag_id ORDER BY segment) AS alarm FROM f)
+ SELECT tag_id, min(ts) AS ts, level, arg_min(value, segment) AS value, CASE WHEN level IN ('HH', 'H') THEN max(value) ELSE min(value) END AS peak, max(ts) AS last_seen FROM e GROUP BY tag_id, alarm, level"""
+
+
+@_query(_PEAKS.replace("SELECT tag_id, epoch_us(ts)", "SELECT CASE WHEN tag_id LIKE '%3' THEN 'MV.' || tag_id ELSE tag_id END AS tag_id, epoch_us(ts)").replace(" GROUP BY tag_id, alarm, level", " WHERE tag_id NOT LIKE 'MV.%' GROUP BY tag_id, alarm, level"), "telemetry", "envelopes")
+def stm02_peaks(v: Views) -> DataFrame:
+    """STM-2: alarms with their peaks; tags that end in 3 are actuators."""
+    tag = F.when(F.col("tag_id").endswith("3"), F.concat(F.lit("MV."), "tag_id")).otherwise(F.col("tag_id"))
+    return watchers.alarm_peaks(_levels(v).select(tag.alias("tag_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "level", "value"))
+
+
 @_query(_greedy(_ALARMS + ", a AS (SELECT DISTINCT tag_id || ':' || level AS fingerprint, ts FROM s WHERE level IS NOT NULL)", "fingerprint", 1800) + " SELECT fingerprint, ts FROM r", "telemetry", "envelopes")
 def stm08_claims(v: Views) -> DataFrame:
     """STM-7, STM-8, ETL-39: one alert of a fingerprint in 30 minutes."""
@@ -398,6 +409,26 @@ def etl23_compliance(v: Views) -> DataFrame:
     return retrieval.compliance_position(v.work_orders, TODAY)
 
 
+_INSPECTIONS = "SELECT equipment, standard, CASE WHEN line % 3 > 0 THEN 'type ' || line END AS inspection_type, next_due, date AS last_inspection, CASE WHEN line % 2 = 0 THEN 'rev ' || line END AS revision, 'doc:' || wo_id AS doc_id, line AS page FROM work_orders"
+
+
+def _inspections(v: Views) -> DataFrame:
+    line = F.col("line")
+    return v.work_orders.select("equipment", "standard", F.when(line % 3 > 0, F.concat(F.lit("type "), line)).alias("inspection_type"), "next_due", F.col("date").alias("last_inspection"), F.when(line % 2 == 0, F.concat(F.lit("rev "), line)).alias("revision"), F.concat(F.lit("doc:"), "wo_id").alias("doc_id"), line.alias("page"))
+
+
+@_query(f", i AS ({_INSPECTIONS}) SELECT 'compliance:' || equipment || ':' || standard || ':' || next_due AS id, equipment, standard, coalesce(inspection_type, 'Inspection') AS inspection_type, next_due, last_inspection, coalesce(revision, '') AS revision, doc_id, page, CASE WHEN next_due < '{TODAY}' THEN 'overdue' WHEN next_due <= '2000-08-30' THEN 'due_soon' ELSE 'compliant' END AS status FROM i WHERE next_due <> ''", "work_orders")
+def etl23_items(v: Views) -> DataFrame:
+    """ETL-23, TOP-4: the items of the compliance position."""
+    return retrieval.compliance_items(_inspections(v), TODAY)
+
+
+@_query(f", i AS ({_INSPECTIONS}) SELECT 'compliance' AS kind, 'warning' AS severity, trim('Overdue inspection: ' || equipment || ' ' || coalesce(inspection_type, '')) AS title, equipment || ' - ' || coalesce(inspection_type, 'inspection') || ' per ' || standard || ' was due ' || next_due || ' and is now overdue.' AS body, equipment, doc_id, page, 'compliance:' || equipment || ':' || standard || ':' || next_due AS fingerprint FROM i WHERE next_due <> '' AND next_due < '{TODAY}'", "work_orders")
+def etl24_alerts(v: Views) -> DataFrame:
+    """ETL-24: an alert for each overdue inspection."""
+    return retrieval.compliance_alerts(_inspections(v), TODAY)
+
+
 @_query(f"SELECT CAST(count(*) FILTER (WHERE status = 'overdue') AS BIGINT) AS overdue, CAST(count(*) FILTER (WHERE status = 'due_soon') AS BIGINT) AS due_soon, CAST(count(*) FILTER (WHERE status = 'compliant') AS BIGINT) AS compliant FROM ({_POSITION})", "work_orders")
 def agg09_status_counts(v: Views) -> DataFrame:
     return retrieval.status_counts(retrieval.compliance_position(v.work_orders, TODAY))

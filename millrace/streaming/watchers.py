@@ -46,6 +46,11 @@ def batch_alerts(samples: DataFrame) -> DataFrame:
     tag's first, has another level than the breach before, or if that one's segment spent DEBOUNCE_S
     inside, from its first sample inside to its last, so that the alarm was re-armed.
     """
+    return _breaches(samples).where("fires").select("tag_id", "ts", "level", "value")
+
+
+def _breaches(samples: DataFrame) -> DataFrame:
+    """Each breach with its number and whether it fires."""
     order = Window.partitionBy("tag_id").orderBy("ts", "value")
     segment = F.count("level").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     breach, inside = F.col("level").isNotNull(), F.when(F.col("level").isNull(), F.col("ts"))
@@ -53,8 +58,19 @@ def batch_alerts(samples: DataFrame) -> DataFrame:
     segments = samples.withColumn("segment", segment).where("segment > 0").groupBy("tag_id", "segment").agg(only("ts"), only("level"), only("value"), (F.max(inside) - F.min(inside)).alias("spent"))
     before = Window.partitionBy("tag_id").orderBy("segment")
     last, spent = F.lag("level").over(before), F.lag("spent").over(before)
-    fires = last.isNull() | (last != F.col("level")) | F.coalesce(spent >= DEBOUNCE_S, F.lit(False))
-    return segments.withColumn("fires", fires).where("fires").select("tag_id", "ts", "level", "value")
+    return segments.withColumn("fires", last.isNull() | (last != F.col("level")) | F.coalesce(spent >= DEBOUNCE_S, F.lit(False)))
+
+
+def alarm_peaks(samples: DataFrame) -> DataFrame:
+    """STM-2: the alarms of ``batch_alerts`` with the furthest value while each was open and when it was last breached.
+
+    Actuators (tags ``MV.``) are no process variables and never alarm. A breach belongs to the alarm that fired last.
+    """
+    alarm = F.sum(F.col("fires").cast("int")).over(Window.partitionBy("tag_id").orderBy("segment"))
+    rows = _breaches(samples.where(~F.startswith("tag_id", F.lit("MV.")))).withColumn("alarm", alarm)
+    high = F.col("level").isin("HH", "H")
+    by = rows.groupBy("tag_id", "alarm", "level").agg(F.min("ts").alias("ts"), F.min_by("value", "segment").alias("value"), F.max("value").alias("most"), F.min("value").alias("least"), F.max("ts").alias("last_seen"))
+    return by.select("tag_id", "ts", "level", "value", F.when(high, F.col("most")).otherwise(F.col("least")).alias("peak"), "last_seen")
 
 
 def stream_alerts(samples: DataFrame) -> DataFrame:
