@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 DEBOUNCE_S, RATE_WINDOW_S = 30.0, 60.0
 ALERTS = "tag_id string, ts double, level string, value double"
@@ -93,28 +94,35 @@ def stream_alerts(samples: DataFrame) -> DataFrame:
     return samples.groupBy("tag_id").applyInPandasWithState(run, ALERTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def _sessions(rows: DataFrame, key: str, gap_s: float) -> DataFrame:
-    """Rows(key, ts) with the number of their session: a gap of ``gap_s`` starts a new one.
+def _scanned(rows: DataFrame, key: str, step: Callable) -> DataFrame:
+    """Rows(key, ts, ...) with ``says``: what step(state, ts) = (state, says) makes of each, in order of time; a key's first state is null.
 
-    After such a gap the rules below are in their first state, so a session is all they need in one task.
+    A key's rows are sorted in one task and go through it batch by batch, with one state at a time and no frame for each key.
     """
-    order = Window.partitionBy(key).orderBy("ts")
-    begins = F.coalesce((F.col("ts") - F.lag("ts").over(order) >= gap_s).cast("int"), F.lit(0))
-    return rows.withColumn("begins", begins).withColumn("session", F.sum("begins").over(order)).drop("begins")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), None
+        for frame in frames:
+            says = []
+            for k, ts in zip(frame[key].astype(object).where(frame[key].notna(), None), frame["ts"].tolist(), strict=True):
+                if k != now:
+                    now, state = k, None
+                state, said = step(state, ts)
+                says.append(said)
+            yield frame.assign(says=says)
+
+    ordered = rows.repartition(key).sortWithinPartitions(F.col(key), F.col("ts").asc_nulls_last())
+    return ordered.mapInPandas(run, StructType([*rows.schema.fields, StructField("says", BooleanType())]))
 
 
 def once_per(alerts: DataFrame, ttl_s: float) -> DataFrame:
     """Alerts(fingerprint, ts) that open a claim: the first, and those ttl_s or more after the last that did."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for i, ts in frame.sort_values("ts")["ts"].items():
-            if last is None or ts - last >= ttl_s:
-                kept.append(i)
-                last = ts
-        return frame.loc[kept].drop(columns="session")
+    def step(last: float | None, ts: float) -> tuple[float, bool]:
+        opens = last is None or ts - last >= ttl_s
+        return (ts if opens else last), opens
 
-    return _sessions(alerts, "fingerprint", ttl_s).groupBy("fingerprint", "session").applyInPandas(run, alerts.schema)
+    return _scanned(alerts, "fingerprint", step).where("says").drop("says")
 
 
 def stream_once_per(alerts: DataFrame, ttl: str) -> DataFrame:
@@ -136,28 +144,18 @@ def armed_episodes(alarms: DataFrame, wait_s: float = 126.0, cooldown_s: float =
     The rule is sequential within a slot. A plant's slot sees alarms only, never samples.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept, free = [], float("-inf")
-        for i, ts in frame.sort_values("ts")["ts"].items():
-            if ts >= free:
-                kept.append(i)
-                free = ts + wait_s + cooldown_s
-        return frame.loc[kept].drop(columns="session")
+    def step(free: float | None, ts: float) -> tuple[float, bool]:
+        arms = free is None or ts >= free
+        return (ts + wait_s + cooldown_s if arms else free), arms
 
-    return _sessions(alarms, "slot", wait_s + cooldown_s).groupBy("slot", "session").applyInPandas(run, alarms.schema)
+    return _scanned(alarms, "slot", step).where("says").drop("says")
 
 
 def rate_limited(hits: DataFrame, limit: int, window_s: float = RATE_WINDOW_S) -> DataFrame:
     """hits(bucket, ts) with allowed: windows start at a bucket's first hit after the last window."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ts")
-        allowed, start, n = [], float("-inf"), 0
-        for ts in frame["ts"]:
-            if ts - start >= window_s:
-                start, n = ts, 0
-            n += 1
-            allowed.append(n <= limit)
-        return frame.drop(columns="session").assign(allowed=allowed)
-
-    return _sessions(hits, "bucket", window_s).groupBy("bucket", "session").applyInPandas(run, "bucket string, ts double, allowed boolean")
+    def step(state: tuple[float, int] | None, ts: float) -> tuple[tuple[float, int], bool]:
+        start, n = (ts, 0) if state is None or ts - state[0] >= window_s else state
+        return (start, n + 1), n < limit
+
+    return _scanned(hits.select("bucket", "ts"), "bucket", step).withColumnRenamed("says", "allowed")
