@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from millrace.functions.lineage import written
+from pyspark.sql.types import StructField, StructType
 
 
 def incidents(alerts: DataFrame, seconds: int = 30) -> DataFrame:
@@ -14,48 +17,38 @@ def incidents(alerts: DataFrame, seconds: int = 30) -> DataFrame:
     The newest alert comes first, then the lesser id. Each alert in turn takes the first later one of
     the other unit that is free and within the seconds; ``first_id`` is the one that took. Alerts with
     gaps of more than ``seconds`` between them share no session. In a session the waiting alerts are
-    always of one unit, so the n-th alert of either unit belong together until a pair is too far apart.
-    At the first such pair the earlier alert stays single, with all of its unit that are too early for
-    the other one as well; the rest is numbered anew in the next round. Rounds end when no pair is too far
-    apart, and write what is still open only. A null time takes no part.
+    always of one unit, so one queue is all that is held: an alert takes the place of the first that waits for it,
+    and what has waited longer than the seconds stays single. A session is sorted in one task and goes through
+    it batch by batch. A null time takes no part.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = alerts.where("ts is not null").select("alert_id", us.alias("us"), (F.col("unit") == "reactor").alias("reactor"))
     # sessions: a bucket's first alert looks back into the bucket of an earlier alert, so no window spans the table
     wide = rows.withColumn("bucket", F.floor(F.col("us") / (seconds * 1_000_000)))
-    within = Window.partitionBy("bucket").orderBy(F.desc("us"), "alert_id")
     per = wide.groupBy("bucket").agg(F.min("us").alias("oldest"), F.max("us").alias("newest"))
     later = per.select((F.col("bucket") - 1).alias("bucket"), F.col("oldest").alias("later"))
     # a bucket goes on with the next one if their nearest alerts are close; a bucket is never longer than the gap
     linked = per.join(later, "bucket", "left").withColumn("breaks", F.coalesce((F.col("later") - F.col("newest") > seconds * 1_000_000).cast("int"), F.lit(1)))
     total = F.sum("breaks").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     sessions = linked.select("bucket", total.alias("session"))
-    rows = written(wide.join(sessions, "bucket").withColumn("at", F.struct(-F.col("us"), F.col("alert_id"))).drop("bucket"), "alerts")
-
-    done = []
-    order = Window.partitionBy("session", "reactor").orderBy("at")
-    while True:
-        numbered = rows.withColumn("n", F.row_number().over(order))
-        side = lambda flag, p: numbered.where(F.col("reactor") == flag).select("session", "n", F.col("alert_id").alias(f"{p}_id"), F.col("us").alias(f"{p}_us"), F.col("at").alias(f"{p}_at"))  # noqa: B023, E731
-        pairs = side(True, "reactor").join(side(False, "column"), ["session", "n"], "full")
-        apart = F.abs(F.col("reactor_us") - F.col("column_us")) > seconds * 1_000_000
-        pairs = written(pairs.withColumn("far", F.coalesce(apart, F.lit(False))), "pairs")
-        first = F.min(F.when(F.col("far"), F.col("n"))).over(Window.partitionBy("session"))
-        pairs = pairs.withColumn("first_far", first)
-        settled = pairs.where("first_far is null or n < first_far")
-        one = F.when(F.col("column_at").isNull() | (F.col("reactor_at") <= F.col("column_at")), F.col("reactor_id")).otherwise(F.col("column_id"))
-        done.append(written(settled.select("reactor_id", "column_id", one.alias("first_id")), "incidents"))
-        bad = pairs.where("n = first_far").select("session", (F.col("reactor_us") > F.col("column_us")).alias("drop_reactor"), F.least("reactor_us", "column_us").alias("limit_us"), "first_far")
-        if not bad.limit(1).count():
-            break
-        open_ = numbered.join(bad, "session").where("n >= first_far")
-        lost = (F.col("reactor") == F.col("drop_reactor")) & (F.col("us") > F.col("limit_us") + seconds * 1_000_000)
-        marked = written(open_.withColumn("lost", lost), "open")
-        single = marked.where("lost")
-        none = F.lit(None).cast(alerts.schema["alert_id"].dataType)
-        done.append(single.select(F.when(F.col("reactor"), F.col("alert_id")).otherwise(none).alias("reactor_id"), F.when(~F.col("reactor"), F.col("alert_id")).otherwise(none).alias("column_id"), F.col("alert_id").alias("first_id")))
-        rows = marked.where("not lost").select(*rows.columns)
-    out = done[0]
-    for part in done[1:]:
-        out = out.union(part)
-    return out
+    ordered = wide.join(sessions, "bucket").select("session", "alert_id", "us", "reactor").repartition("session").sortWithinPartitions("session", F.desc("us"), "alert_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, waiting = None, deque()  # (alert_id, us, reactor) of one unit, the newest first
+        single = lambda w: (w[0], None, w[0]) if w[2] else (None, w[0], w[0])
+        for frame in frames:
+            out = []
+            for session, alert, us, reactor in zip(*(frame[c].tolist() for c in ("session", "alert_id", "us", "reactor")), strict=True):
+                while waiting and (session != now or waiting[0][1] - us > seconds * 1_000_000):
+                    out.append(single(waiting.popleft()))
+                now = session
+                if waiting and waiting[0][2] != reactor:
+                    first = waiting.popleft()[0]
+                    out.append((alert, first, first) if reactor else (first, alert, first))
+                else:
+                    waiting.append((alert, us, reactor))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        yield pd.DataFrame([single(w) for w in waiting], columns=names, dtype=object)
+
+    names, kind = ["reactor_id", "column_id", "first_id"], alerts.schema["alert_id"].dataType
+    return ordered.mapInPandas(run, StructType([StructField(n, kind) for n in names]))
