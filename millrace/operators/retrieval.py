@@ -150,6 +150,6 @@ def desired_workers(depths: DataFrame, per_worker: int, least: int, most: int) -
 def hourly(alerts: DataFrame, now: str, hours: int = 12) -> DataFrame:
     """Counts in the hours before ``now``, newest first (bucket 0), zero-filled."""
     spine = alerts.sparkSession.range(hours).withColumnRenamed("id", "bucket")
-    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
-    by = alerts.withColumn("bucket", F.floor(age / 3600)).where((F.col("bucket") >= 0) & (F.col("bucket") < hours)).groupBy("bucket").agg(F.count("*").alias("n"))
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    by = alerts.withColumn("bucket", F.floor(age / 3_600_000_000)).where((F.col("bucket") >= 0) & (F.col("bucket") < hours)).groupBy("bucket").agg(F.count("*").alias("n"))
     return spine.join(by, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
