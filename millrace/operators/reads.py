@@ -74,12 +74,12 @@ def chunks_of(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return keyed.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def named_by_any(nodes: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
-    """FLT-10: the first distinct tags of equipment whose surface holds one of the terms, in any case; without terms none."""
+def named_by_any(nodes: DataFrame, terms: list[str]) -> DataFrame:
+    """FLT-10: all nodes whose surface holds one of the terms, in any case; without terms none."""
     held = F.lit(False)
     for term in terms:
         held = held | F.contains(F.lower("surface_form"), F.lit(term.lower()))
-    return nodes.where((F.col("label") == "Equipment") & held).select(F.col("surface_form").alias("tag")).distinct().orderBy("tag").limit(limit)
+    return nodes.where(held)
 
 
 def valid_limits(ll: Column, l: Column, h: Column, hh: Column, setpoint: Column) -> Column:  # noqa: E741

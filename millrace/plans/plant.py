@@ -132,10 +132,10 @@ def gr09_relations(v: Views) -> DataFrame:
     return reads.relations(v.plant_edges, v.plant_nodes, ["CONNECTED_TO", "HAS_FAILURE", "GOVERNED_BY"])
 
 
-@_query("SELECT DISTINCT surface_form AS tag FROM nodes WHERE label = 'Equipment' AND (contains(lower(surface_form), 'united') OR contains(lower(surface_form), '#00000001')) ORDER BY 1 LIMIT 20", "nodes")
+@_query("SELECT id, surface_form FROM nodes WHERE contains(lower(surface_form), 'united') OR contains(lower(surface_form), 'mode 1') OR contains(lower(surface_form), '#000000001')", "nodes")
 def flt10_terms(v: Views) -> DataFrame:
-    """FLT-10: a search that gives the first twenty is the feature."""
-    return reads.named_by_any(v.nodes, ["United", "#00000001"])
+    """FLT-10: every node that one of the terms names."""
+    return reads.named_by_any(v.nodes, ["United", "mode 1", "#000000001"]).select("id", "surface_form")
 
 
 @_query("SELECT event_id, coalesce(epoch(TIMESTAMP '2024-01-20') - TRY_CAST(CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'soon' ELSE epoch(ts)::VARCHAR END AS DOUBLE) <= 86400, true) AS fresh FROM events")
