@@ -128,12 +128,13 @@ def person_documents(nodes: DataFrame, edges: DataFrame, name: str, limit: int =
 def order_details(orders: DataFrame, edges: DataFrame, equipment: DataFrame) -> DataFrame:
     """JN-16: orders(id, date) with the distinct equipment(id, name) one or two mentions away, sorted; none is an empty string."""
     hop = both_ways(of_types(edges, ["MENTIONED_IN"]).select("edge_id", "src", "dst")).select("edge_id", "node", "other")
-    one = orders.select("id").distinct().join(hop, F.col("id") == F.col("node")).select("id", "other", "edge_id")
-    ending = hop.join(equipment.select(F.col("id").alias("other")), "other", "left_semi")  # most hops lead to other orders
-    second = ending.select(F.col("node").alias("other"), F.col("other").alias("far"), F.col("edge_id").alias("second"))
-    two = one.join(second, "other").where("edge_id <> second").select("id", F.col("far").alias("other"))
-    ends = one.select("id", "other").union(two).distinct().join(equipment.select(F.col("id").alias("other"), "name"), "other")
-    listed = ends.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("equipment"))
+    # names join the hops that end at equipment before the orders do; the sets need no distinct pairs of ids before them
+    named = hop.join(equipment.select(F.col("id").alias("other"), "name"), "other").select("node", "edge_id", "name")
+    ids = orders.select("id").distinct()
+    first = ids.join(hop, F.col("id") == F.col("node")).select("id", F.col("other").alias("at"), F.col("edge_id").alias("first"))
+    two = first.join(named, F.col("at") == F.col("node")).where("edge_id <> first").select("id", "name")
+    ends = ids.join(named, F.col("id") == F.col("node")).select("id", "name").union(two)
+    listed = ends.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("equipment"))
     return orders.join(listed, "id", "left").select("id", "date", F.coalesce("equipment", F.lit("")).alias("equipment"))
 
 
