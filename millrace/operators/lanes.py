@@ -138,11 +138,14 @@ def steps(orders: DataFrame, edges: DataFrame, nodes: DataFrame, procedures: Dat
     direct = orders.select("id").distinct().join(follows, "id").join(arrays, "sop_id").select(*columns)
     rest = orders.select("id").distinct().join(direct.select("id").distinct(), "id", "left_anti")
     near = both_ways(edges.where(F.col("type").isin("MENTIONED_IN", "MENTIONS")).select("edge_id", "src", "dst")).select("edge_id", "node", "other")
-    one = rest.join(near, F.col("id") == F.col("node")).select("id", F.col("other").alias("at"), F.col("edge_id").alias("first"))
-    two = one.join(near, F.col("at") == F.col("node")).where("edge_id <> first").select("id", F.col("other").alias("at"))
     equipment = nodes.where("label = 'Equipment'").select(F.col("id").alias("at"))
-    fixed = edges.where("type = 'FIXED_BY'").select(F.col("src").alias("at"), F.col("dst").alias("sop_id"))
-    reached = one.select("id", "at").union(two).distinct().join(equipment, "at", "left_semi").join(fixed, "at").select("id", "sop_id").distinct()
+    fixed = edges.where("type = 'FIXED_BY'").select(F.col("src").alias("at"), F.col("dst").alias("sop_id")).join(equipment, "at", "left_semi").distinct()
+    # only hops that end at such equipment lead to a procedure, so no first hop is joined with all that mentions the same equipment
+    ending = near.join(fixed, F.col("other") == F.col("at")).select("node", "edge_id", "sop_id")
+    one = rest.join(ending, F.col("id") == F.col("node")).select("id", "sop_id")
+    first = rest.join(near, F.col("id") == F.col("node")).select("id", F.col("other").alias("at"), F.col("edge_id").alias("first"))
+    two = first.join(ending, F.col("at") == F.col("node")).where("edge_id <> first").select("id", "sop_id")
+    reached = one.union(two).distinct()
     return direct.union(ranked(reached.join(arrays, "sop_id"), ["id"], ["step_index", "sop_id"], limit).select(*columns))
 
 
