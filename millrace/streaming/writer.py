@@ -31,7 +31,9 @@ def parsed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     unresolved = F.exists(F.coalesce("s.nodes", F.array()), lambda n: n["resolved_id"].isNull() | (n["resolved_id"] == ""))
     unknown = F.exists(F.coalesce("s.edges", F.array()), lambda e: e["type"].isNull() | ~e["type"].isin(*EDGE_TYPES))
     reason = F.when(F.col("s").isNull() | F.col("s.doc_id").isNull(), "not a subgraph").when(unresolved, "unresolved node").when(unknown, "unknown edge type")
-    rows = written(rows.withColumn("reason", reason).withColumn("at", F.struct("s.doc_id", F.xxhash64("raw"), F.monotonically_increasing_id())), "subgraphs")
+    # a good subgraph's text is not written beside its parts
+    rows = rows.select(F.when(reason.isNotNull(), F.col("raw")).alias("raw"), F.when(reason.isNull(), F.col("s")).alias("s"), reason.alias("reason"), F.struct("s.doc_id", F.xxhash64("raw"), F.monotonically_increasing_id()).alias("at"))
+    rows = written(rows, "subgraphs")
     return rows.where("reason is null").select("s.doc_id", "at", "s.nodes", "s.edges"), rows.where("reason is not null").select("raw", "reason")
 
 
@@ -44,8 +46,8 @@ def grouped_nodes(subgraphs: DataFrame) -> DataFrame:
     return last.join(props, "id", "left").withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
 
 
-def grouped_edges(subgraphs: DataFrame) -> DataFrame:
-    """One row for each (src, type, dst, prov_hash); ends named by a surface of their own subgraph become its id, others stay."""
+def resolved_edges(subgraphs: DataFrame) -> DataFrame:
+    """All edges of subgraphs; ends named by a surface of their own subgraph become its id, others stay."""
     keyed = subgraphs.select("at", F.coalesce("nodes", F.array()).alias("nodes"), F.posexplode("edges").alias("nth", "e"))
 
     def end(name: str):
@@ -55,9 +57,13 @@ def grouped_edges(subgraphs: DataFrame) -> DataFrame:
 
     p = "e.provenance."
     prov = provenance_hash(*(F.col(p + c) for c in ("doc_id", "page", "span", "bbox", "extractor_version")))
-    rows = keyed.select(F.struct("at", "nth").alias("at"), end("src"), F.col("e.type").alias("type"), end("dst"), prov.alias("prov_hash"), F.col(p + "doc_id").alias("doc_id"), F.col(p + "page").alias("page"), F.col(p + "confidence").alias("confidence"), F.col(p + "source").alias("source"), F.map_filter(F.coalesce("e.props", F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull()).alias("props"))
+    return keyed.select(F.struct("at", "nth").alias("at"), end("src"), F.col("e.type").alias("type"), end("dst"), prov.alias("prov_hash"), F.col(p + "doc_id").alias("doc_id"), F.col(p + "page").alias("page"), F.col(p + "confidence").alias("confidence"), F.col(p + "source").alias("source"), F.map_filter(F.coalesce("e.props", F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull()).alias("props"))
+
+
+def grouped_edges(edges: DataFrame) -> DataFrame:
+    """One row for each (src, type, dst, prov_hash) of resolved edges, the last."""
     newest = Window.partitionBy("src", "type", "dst", "prov_hash").orderBy(F.desc("at"))
-    return rows.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "at")
+    return edges.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "at")
 
 
 class GraphWriter:
@@ -101,12 +107,14 @@ class GraphWriter:
         if some:
             version += 1
             stamp = F.lit(version).cast("bigint").alias("version")
-            nodes, edges = written(grouped_nodes(good), "nodes"), written(grouped_edges(good), "edges")
+            nodes, edges = written(grouped_nodes(good), "nodes"), resolved_edges(good)
             known = self.tables.read("nodes").select("id").union(nodes.select("id"))
-            ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(known, "id", "left_semi")
-            whole = edges
+            # the few ends that are no nodes, so that not every edge is shuffled for each end
+            missing = written(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(known, "id", "left_anti"), "missing")
+            whole = edges.where("src is not null and dst is not null")
             for end in ("src", "dst"):
-                whole = whole.join(ends.withColumnRenamed("id", end), end, "left_semi")
+                whole = whole.join(missing.withColumnRenamed("id", end), end, "left_anti")
+            whole = grouped_edges(whole)
             touched = lambda rows, c, kind: rows.select(stamp, F.lit(kind).alias("kind"), F.col(c).alias("value"))
             delta = touched(nodes, "id", "node").union(touched(edges, "type", "edge_type")).union(touched(good, "doc_id", "document")).distinct()
             for name, rows in (("nodes", nodes.select(stamp, "*")), ("edges", whole.select(stamp, "*")), ("deltas", delta)):
