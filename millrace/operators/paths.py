@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ COMPLIANCE_WORDS = ["standard", "regulation", "compliance", "overdue", "inspecti
 EVIDENCE_LABELS = ["FailureMode", "Procedure", "RegulationClause"]
 PROCESS_TYPES, PROCESS_LABELS = ["CONNECTED_TO"], ["Equipment", "Instrument"]
 MAX_HOPS, PATHS, PROCESS_HOPS, PROCESS_SEEDS = 4, 100, 2, 4
+MANY = 256  # edges of a node that no trail grows through
 
 _STEPS = "array<struct<type:string,src:string,dst:string,confidence:double>>"
 
@@ -50,10 +53,12 @@ def paths_between(edges: DataFrame, pairs: DataFrame, types: list[str], max_hops
 
     Half-trails grow from both ends and meet: a trail of n edges is ceil(n / 2) edges from its start and
     the rest from its end, so none grows beyond half the hops, and each end's half-trails serve all its
-    pairs. The ``limit`` shortest of a pair are given, in order of path. Columns: start, end, hops, path
+    pairs. Up to four hops only one edge grows from each end, and ``_met`` finds what joins them. The ``limit`` shortest of a pair are given, in order of path. Columns: start, end, hops, path
     (edge ids), nodes, steps (the stored edges). Repeated pairs count once; pairs of a node without edges have no path.
     """
-    pairs, hops = pairs.select("start", "end").distinct(), _hops(edges, types)
+    pairs, hops = written(pairs.select("start", "end").distinct(), "pairs"), written(_hops(edges, types), "hops")
+    if max_hops <= 4:
+        return _shortest(_met(pairs, hops, max_hops), limit)
     there = half_trails(hops, pairs.select(F.col("start").alias("id")), (max_hops + 1) // 2)
     back = half_trails(hops, pairs.select(F.col("end").alias("id")), max_hops // 2)
     found = None
@@ -66,22 +71,83 @@ def paths_between(edges: DataFrame, pairs: DataFrame, types: list[str], max_hops
     return _shortest(found, limit)
 
 
+def _met(pairs: DataFrame, hops: DataFrame, max_hops: int) -> DataFrame:
+    """Trails of up to four edges between pairs(start, end): the edges at both ends, and none, one or two between them.
+
+    No end grows through a node of many edges, as two edges between a and b are looked for by ``_middles``.
+    """
+    step = lambda node, other, k: hops.select(F.col("node").alias(node), F.col("other").alias(other), F.col("edge_id").alias(f"e{k}"), F.col("step").alias(f"s{k}"))
+
+    def level(rows: DataFrame, between: list[str], ks: list[int]) -> DataFrame:
+        path = F.array(*(f"e{k}" for k in ks))
+        rows = rows.where(F.size(F.array_distinct(path)) == len(ks))
+        return rows.select("start", "end", F.lit(len(ks)).alias("hops"), path.alias("path"), F.array("start", *between, "end").alias("nodes"), F.array(*(f"s{k}" for k in ks)).alias("steps"))
+
+    found = level(pairs.join(step("start", "end", 1), ["start", "end"]), [], [1])
+    headed = pairs.join(step("start", "a", 1), "start")
+    if max_hops >= 2:
+        found = found.union(level(headed.join(step("end", "a", 2), ["end", "a"]), ["a"], [1, 2]))
+    if max_hops >= 3:
+        ends = written(headed.join(step("end", "b", 4), "end"), "ends")
+        found = found.union(level(ends.join(step("a", "b", 2), ["a", "b"]), ["a", "b"], [1, 2, 4]))
+    if max_hops == 4:
+        found = found.union(level(ends.join(_middles(ends.select("a", "b").distinct(), step), ["a", "b"]), ["a", "m", "b"], [1, 2, 3, 4]))
+    return found
+
+
+def _middles(wanted: DataFrame, step: Callable) -> DataFrame:
+    """Two edges from a over m to b, for each of wanted(a, b): from the end of fewer edges, or, if both have many, by their common neighbours."""
+    there, back = step("a", "m", 2), step("b", "m", 3)
+    count = lambda rows, c: rows.groupBy(c).agg(F.count("*").alias(f"n_{c}"))
+    sized = written(wanted.join(count(there, "a"), "a").join(count(back, "b"), "b"), "wanted")
+    light = F.least("n_a", "n_b") <= MANY
+    columns = ["a", "b", "m", "e2", "s2", "e3", "s3"]
+    by_a = sized.where(light & (F.col("n_a") <= F.col("n_b"))).join(there, "a").join(back, ["b", "m"])
+    by_b = sized.where(light & (F.col("n_a") > F.col("n_b"))).join(back, "b").join(there, ["a", "m"])
+    hubs = sized.where(~light)
+    by_m = there.join(hubs.select("a").distinct(), "a", "left_semi").join(back.join(hubs.select("b").distinct(), "b", "left_semi"), "m").join(hubs, ["a", "b"], "left_semi")
+    return by_a.select(*columns).union(by_b.select(*columns)).union(by_m.select(*columns))
+
+
 def paths_outward(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, labels: list[str], types: list[str], max_hops: int = MAX_HOPS, limit: int = PATHS) -> DataFrame:
     """GR-2: undirected trails from seeds(id) to nodes(id, label) of the labels, as ``paths_between`` gives them.
 
-    The other end is open, so trails grow from the seeds; the last hop is joined with edges to the labels only.
+    The other end is open, so trails grow from the seeds, but only from those with less than ``limit`` shorter ones, and
+    the last hop but one takes of each node's edges the first that give enough (``_leading``). Edge ids hold no '>'.
     """
-    hops, goals = _hops(edges, types), nodes.where(F.col("label").isin(labels)).select(F.col("id").alias("at")).distinct()
-    levels = half_trails(hops, seeds, max_hops - 1)
-    levels.append(_longer(levels[-1], hops.join(goals.withColumnRenamed("at", "other"), "other", "left_semi")))
-    found = None
-    for n, level in enumerate(levels[1:], 1):
-        level = level.join(goals, "at", "left_semi") if n < max_hops else level
-        level = level.select("start", F.col("at").alias("end"), F.lit(n).alias("hops"), "path", "nodes", "steps")
-        found = level if found is None else found.union(level)
+    hops, goals = written(_hops(edges, types), "hops"), written(nodes.where(F.col("label").isin(labels)).select("id").distinct(), "goals")
+    last = written(hops.join(goals.withColumnRenamed("id", "other"), "other", "left_semi").select(*hops.columns), "last")
+    leading = written(_leading(hops, last, goals, limit + 6 * max(max_hops - 2, 0)), "leading")
+    level, found, open_ = _seeded(seeds), None, None
+    for n in range(1, max_hops + 1):
+        if n > 2:  # the full trails of n - 2 edges, of open seeds
+            level = written(_longer(level.join(open_, "start", "left_semi"), hops), "trails")
+        some = level if open_ is None else level.join(open_, "start", "left_semi")
+        some = _longer(some if n == 1 else _longer(some, leading), last)
+        more = written(_shortest(some.select("start", F.col("at").alias("end"), F.lit(n).alias("hops"), "path", "nodes", "steps"), limit, "start"), "found")
+        found = more if found is None else found.union(more)
+        full = found.groupBy("start").count().where(F.col("count") >= limit)
+        open_ = seeds.select(F.col("id").alias("start")).distinct().join(full, "start", "left_anti")
     return _shortest(found, limit, "start")
 
 
+def _leading(hops: DataFrame, last: DataFrame, goals: DataFrame, enough: int) -> DataFrame:
+    """Of each node's hops, in order of edge, those before which there are not yet ``enough`` ways on to a goal.
+
+    A hop counts four ways at most, and only the first to each node. An edge that a trail has already takes those of
+    one hop and one of two others, so six for each edge are asked for beyond the limit.
+    """
+    ways = last.groupBy(F.col("node").alias("other")).agg(F.count("*").alias("ways"))
+    # the way straight back over the same edge is none
+    rows = hops.join(ways, "other").join(goals.select(F.col("id").alias("node"), F.lit(1).alias("back")), "node", "left")
+    key = F.concat("edge_id", F.lit(">"))
+    first = F.row_number().over(Window.partitionBy("node", "other").orderBy(key)) == 1
+    gives = F.when(F.col("first"), F.least(F.col("ways") - F.coalesce("back", F.lit(0)), F.lit(4))).otherwise(0)
+    before = F.sum("gives").over(Window.partitionBy("node").orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("first", first).withColumn("gives", gives).withColumn("before", F.coalesce(before, F.lit(0)))
+    return rows.where(F.col("before") < enough).select(*hops.columns)
+
+
 def _shortest(found: DataFrame, limit: int, *by: str) -> DataFrame:
     key = F.array_join("path", ">")
     return ranked(found.withColumn("key", key), list(by) or ["start", "end"], ["hops", "key"], limit).drop("key", "nth")
