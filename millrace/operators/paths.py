@@ -191,43 +191,22 @@ def find_paths(edges: DataFrame, nodes: DataFrame, questions: DataFrame, seeds:
     return out.dropDuplicates(["question", "start", "path"])
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1), place.cast("int"))
-
-
 def choose_paths(paths: DataFrame, keep: int = KEPT_PATHS, overlap: float = OVERLAP) -> DataFrame:
     """GR-7, SET-3: for each of paths(question, path_id, score, steps), whether the greedy choice keeps it: up to ``keep`` a question.
 
     The choice takes paths by score, then path_id, and leaves out each that shares more than ``overlap`` of
-    the smaller's undirected edges with one that it took. Here all questions go in rounds: an open path is
-    kept once no better open one overlaps it, and those that overlap a kept one close. Two paths of m and
-    more edges overlap if they share some t(m) edges, so each path is dealt to its sets of t(m) edges, and
-    the minima of each set tell who is better: no pairs of paths are made, and nothing is gathered.
-    Paths without edges are never kept. Columns: question, path_id, nth (from 1).
+    the smaller's undirected edges with one that it took. A question's candidates, a hundred for a pair or a seed at
+    most, are one sorted list, which one fold goes through. Paths without edges are never kept.
+    Columns: question, path_id, nth (from 1).
     """
     edge = F.transform("steps", lambda s: F.concat_ws("\x1f", s["type"], F.least(s["src"], s["dst"]), F.greatest(s["src"], s["dst"])))
-    rows = paths.select("question", "path_id", "score", F.array_sort(F.array_distinct(edge)).alias("edges")).withColumn("m", F.size("edges")).where("m > 0")
+    rows = paths.select("question", "path_id", "score", F.array_distinct(edge).alias("edges")).where(F.size("edges") > 0)
     best = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "path_id"))
-    rows = written(rows.withColumn("nth", best).withColumn("state", F.lit("open")), "paths")
-    # each set of t edges, for every m up to the path's own size; t(m) is the least count over overlap * m
-    least = lambda m: F.floor(m * F.lit(overlap)).cast("int") + 1
-    chosen = lambda bits: F.filter("edges", lambda _, i: _bit(i).bitwiseAND(bits) != 0)
-    masks = rows.select("question", "nth", "m", "edges", F.explode(F.sequence(F.lit(1), _bit(F.col("m")) - 1)).alias("bits"))
-    sized = masks.select("question", "nth", "m", F.array_join(chosen(F.col("bits")), "\x1e").alias("part"), F.bit_count("bits").alias("t"), F.explode(F.sequence(F.lit(1), F.col("m"))).alias("size"))
-    dealt = written(sized.where(F.col("t") == least(F.col("size"))).select("question", "nth", "part", "size", (F.col("m") == F.col("size")).alias("exact")), "sets")
-    key = ["question", "part", "size"]
-    while rows.where("state = 'open'").limit(1).count():
-        open_sets = dealt.join(rows.where("state = 'open'").select("question", "nth"), ["question", "nth"])
-        least_of = open_sets.groupBy(*key).agg(F.min("nth").alias("any"), F.min(F.when(F.col("exact"), F.col("nth"))).alias("exactly"))
-        rival = F.when(F.col("exact"), F.col("any")).otherwise(F.col("exactly"))
-        beaten = open_sets.join(least_of, key).where(rival < F.col("nth")).select("question", "nth").distinct().withColumn("beaten", F.lit(True))
-        rows = rows.join(beaten, ["question", "nth"], "left").withColumn("state", F.when((F.col("state") == "open") & F.col("beaten").isNull(), "kept").otherwise(F.col("state"))).drop("beaten")
-        rows = written(rows, "paths")
-        taken = dealt.join(rows.where("state = 'kept'").select("question", "nth"), ["question", "nth"]).groupBy(*key).agg(F.max(F.col("exact").cast("int")).alias("by_exact"))
-        waiting = dealt.join(rows.where("state = 'open'").select("question", "nth"), ["question", "nth"])
-        closed = waiting.join(taken, key).where((F.col("by_exact") == 1) | F.col("exact")).select("question", "nth").distinct().withColumn("closed", F.lit(True))
-        state = F.when(F.col("closed"), "closed").otherwise(F.col("state"))
-        rows = written(rows.join(closed, ["question", "nth"], "left").withColumn("state", state).drop("closed"), "paths")
-    order = Window.partitionBy("question").orderBy("nth")
-    kept = rows.where("state = 'kept'").withColumn("nth", F.row_number().over(order))
-    return kept.where(F.col("nth") <= keep).select("question", "path_id", F.col("nth").cast("bigint").alias("nth"))
+    listed = rows.withColumn("nth", best).groupBy("question").agg(F.sort_array(F.collect_list(F.struct("nth", "path_id", "edges"))).alias("rows"))
+
+    def take(kept: Column, row: Column) -> Column:
+        shared = lambda k: F.size(F.array_intersect(k["edges"], row["edges"])) / F.least(F.size(k["edges"]), F.size(row["edges"])) > overlap
+        return F.when((F.size(kept) < keep) & ~F.exists(kept, shared), F.concat(kept, F.array(row))).otherwise(kept)
+
+    kept = listed.select("question", F.posexplode(F.aggregate("rows", F.slice("rows", 1, 0), take)).alias("nth", "row"))
+    return kept.select("question", F.col("row.path_id").alias("path_id"), (F.col("nth") + 1).cast("bigint").alias("nth"))
