@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from millrace.functions.lineage import written
 from millrace.operators.graph import KEPT_PATHS, OVERLAP, both_ways, of_types, ranked
@@ -18,13 +17,13 @@ EVIDENCE_LABELS = ["FailureMode", "Procedure", "RegulationClause"]
 PROCESS_TYPES, PROCESS_LABELS = ["CONNECTED_TO"], ["Equipment", "Instrument"]
 MAX_HOPS, PATHS, PROCESS_HOPS, PROCESS_SEEDS = 4, 100, 2, 4
 MANY = 256  # edges of a node that no trail grows through
+WEIGHTS = ["weight", "compliance_weight"]  # what the flow score takes of an edge, for either kind of question
 
-_STEPS = "array<struct<type:string,src:string,dst:string,confidence:double>>"
 
 
 def _hops(edges: DataFrame, types: list[str]) -> DataFrame:
-    """(edge_id, step, node, other): the edges of the types from either end."""
-    step = F.struct("type", "src", "dst", "confidence").alias("step")
+    """(edge_id, step, node, other): the edges of the types from either end; weights of ``edges`` go along in the steps."""
+    step = F.struct("type", "src", "dst", "confidence", *(c for c in WEIGHTS if c in edges.columns)).alias("step")
     return both_ways(of_types(edges, types).select("edge_id", step, "src", "dst"))
 
 
@@ -34,15 +33,15 @@ def _longer(trails: DataFrame, hops: DataFrame) -> DataFrame:
     return more.select("start", F.col("other").alias("at"), F.concat("path", F.array("edge_id")).alias("path"), F.concat("nodes", F.array("other")).alias("nodes"), F.concat("steps", F.array("step")).alias("steps"))
 
 
-def _seeded(ids: DataFrame) -> DataFrame:
+def _seeded(ids: DataFrame, hops: DataFrame) -> DataFrame:
     """Trails without an edge, from ids(id)."""
-    empty = lambda kind: F.array().cast(kind)
-    return ids.distinct().select(F.col("id").alias("start"), F.col("id").alias("at"), empty("array<string>").alias("path"), F.array("id").alias("nodes"), empty(_STEPS).alias("steps"))
+    empty = lambda kind: F.array().cast(ArrayType(kind))
+    return ids.distinct().select(F.col("id").alias("start"), F.col("id").alias("at"), empty(StringType()).alias("path"), F.array("id").alias("nodes"), empty(hops.schema["step"].dataType).alias("steps"))
 
 
 def half_trails(hops: DataFrame, ids: DataFrame, most: int) -> list[DataFrame]:
     """Trails of 0, 1, ... ``most`` edges from ids(id), each level written before the next grows from it."""
-    levels = [_seeded(ids)]
+    levels = [_seeded(ids, hops)]
     for _ in range(most):
         levels.append(written(_longer(levels[-1], hops), "trails"))
     return levels
@@ -54,11 +53,11 @@ def paths_between(edges: DataFrame, pairs: DataFrame, types: list[str], max_hops
     Half-trails grow from both ends and meet: a trail of n edges is ceil(n / 2) edges from its start and
     the rest from its end, so none grows beyond half the hops, and each end's half-trails serve all its
     pairs. Up to four hops only one edge grows from each end, and ``_met`` finds what joins them. The ``limit`` shortest of a pair are given, in order of path. Columns: start, end, hops, path
-    (edge ids), nodes, steps (the stored edges). Repeated pairs count once; pairs of a node without edges have no path.
+    (edge ids), nodes, steps (the stored edges). Repeated pairs count once; pairs of a node without edges have no path. Edge ids hold no '>'.
     """
     pairs, hops = written(pairs.select("start", "end").distinct(), "pairs"), written(_hops(edges, types), "hops")
     if max_hops <= 4:
-        return _shortest(_met(pairs, hops, max_hops), limit)
+        return _stored(_shortest(_met(pairs, hops, max_hops, limit), limit), hops)
     there = half_trails(hops, pairs.select(F.col("start").alias("id")), (max_hops + 1) // 2)
     back = half_trails(hops, pairs.select(F.col("end").alias("id")), max_hops // 2)
     found = None
@@ -71,42 +70,84 @@ def paths_between(edges: DataFrame, pairs: DataFrame, types: list[str], max_hops
     return _shortest(found, limit)
 
 
-def _met(pairs: DataFrame, hops: DataFrame, max_hops: int) -> DataFrame:
-    """Trails of up to four edges between pairs(start, end): the edges at both ends, and none, one or two between them.
+def _met(pairs: DataFrame, hops: DataFrame, max_hops: int, limit: int) -> DataFrame:
+    """Trails of up to four edges between pairs(start, end), the shortest ``limit`` of each and some more.
 
-    No end grows through a node of many edges, as two edges between a and b are looked for by ``_middles``.
+    They have the edges at both ends, and none, one or two between them. No end grows through a node of many edges:
+    two edges between a and b are looked for by ``_light_middles``, and where both have many by ``_leading_middles``.
+    Instead of steps they have kinds, which do not repeat the nodes.
     """
-    step = lambda node, other, k: hops.select(F.col("node").alias(node), F.col("other").alias(other), F.col("edge_id").alias(f"e{k}"), F.col("step").alias(f"s{k}"))
+    kind = lambda first: F.struct("step.type", (F.col("step.src") == F.col(first)).alias("forward"), *(f"step.{c}" for c in _rest(hops)))
+    side = lambda node, other, k, first: hops.select(F.col("node").alias(node), F.col("other").alias(other), F.col("edge_id").alias(f"e{k}"), kind(first).alias(f"k{k}"))
+    step = lambda node, other, k: side(node, other, k, "node")
+    step_back = lambda node, other, k: side(node, other, k, "other")
 
     def level(rows: DataFrame, between: list[str], ks: list[int]) -> DataFrame:
         path = F.array(*(f"e{k}" for k in ks))
         rows = rows.where(F.size(F.array_distinct(path)) == len(ks))
-        return rows.select("start", "end", F.lit(len(ks)).alias("hops"), path.alias("path"), F.array("start", *between, "end").alias("nodes"), F.array(*(f"s{k}" for k in ks)).alias("steps"))
+        return rows.select("start", "end", F.lit(len(ks)).alias("hops"), path.alias("path"), F.array("start", *between, "end").alias("nodes"), F.array(*(f"k{k}" for k in ks)).alias("kinds"))
 
     found = level(pairs.join(step("start", "end", 1), ["start", "end"]), [], [1])
     headed = pairs.join(step("start", "a", 1), "start")
     if max_hops >= 2:
-        found = found.union(level(headed.join(step("end", "a", 2), ["end", "a"]), ["a"], [1, 2]))
+        found = found.union(level(headed.join(step_back("end", "a", 2), ["end", "a"]), ["a"], [1, 2]))
     if max_hops >= 3:
-        ends = written(headed.join(step("end", "b", 4), "end"), "ends")
+        ends = written(headed.join(step_back("end", "b", 4), "end").where("e1 <> e4"), "ends")
         found = found.union(level(ends.join(step("a", "b", 2), ["a", "b"]), ["a", "b"], [1, 2, 4]))
     if max_hops == 4:
-        found = found.union(level(ends.join(_middles(ends.select("a", "b").distinct(), step), ["a", "b"]), ["a", "m", "b"], [1, 2, 3, 4]))
+        there, back = step("a", "m", 2), step_back("b", "m", 3)
+        count = lambda rows, c: rows.groupBy(c).agg(F.count("*").alias(f"n_{c}"))
+        sized = written(ends.select("a", "b").distinct().join(count(there, "a"), "a").join(count(back, "b"), "b"), "wanted")
+        light = F.least("n_a", "n_b") <= MANY
+        middles = written(_leading_middles(sized.where(~light), there, back, limit), "middles")
+        for few in (ends.join(_light_middles(sized.where(light), there, back), ["a", "b"]), _leading_ends(ends, middles, limit).join(middles, ["a", "b"])):
+            found = found.union(level(few, ["a", "m", "b"], [1, 2, 3, 4]))
     return found
 
 
-def _middles(wanted: DataFrame, step: Callable) -> DataFrame:
-    """Two edges from a over m to b, for each of wanted(a, b): from the end of fewer edges, or, if both have many, by their common neighbours."""
-    there, back = step("a", "m", 2), step("b", "m", 3)
-    count = lambda rows, c: rows.groupBy(c).agg(F.count("*").alias(f"n_{c}"))
-    sized = written(wanted.join(count(there, "a"), "a").join(count(back, "b"), "b"), "wanted")
-    light = F.least("n_a", "n_b") <= MANY
-    columns = ["a", "b", "m", "e2", "s2", "e3", "s3"]
-    by_a = sized.where(light & (F.col("n_a") <= F.col("n_b"))).join(there, "a").join(back, ["b", "m"])
-    by_b = sized.where(light & (F.col("n_a") > F.col("n_b"))).join(back, "b").join(there, ["a", "m"])
-    hubs = sized.where(~light)
-    by_m = there.join(hubs.select("a").distinct(), "a", "left_semi").join(back.join(hubs.select("b").distinct(), "b", "left_semi"), "m").join(hubs, ["a", "b"], "left_semi")
-    return by_a.select(*columns).union(by_b.select(*columns)).union(by_m.select(*columns))
+def _light_middles(wanted: DataFrame, there: DataFrame, back: DataFrame) -> DataFrame:
+    """Two different edges from a over m to b, for each of wanted(a, b, n_a, n_b), from the end of fewer edges."""
+    columns = ["a", "b", "m", "e2", "k2", "e3", "k3"]
+    by_a = wanted.where("n_a <= n_b").select("a", "b").join(there, "a").join(back, ["b", "m"])
+    by_b = wanted.where("n_a > n_b").select("a", "b").join(back, "b").join(there, ["a", "m"])
+    return by_a.select(*columns).union(by_b.select(*columns)).where("e2 <> e3")
+
+
+def _leading_middles(wanted: DataFrame, there: DataFrame, back: DataFrame, limit: int) -> DataFrame:
+    """Two different edges from a over m to b, for each of wanted(a, b), by the neighbours in common, as many as any pair takes.
+
+    Between given first and last edges the order of path is that of the two edges. An edge at an end is one of the
+    two only where m is a, b or an end of the pair, so those after ``limit`` and four other m are in no answer.
+    """
+    ends = lambda rows, c: rows.join(wanted.select(c).distinct(), c, "left_semi")
+    rows = ends(there, "a").join(ends(back, "b"), "m").where("e2 <> e3").join(wanted.select("a", "b"), ["a", "b"], "left_semi")
+    key = F.concat("e2", F.lit(">"), "e3", F.lit(">"))
+    first = (F.row_number().over(Window.partitionBy("a", "b", "m").orderBy(key)) == 1).cast("int")
+    before = F.sum("first").over(Window.partitionBy("a", "b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("first")
+    rows = rows.repartition("a", "b").withColumn("first", first).withColumn("before", before)
+    return rows.where(F.col("before") < limit + 4).drop("first", "before")
+
+
+def _leading_ends(ends: DataFrame, middles: DataFrame, limit: int) -> DataFrame:
+    """Of ends(start, end, a, b, e1, e4), those that have middles(a, b, m) and before whose first edge there are not ``limit`` paths of the pair."""
+    sizes = middles.groupBy("a", "b").agg((F.countDistinct("m") - 4).alias("gives"))
+    rows = ends.join(sizes, ["a", "b"]).repartition("start", "end").withColumn("gives", F.greatest("gives", F.lit(0)))
+    key = F.concat("e1", F.lit(">"))
+    upto = F.sum("gives").over(Window.partitionBy("start", "end").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.sum("gives").over(Window.partitionBy("start", "end", key))
+    return rows.withColumn("own", own).withColumn("before", upto - F.col("own")).where(F.col("before") < limit).drop("gives", "own", "before")
+
+
+def _rest(hops: DataFrame) -> list[str]:
+    """What a step has beside its type and ends."""
+    return hops.schema["step"].dataType.names[3:]
+
+
+def _stored(found: DataFrame, hops: DataFrame) -> DataFrame:
+    """Paths with their steps, from their kinds and nodes."""
+    at = lambda i, ahead: F.get("nodes", i + ahead.cast("int"))
+    step = lambda k, i: F.struct(k["type"].alias("type"), at(i, ~k["forward"]).alias("src"), at(i, k["forward"]).alias("dst"), *(k[c].alias(c) for c in _rest(hops)))
+    return found.withColumn("steps", F.transform("kinds", step)).drop("kinds")
 
 
 def paths_outward(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, labels: list[str], types: list[str], max_hops: int = MAX_HOPS, limit: int = PATHS) -> DataFrame:
@@ -117,13 +158,15 @@ def paths_outward(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, labels:
     """
     hops, goals = written(_hops(edges, types), "hops"), written(nodes.where(F.col("label").isin(labels)).select("id").distinct(), "goals")
     last = written(hops.join(goals.withColumnRenamed("id", "other"), "other", "left_semi").select(*hops.columns), "last")
-    leading = written(_leading(hops, last, goals, limit + 6 * max(max_hops - 2, 0)), "leading")
-    level, found, open_ = _seeded(seeds), None, None
+    level, found, open_ = _seeded(seeds, hops), None, None
     for n in range(1, max_hops + 1):
         if n > 2:  # the full trails of n - 2 edges, of open seeds
             level = written(_longer(level.join(open_, "start", "left_semi"), hops), "trails")
         some = level if open_ is None else level.join(open_, "start", "left_semi")
-        some = _longer(some if n == 1 else _longer(some, leading), last)
+        if n > 1:
+            reached = hops.join(some.select(F.col("at").alias("node")).distinct(), "node", "left_semi").select(*hops.columns)
+            some = _longer(some, written(_leading(reached, last, goals, limit + 6 * (n - 2)), "leading"))
+        some = _longer(some, last)
         more = written(_shortest(some.select("start", F.col("at").alias("end"), F.lit(n).alias("hops"), "path", "nodes", "steps"), limit, "start"), "found")
         found = more if found is None else found.union(more)
         full = found.groupBy("start").count().where(F.col("count") >= limit)
@@ -188,7 +231,8 @@ def find_paths(edges: DataFrame, nodes: DataFrame, questions: DataFrame, seeds:
     for part in parts:
         part = part.select("question", "start", "end", "hops", "path", "nodes", "steps")
         out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates(["question", "start", "path"])
+    # by question, as all that follows takes them
+    return out.repartition("question").dropDuplicates(["question", "start", "path"])
 
 
 def choose_paths(paths: DataFrame, keep: int = KEPT_PATHS, overlap: float = OVERLAP) -> DataFrame:
