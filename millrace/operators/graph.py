@@ -99,6 +99,15 @@ def scored_paths(paths: DataFrame, degree: DataFrame) -> DataFrame:
     return keyed.join(maps, "path_id", "left").withColumn("score", flow_score(F.col("steps"), F.coalesce("degree_of", F.create_map().cast("map<string,bigint>")))).drop("degree_of")
 
 
+def weighted(edges: DataFrame, **types: list[str]) -> DataFrame:
+    """Edges with the factor that each gives to a flow score, a column for each list of types whose degrees count."""
+    for name, kinds in types.items():
+        degree = degrees(edges, kinds).withColumnsRenamed({"node": "src", "degree": name})
+        weight = DECAY * F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(LEAST_CONFIDENCE)) / F.greatest(F.coalesce(name, F.lit(1)) - 1, F.lit(1))
+        edges = edges.join(degree, "src", "left").withColumn(name, weight)
+    return edges
+
+
 def upsert_nodes(nodes: DataFrame, rows: DataFrame, version: int) -> DataFrame:
     """Nodes after a batch: properties overlay key by key (null values never overwrite), new ids are
     stamped with created_version, all in the batch with updated_version."""

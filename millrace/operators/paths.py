@@ -77,40 +77,45 @@ def _met(pairs: DataFrame, hops: DataFrame, max_hops: int, limit: int) -> DataFr
     two edges between a and b are looked for by ``_light_middles``, and where both have many by ``_leading_middles``.
     Instead of steps they have kinds, which do not repeat the nodes.
     """
-    kind = lambda first: F.struct("step.type", (F.col("step.src") == F.col(first)).alias("forward"), *(f"step.{c}" for c in _rest(hops)))
-    side = lambda node, other, k, first: hops.select(F.col("node").alias(node), F.col("other").alias(other), F.col("edge_id").alias(f"e{k}"), kind(first).alias(f"k{k}"))
-    step = lambda node, other, k: side(node, other, k, "node")
-    step_back = lambda node, other, k: side(node, other, k, "other")
+    kind = F.struct("step.type", (F.col("step.src") == F.col("node")).alias("forward"), *(f"step.{c}" for c in _rest(hops)))
+    step = lambda node, other, k: hops.select(F.col("node").alias(node), F.col("other").alias(other), F.col("edge_id").alias(f"e{k}"), kind.alias(f"k{k}"))
 
     def level(rows: DataFrame, between: list[str], ks: list[int]) -> DataFrame:
         path = F.array(*(f"e{k}" for k in ks))
         rows = rows.where(F.size(F.array_distinct(path)) == len(ks))
         return rows.select("start", "end", F.lit(len(ks)).alias("hops"), path.alias("path"), F.array("start", *between, "end").alias("nodes"), F.array(*(f"k{k}" for k in ks)).alias("kinds"))
 
-    found = level(pairs.join(step("start", "end", 1), ["start", "end"]), [], [1])
-    headed = pairs.join(step("start", "a", 1), "start")
-    if max_hops >= 2:
-        found = found.union(level(headed.join(step_back("end", "a", 2), ["end", "a"]), ["a"], [1, 2]))
+    headed = written(pairs.join(step("start", "a", 1), "start"), "headed")
+    found = level(headed.where(F.col("a") == F.col("end")), [], [1])
+    last = step("end", "b", 4).withColumn("k4", _turned(F.col("k4")))
+    if max_hops == 2:
+        found = found.union(level(headed.join(last.withColumnRenamed("b", "a"), ["end", "a"]), ["a"], [1, 4]))
     if max_hops >= 3:
-        ends = written(headed.join(step_back("end", "b", 4), "end").where("e1 <> e4"), "ends")
+        ends = written(headed.join(last, "end").where("e1 <> e4"), "ends")
+        found = found.union(level(ends.where("a = b"), ["a"], [1, 4]))
         found = found.union(level(ends.join(step("a", "b", 2), ["a", "b"]), ["a", "b"], [1, 2, 4]))
     if max_hops == 4:
-        there, back = step("a", "m", 2), step_back("b", "m", 3)
-        count = lambda rows, c: rows.groupBy(c).agg(F.count("*").alias(f"n_{c}"))
-        sized = written(ends.select("a", "b").distinct().join(count(there, "a"), "a").join(count(back, "b"), "b"), "wanted")
+        count = lambda c: hops.groupBy(F.col("node").alias(c)).agg(F.count("*").alias(f"n_{c}"))
+        sized = written(ends.select("a", "b").distinct().join(count("a"), "a").join(count("b"), "b"), "wanted")
         light = F.least("n_a", "n_b") <= MANY
-        middles = written(_leading_middles(sized.where(~light), there, back, limit), "middles")
-        for few in (ends.join(_light_middles(sized.where(light), there, back), ["a", "b"]), _leading_ends(ends, middles, limit).join(middles, ["a", "b"])):
+        middles = written(_leading_middles(sized.where(~light), step("a", "m", 2), step("b", "m", 3), limit), "middles")
+        for few in (ends.join(_light_middles(sized.where(light), step("near", "m", 2), step("far", "m", 3)), ["a", "b"]), _leading_ends(ends, middles, limit).join(middles, ["a", "b"])):
             found = found.union(level(few, ["a", "m", "b"], [1, 2, 3, 4]))
     return found
 
 
+def _turned(kind: Column) -> Column:
+    """The kind of an edge that is gone the other way."""
+    return kind.withField("forward", ~kind["forward"])
+
+
 def _light_middles(wanted: DataFrame, there: DataFrame, back: DataFrame) -> DataFrame:
-    """Two different edges from a over m to b, for each of wanted(a, b, n_a, n_b), from the end of fewer edges."""
-    columns = ["a", "b", "m", "e2", "k2", "e3", "k3"]
-    by_a = wanted.where("n_a <= n_b").select("a", "b").join(there, "a").join(back, ["b", "m"])
-    by_b = wanted.where("n_a > n_b").select("a", "b").join(back, "b").join(there, ["a", "m"])
-    return by_a.select(*columns).union(by_b.select(*columns)).where("e2 <> e3")
+    """Two different edges from a over m to b, for each of wanted(a, b, n_a, n_b), from the end of fewer edges, here called near."""
+    by_a = F.col("n_a") <= F.col("n_b")
+    rows = wanted.select(F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("near"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("far"), by_a.alias("by_a"))
+    met = rows.join(there, "near").join(back, ["far", "m"]).where("e2 <> e3")
+    of = lambda x, y: F.when(F.col("by_a"), F.col(x)).otherwise(F.col(y))
+    return met.select(of("near", "far").alias("a"), of("far", "near").alias("b"), "m", of("e2", "e3").alias("e2"), of("k2", "k3").alias("k2"), of("e3", "e2").alias("e3"), _turned(of("k3", "k2")).alias("k3"))
 
 
 def _leading_middles(wanted: DataFrame, there: DataFrame, back: DataFrame, limit: int) -> DataFrame:
@@ -125,7 +130,7 @@ def _leading_middles(wanted: DataFrame, there: DataFrame, back: DataFrame, limit
     first = (F.row_number().over(Window.partitionBy("a", "b", "m").orderBy(key)) == 1).cast("int")
     before = F.sum("first").over(Window.partitionBy("a", "b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("first")
     rows = rows.repartition("a", "b").withColumn("first", first).withColumn("before", before)
-    return rows.where(F.col("before") < limit + 4).drop("first", "before")
+    return rows.where(F.col("before") < limit + 4).drop("first", "before").withColumn("k3", _turned(F.col("k3")))
 
 
 def _leading_ends(ends: DataFrame, middles: DataFrame, limit: int) -> DataFrame:

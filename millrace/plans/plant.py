@@ -35,8 +35,8 @@ _ALL_TRAILS = """, u AS (SELECT edge_id, type, src, dst, confidence, src AS a, d
    JOIN k o ON o.c = q.c AND o.s = k.s AND o.path = k.path WHERE place <= 4)"""
 
 
-def _found(v: Views) -> DataFrame:
-    return paths.find_paths(v.plant_edges, v.plant_nodes, v.seeds.select("question", "text").distinct(), v.seeds.select("question", "nth", "id"))
+def _found(v: Views, edges: DataFrame | None = None) -> DataFrame:
+    return paths.find_paths(v.plant_edges if edges is None else edges, v.plant_nodes, v.seeds.select("question", "text").distinct(), v.seeds.select("question", "nth", "id"))
 
 
 @_query(_ALL_TRAILS + " SELECT question, s AS start, e AS \"end\", hops::BIGINT AS hops, path FROM found", "plant_nodes", "plant_edges", "seeds")
@@ -56,12 +56,11 @@ _CHOSEN = _ALL_TRAILS + """, r AS (SELECT question, s || '|' || path AS path_id,
 def gr07_pruned(v: Views) -> DataFrame:
     """GR-6, GR-7, SET-3: the greedy choice among the paths of all questions at once, in rounds."""
     kinds = v.seeds.select("question", paths.is_compliance(F.col("text")).alias("compliance")).distinct()
-    found, scored = _found(v).join(kinds, "question"), None
-    for compliance in (False, True):
-        types = (paths.COMPLIANCE_TYPES if compliance else []) + paths.CAUSAL_TYPES
-        part = graph.scored_paths(found.where(F.col("compliance") == compliance), graph.degrees(v.plant_edges, types))
-        scored = part if scored is None else scored.union(part)
-    return paths.choose_paths(scored)
+    edges = written(graph.weighted(v.plant_edges, weight=paths.CAUSAL_TYPES, compliance_weight=paths.COMPLIANCE_TYPES + paths.CAUSAL_TYPES), "edges")
+    weight = lambda s: F.when(F.col("compliance"), s["compliance_weight"]).otherwise(s["weight"])
+    score = F.aggregate("steps", F.lit(1.0), lambda p, s: p * weight(s))
+    scored = _found(v, edges).join(kinds, "question").withColumn("score", score)
+    return paths.choose_paths(scored.withColumn("path_id", F.concat_ws("|", "start", F.array_join("path", ">"))))
 
 
 _PAIRED = """WITH RECURSIVE a AS (SELECT event_id AS id, event_type = 'error' AS cstr, epoch_us(ts) AS us, row_number() OVER (ORDER BY ts DESC, event_id) AS i FROM events WHERE event_type IN ('error', 'signup')),
